@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskloom.llm import exact_dedup, line_dedup
+from riskloom.llm import exact_dedup, jaccard_join, line_dedup
 
 QUERIES = {
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
