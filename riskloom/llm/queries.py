@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from riskloom.llm import exact_dedup, jaccard_join, line_dedup
+from riskloom.llm import exact_dedup, jaccard_join, line_dedup, secrets
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
 SQL = {
+    "op1_secret_scan": secrets.SQL,
     "op4_line_dedup": line_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
 }
