@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from riskloom.llm import exact_dedup, jaccard_join, line_dedup, secrets
+from riskloom.llm import exact_dedup, jaccard_join, line_dedup, secrets, spotsigs
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_spotsigs": spotsigs.op2_spotsigs,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
