@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from riskloom.llm import exact_dedup, jaccard_join, line_dedup, secrets, spotsigs
+from riskloom.llm import exact_dedup, jaccard_join, line_dedup, packing, secrets, spotsigs, token_store
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_spotsigs": spotsigs.op2_spotsigs,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_token_store": token_store.op6_token_store,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_packing": packing.op8_packing,
 }
 
 SQL = {
