@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import exact_dedup, jaccard_join, line_dedup, packing, secrets, spotsigs, token_store
+from riskloom.llm import exact_dedup, jaccard_join, line_dedup, packing, pii, secrets, spotsigs, token_store
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_token_store": token_store.op6_token_store,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_packing": packing.op8_packing,
+    "op10_pii_surrogates": pii.op10_pii_surrogates,
 }
 
 SQL = {
