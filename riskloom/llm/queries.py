@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from riskloom.llm import exact_dedup, jaccard_join, line_dedup, packing, pii, secrets, spotsigs, token_store
+from riskloom.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing, pii, quality, secrets, spotsigs, token_store
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_spotsigs": spotsigs.op2_spotsigs,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_mixing": mixing.op5_mixing,
     "op6_token_store": token_store.op6_token_store,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_packing": packing.op8_packing,
+    "op9_quality": quality.op9_quality,
     "op10_pii_surrogates": pii.op10_pii_surrogates,
 }
 
 SQL = {
     "op1_secret_scan": secrets.SQL,
     "op4_line_dedup": line_dedup.SQL,
+    "op5_mixing": mixing.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
 }
