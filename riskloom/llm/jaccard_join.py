@@ -6,12 +6,15 @@
    counted over all classes. A document's tokens are ordered rarest first; two sets that link
    must share one of their first n - ceil(t n) + 1 tokens. A document with that many tokens
    of its own cannot link with anything and drops out here.
-3. The others are partitioned into groups of bounded size by their smallest shared token, and
-   each group's tokens are stored (the token-group matrix: token, group, smallest and largest
-   set). A query document meets a group only through that matrix and the size bounds.
+   This is done twice: on the low hash range of all classes, then on the whole sets of those
+   that are left, where only tokens they share with each other count.
+3. Those left are partitioned into groups of bounded size by their smallest shared token, and
+   each group's prefix tokens are stored (the token-group matrix: token, group, smallest and
+   largest set). The documents of a group are queries to another group only if the two groups
+   meet in that matrix within the size bounds.
 4. For each group the union of its members' tokens bounds a query's overlap; only qualifying
    groups are opened, and there overlaps with all members are counted exactly. A group's
-   links leave as a tree of bounded degree over each of its components, never as all pairs.
+   links leave as one star for each of its components, never as all pairs.
 5. The links are joined into components.
 
 No bucket is capped: a frequent key is cut into blocks, each of which every query meets.
@@ -19,6 +22,7 @@ No bucket is capped: a frequent key is cut into blocks, each of which every quer
 
 from __future__ import annotations
 
+import zlib
 from functools import partial
 
 import numpy as np
@@ -34,7 +38,6 @@ BLOCK = 128
 CHUNK = 128
 HOT_SALTS = 64
 HOT_KEYS = 4096
-FAN = 8
 _SET = "cid binary, tokens array<bigint>"
 _SKETCH = "id bigint, cid binary, n bigint, low bigint, sketch array<bigint>"
 
@@ -125,10 +128,40 @@ def _open_group(table: pa.Table, percent: int) -> pa.Table:
     parts: dict[int, list[bytes]] = {}
     for i, cid in enumerate(names):
         parts.setdefault(find(i), []).append(cid)
-    links = [(part[(i - 1) // FAN], part[i]) for part in map(sorted, parts.values()) for i in range(1, len(part))]
+    links = []
+    for part in map(sorted, parts.values()):
+        hub = part[zlib.crc32(b"".join(part)) % len(part)]  # another one in each task, so that no document becomes a hot key
+        links += [(hub, x) for x in part if x != hub]
     return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([x for _, x in links], pa.binary())})
 
 
+def _rare_first(classes: DataFrame, percent: int, edge: int | None) -> DataFrame:
+    """classes(cid, n, low, sketch) to (cid, n, prefix, key) for the classes that may link.
+
+    The order of tokens: those of the low hash range (all of them if edge is None) by the
+    number of classes that have them, then the others. Tokens of one class only come first and
+    match nothing; a class whose prefix has no others is left out. key is the class's smallest
+    shared token with its count.
+    """
+    counts = written(classes.select(F.explode("sketch").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "tokens")
+    total = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("df") > max(BLOCK, total // HOT_KEYS)).select("token", F.lit(True).alias("hot")))  # HOT_KEYS rows at most
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = counts.join(hot, "token", "left").withColumn("salt", F.explode(salts)).drop("hot")
+    postings = classes.select("cid", "n", "low", F.explode("sketch").alias("token")).join(hot, "token", "left")
+    postings = postings.withColumn("salt", F.when(F.col("hot"), salt_of(HOT_SALTS, "cid")).otherwise(0)).drop("hot").join(repeated, ["token", "salt"])
+    shared = postings.groupBy("cid", "n", "low").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    is_low = lambda x: (x["token"] >= 0) & (x["token"] < F.lit(edge))
+    shared = shared.withColumn("low_shared", F.col("shared") if edge is None else F.filter("shared", is_low))
+    least = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
+    shared = shared.withColumn("room", (least - (F.col("low") - F.size("low_shared"))).cast("int")).where("room > 0")
+    prefix = F.slice("low_shared", F.lit(1), F.col("room"))
+    if edge is not None:
+        prefix = F.concat(prefix, F.filter("shared", lambda x: ~is_low(x)))
+    key = F.array_min(F.transform("shared", lambda x: F.struct(x["token"].alias("token"), x["df"].alias("df"))))
+    return shared.select("cid", "n", F.transform(prefix, lambda x: x["token"]).alias("prefix"), key.alias("key")).where(F.size("prefix") > 0)
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id.
 
@@ -142,56 +175,41 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     spark = df.sparkSession
-    edge = int(min(0.5, 1.5 * (1 - percent / 100) + 0.005) * 2**64)
+    edge = int(min(0.49, 1.75 * (1 - percent / 100) + 0.005) * 2**64)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = written(texts.mapInArrow(partial(_sketches, k=k, percent=percent, edge=edge), _SKETCH), "sketches")
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
 
-    counts = written(classes.select(F.explode("sketch").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "tokens")
-    total = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    hot = F.broadcast(counts.where(F.col("df") > max(BLOCK, total // HOT_KEYS)).select("token", F.lit(True).alias("hot")))  # HOT_KEYS rows at most
-
-    def spread(frame: DataFrame, *by) -> DataFrame:
-        return frame.join(hot, "token", "left").withColumn("salt", F.when(F.col("hot"), salt_of(HOT_SALTS, *by)).otherwise(0)).drop("hot")
-
-    def repeated(frame: DataFrame) -> DataFrame:
-        salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
-        return frame.join(hot, "token", "left").withColumn("salt", F.explode(salts)).drop("hot")
+    near = _rare_first(classes, percent, edge).select("cid")
+    wanted = written(near.join(classes.select("cid", "id"), "cid").select("id").distinct(), "wanted")
+    sets = texts.join(wanted.where("id IS NOT NULL"), "id", "left_semi")
+    if wanted.where("id IS NULL").limit(1).count():
+        sets = sets.unionByName(texts.where("id IS NULL"))
+    sets = written(sets.mapInArrow(partial(_whole_sets, k=k), _SET).where("size(tokens) > 0"), "sets")
 
-    postings = spread(classes.select("cid", "n", "low", F.explode("sketch").alias("token")), "cid").join(repeated(counts), ["token", "salt"])
-    least = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
-    is_low = lambda t: (t >= 0) & (t < F.lit(edge if edge < 2**63 else 2**63 - 1))
-    shared = postings.groupBy("cid", "n", "low").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    low_shared = F.filter("shared", lambda x: is_low(x["token"]))
-    shared = shared.withColumn("low_shared", low_shared).withColumn("room", (least - (F.col("low") - F.size("low_shared"))).cast("int")).where("room > 0")
-    prefix = F.concat(F.slice("low_shared", F.lit(1), F.col("room")), F.filter("shared", lambda x: ~is_low(x["token"])))
-    key = F.array_min(F.transform("shared", lambda x: F.struct(x["token"].alias("token"), x["df"].alias("df"))))
-    docs = shared.select("cid", "n", F.transform(prefix, lambda x: x["token"]).alias("prefix"), key.alias("key")).where(F.size("prefix") > 0)
+    whole = sets.select("cid", F.size("tokens").cast("long").alias("n"), F.size("tokens").cast("long").alias("low"), F.col("tokens").alias("sketch"))
+    docs = _rare_first(whole, percent, None)
     blocks = F.expr(f"(key.df + {BLOCK - 1}) div {BLOCK}")
     docs = written(docs.select("cid", "n", "prefix", F.xxhash64("key.token", F.pmod(F.xxhash64("cid"), blocks)).alias("g")), "grouped")
 
-    matrix = docs.select("g", "n", F.explode("prefix").alias("token")).groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    asked = spread(docs.select("cid", F.col("n").alias("qn"), F.col("g").alias("own"), F.explode("prefix").alias("token")), "cid")
-    met = asked.join(repeated(matrix), ["token", "salt"]).where(f"g > own AND qn * 100 >= {percent} * lo AND qn * {percent} <= hi * 100")
-    met = written(met.select("cid", "g").distinct(), "met")
+    matrix = written(docs.select("g", "n", F.explode("prefix").alias("token")).groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "matrix")
+    other = matrix.select("token", F.col("g").alias("h"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    met = matrix.join(other, "token").where(f"g < h AND hi * 100 >= {percent} * lo2 AND hi2 * 100 >= {percent} * lo")
+    met = written(met.select("g", "h").distinct(), "met")
 
-    sizes = docs.groupBy("g").agg(F.count(F.lit(1)).alias("m")).join(met.groupBy("g").agg(F.count(F.lit(1)).alias("q")), "g", "left")
-    sizes = written(sizes.where("m > 1 OR q > 0").select("g", F.expr(f"greatest(1, (coalesce(q, 0) + {CHUNK - 1}) div {CHUNK})").cast("int").alias("chunks")), "opened")
+    own = docs.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    asked = met.join(own, "g").groupBy(F.col("h").alias("g")).agg(F.sum("m").alias("q"))
+    sizes = own.join(asked, "g", "left").where("m > 1 OR q > 0")
+    sizes = written(sizes.select("g", F.expr(f"greatest(1, (coalesce(q, 0) + {CHUNK - 1}) div {CHUNK})").cast("int").alias("chunks")), "opened")
     members = docs.select("cid", "g").join(sizes, "g").select("cid", "g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
-    queries = met.join(sizes, "g").select("cid", "g", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
-    tasks = written(members.unionByName(queries), "tasks")
-
-    wanted = tasks.select("cid").distinct().join(classes.select("cid", "id"), "cid")
-    sets = texts.join(wanted.where("id IS NOT NULL").select("id").distinct(), "id", "left_semi")
-    if wanted.where("id IS NULL").limit(1).count():
-        sets = sets.unionByName(texts.where("id IS NULL"))
-    sets = written(sets.mapInArrow(partial(_whole_sets, k=k), _SET), "sets")
+    queries = met.join(sizes.withColumnRenamed("g", "h"), "h").join(docs.select("cid", "g"), "g")
+    queries = queries.select("cid", F.col("h").alias("g"), F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
 
     def opened(table: pa.Table) -> pa.Table:
         return _open_group(table, percent)
 
-    links = tasks.join(sets, "cid").groupBy("g", "chunk").applyInArrow(opened, "a binary, b binary")
+    links = members.unionByName(queries).join(sets, "cid").groupBy("g", "chunk").applyInArrow(opened, "a binary, b binary")
     links = written(links, "links")
 
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
