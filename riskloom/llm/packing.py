@@ -29,11 +29,14 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
 
 
 def _pieces(batches, path: str, drops_space: bool, end_id: int, longest: int):
-    for ids, rows, dtype in encoded_batches(batches, path, drops_space):
+    end = np.array([end_id], "<u4").tobytes()
+    for ids, flat, counts in encoded_batches(batches, path, drops_space):
         out: list[list] = [[], [], [], [], []]
-        for doc, raw in zip(ids.to_pylist(), rows, strict=True):
-            tokens = np.append(np.frombuffer(raw, dtype), dtype.type(end_id)).astype("<u4").tobytes()
-            n, start = len(tokens) // 4, 0
+        raw, at = flat.astype("<u4").tobytes(), 0
+        for doc, count in zip(ids.to_pylist(), counts.tolist(), strict=True):
+            tokens = raw[4 * at : 4 * (at + count)] + end
+            at += count
+            n, start = count + 1, 0
             for length in piece_lengths(n, longest):
                 for column, value in zip(out, (doc, start, length, tokens[4 * start : 4 * (start + length)], n), strict=True):
                     column.append(value)

@@ -32,41 +32,48 @@ def _tables():
     lower[65:91] += 32
     space = np.zeros(256, bool)
     space[[32, 9, 10, 11, 12, 13]] = True
-    return base, byte[lower], space
+    return base, byte[lower], byte, space
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POWERS:
-        base = _tables()[0]
-        with np.errstate(over="ignore"):
-            up = np.full(size, base, np.uint64)
-            up[0] = 1
-            down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
-            down[0] = 1
-            pair = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size > SLICE * 2:
-            return pair
-        _POWERS.clear()
-        _POWERS[size] = pair
-    return _POWERS[size]
+    """Powers of the base and of its inverse, n or more; the usual length is kept."""
+    size = max(n, SLICE + 1)
+    if size in _POWERS:
+        return _POWERS[size]
+    base = _tables()[0]
+    pair = []
+    for factor in (base, pow(base, -1, 1 << 64)):
+        run = np.full(size, factor, np.uint64)
+        run[0] = 1
+        pair.append(np.multiply.accumulate(run))
+    if size == SLICE + 1:
+        _POWERS[size] = pair[0], pair[1]
+    return pair[0], pair[1]
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, row of each word) of a string column, in order; A-Z lower-cased."""
+    hashes, rows, _, _, _ = word_spans(column)
+    return hashes, rows
+
+
+def word_spans(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of a string column, in order: hash, row, begin and end in the bytes, which
+    come last."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and len(column) else np.zeros(0, np.uint8)
     starts_of_rows = offsets[:-1] - offsets[0]
-    _, byte, space = _tables()
+    _, lowered, exact, space = _tables()
+    byte = lowered if lower else exact
     blank = space[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets - offsets[0]] = True  # a row begins (or all end) here
-    hashes, rows, a = [], [], 0
+    hashes, rows, begins, ends, a = [], [], [], [], 0
     while a < len(data):
         b = min(len(data), a + SLICE)
         if b < len(data) and not (cut[b] or blank[b]):
@@ -86,10 +93,13 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             np.cumsum(byte[part] * up[: len(part)], out=total[1:])
             hashes.append(mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)))
             rows.append(np.searchsorted(starts_of_rows, begin + a, "right") - 1)
+            begins.append(begin + a)
+            ends.append(end + a)
         a = b
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(rows)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none, data
+    return np.concatenate(hashes), np.concatenate(rows), np.concatenate(begins), np.concatenate(ends), data
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:

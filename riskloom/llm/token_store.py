@@ -80,10 +80,12 @@ class TokenFile:
 
 
 def _encode(batches, path: str, drops_space: bool, end_id: int):
-    for ids, rows, dtype in encoded_batches(batches, path, drops_space):
-        end = np.array([end_id], dtype).tobytes()
-        rows = [r + end for r in rows]
-        yield pa.RecordBatch.from_arrays([ids, pa.array([len(r) // dtype.itemsize for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["id", "n", "ids"])
+    for ids, flat, counts in encoded_batches(batches, path, drops_space):
+        whole = np.insert(flat, np.cumsum(counts), flat.dtype.type(end_id))
+        ends = np.concatenate(([0], np.cumsum(counts + 1)))
+        offsets = pa.py_buffer((ends * flat.dtype.itemsize).astype(np.int32))
+        column = pa.Array.from_buffers(pa.binary(), len(counts), [None, offsets, pa.py_buffer(whole)])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(counts + 1), column], ["id", "n", "ids"])
 
 
 def _count(batches, dtype: str, size: int):
