@@ -1,0 +1,3 @@
+"""A Spark-native engine for the evaluation of one-step-ahead variance and tail-loss forecasts."""
+
+__version__ = "0.1.0"
