@@ -394,13 +394,10 @@ _g = PROFILE.garch
 _LONG = {
     "expected_exception_probability": "tail_probability", "exception_count": "exception_count", "exception_rate": "exception_rate", "longest_exception_cluster": "longest_exception_cluster", "n00": "n00", "n01": "n01", "n10": "n10", "n11": "n11", "kupiec_lr": "kupiec_lr",
 }
-_TERM = "x * exp(k * ln(2 * x * x) - ((k + 1) * ln(2::DOUBLE) + lgamma(k + 1.5::DOUBLE) - 0.5 * ln(pi())))"
-
-
 def _tail(lr: str) -> str:
     """P(chi-square with one degree of freedom > lr), from a series for the error function."""
     x = f"sqrt(({lr}) / 2)"
-    term = _TERM.replace("x", x).replace("e" + x + "p", "exp")
+    term = f"{x} * exp(k * ln(({lr})::DOUBLE) - ((k + 1) * ln(2::DOUBLE) + lgamma(k + 1.5::DOUBLE) - 0.5 * ln(pi())))"
     series = f"2 / sqrt(pi()) * exp(-({lr}) / 2) * list_sum(list_transform(range(0, 600), lambda k: {term}))"
     return f"CASE WHEN ({lr}) IS NULL THEN NULL WHEN ({lr}) <= 0 THEN 1.0::DOUBLE WHEN ({lr}) > 150 THEN 0.0::DOUBLE ELSE 1 - {series} END"
 
