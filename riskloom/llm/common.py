@@ -29,6 +29,13 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = "_" + name
+    return name
+
+
 def salt_of(buckets: int, *cols) -> Column:
     """A salt from 0 to buckets - 1 that is the same whenever a task is run again."""
     return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")

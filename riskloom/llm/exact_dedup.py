@@ -58,11 +58,10 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of df that duplicate_groups keeps, with their columns as they are. Rows that
     repeat an id with the same text are reduced to one of them."""
-    kept = duplicate_groups(df, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct()
-    rows = df.withColumn("_body", normalised(text_col)).withColumn("_digest", F.unhex(F.sha2("_body", 256))).drop("_body")
-    on = rows[id_col].eqNullSafe(kept["_id"]) & (rows["_digest"] == kept["_digest"])
-    one = rows.join(kept, on, "left_semi")
-    return one.dropDuplicates([id_col, "_digest"]).drop("_digest")
+    kept = duplicate_groups(df, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("kept_id"), F.unhex("text_sha256").alias("kept_digest")).distinct()
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(text_col), 256)).alias("digest"))
+    one = rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]) & (rows["digest"] == kept["kept_digest"]), "left_semi")
+    return one.dropDuplicates(["id", "digest"]).select("row.*")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

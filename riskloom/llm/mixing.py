@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import documents, salt_of, written
+from riskloom.llm.common import documents, free_name, salt_of, written
 
 DOMAINS = {"web": 50, "reference": 30, "forum": 20}
 LANGUAGES = {"en": 40, "de": 20, "fr": 20, "es": 20}
@@ -86,8 +86,10 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Null languages and sources form leaves of their own, named unknown. Rows without tokens
     (empty or null texts) are never selected. Rows that repeat an id are rows of their own,
     next to each other in the order (by text). Ids may be null. An empty table gives an empty
-    result. All columns of df pass through as they are.
+    result. All columns of df pass through as they are; if one of them begins with the prefix,
+    underscores are put before the prefix until none does.
     """
+    prefix = free_name(df, prefix)
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
     key = {f"{prefix}domain": domain_of(named(source_col)), f"{prefix}language": named(lang_col), f"{prefix}origin": named(source_col), f"{prefix}tokens": token_count(F.col(text_col))}
     leaf = [f"{prefix}{c}" for c in _LEAF]
@@ -110,6 +112,14 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return placed.withColumn(f"{prefix}copies", copies).where(F.col(f"{prefix}copies") > 0).select(*df.columns, *[f"{prefix}{c}" for c in ("domain", "tokens", "copies", "leaf_tokens", "leaf_budget")])
 
 
+def epochs_of(df: DataFrame, **options) -> DataFrame:
+    """The selected rows of df, each as often as epochs take it, with the columns of df only."""
+    prefix = free_name(df, "mix_")
+    rows = mixed(df, prefix=prefix, **options)
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{prefix}copies")))
+    return rows.withColumn(f"{prefix}epoch", times).select(*df.columns)
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     out = mixed(documents(spark, sf_dir))
     return out.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"), F.col("mix_leaf_tokens").alias("leaf_tokens"), F.col("mix_leaf_budget").alias("leaf_budget"))

@@ -26,7 +26,7 @@ from riskloom.llm.tokens import encoded_batches, encoder, vocabulary_path
 END_ID = 1
 FILE_TOKENS = 4_000_000
 _MAGIC = b"RTF1"
-_HEAD = struct.Struct("<4sQQII")  # magic, documents, tokens, blocks, crc32 of the index
+_HEAD = struct.Struct("<4sQQQII")  # magic, documents, those without an id (the first ones), tokens, blocks, crc32 of the index
 _IDS = "id bigint, n bigint, ids binary"
 _FILES = "path string, first_id bigint, documents bigint, tokens bigint"
 _DOCS = "id bigint, start bigint, n_tokens bigint, ids binary"
@@ -51,22 +51,23 @@ def get(uri: str) -> bytes:
         return source.read()
 
 
-def file_bytes(ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, table: rans.Table) -> bytes:
+def file_bytes(named: list[int | None], lengths: np.ndarray, tokens: np.ndarray, table: rans.Table) -> bytes:
     blocks = [rans.encode_block(tokens[a : a + rans.BLOCK], table) for a in range(0, len(tokens), rans.BLOCK)]
     sizes = np.array([len(b) for b in blocks], np.int64)
+    ids = np.array([i or 0 for i in named], np.int64)
     index = ids.astype("<i8").tobytes() + lengths.astype("<u8").tobytes() + (np.cumsum(sizes) - sizes).astype("<u8").tobytes()
-    return _HEAD.pack(_MAGIC, len(ids), len(tokens), len(blocks), zlib.crc32(index)) + index + b"".join(blocks)
+    return _HEAD.pack(_MAGIC, len(ids), sum(i is None for i in named), len(tokens), len(blocks), zlib.crc32(index)) + index + b"".join(blocks)
 
 
 class TokenFile:
     """Reads a token file; blocks can be decoded on their own and in any order."""
 
     def __init__(self, data: bytes, table: rans.Table) -> None:
-        magic, docs, self.tokens, blocks, crc = _HEAD.unpack_from(data)
+        magic, docs, nameless, self.tokens, blocks, crc = _HEAD.unpack_from(data)
         at, end = _HEAD.size, _HEAD.size + 16 * docs + 8 * blocks
         if magic != _MAGIC or zlib.crc32(memoryview(data)[at:end]) != crc:
             raise ValueError("damaged token file")
-        self.ids = np.frombuffer(data, "<i8", docs, at)
+        self.ids = pa.array(np.frombuffer(data, "<i8", docs, at), mask=np.arange(docs) < nameless)
         self.lengths = np.frombuffer(data, "<u8", docs, at + 8 * docs).astype(np.int64)
         self.checkpoints = np.frombuffer(data, "<u8", blocks, at + 16 * docs)
         self.data, self.table, self.base = data, table, end
@@ -100,18 +101,20 @@ def _count(batches, dtype: str, size: int):
 def _write(batches, folder: str, freq: bytes, dtype: str):
     """A partition of consecutive documents, in order, to one or more files."""
     table = rans.Table.from_bytes(freq)
-    ids: list[int] = []
+    ids: list[int | None] = []
     raws: list[bytes] = []
-    held = 0
+    held = part = 0
 
     def flush():
-        nonlocal held
+        nonlocal held, part
         tokens = np.frombuffer(b"".join(raws), dtype)
         lengths = np.array([len(r) // np.dtype(dtype).itemsize for r in raws])
-        digest = zlib.crc32(lengths.tobytes(), zlib.crc32(np.array(ids).tobytes()))
-        uri = f"{folder}/{ids[0] & (2**64 - 1):016x}-{len(ids)}-{digest:08x}.rtf"  # the same in a second attempt
-        put(uri, file_bytes(np.array(ids), lengths, tokens, table))
-        row = pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([ids[0]]), pa.array([len(ids)]), pa.array([len(tokens)])], ["path", "first_id", "documents", "tokens"])
+        digest = zlib.crc32(lengths.tobytes(), zlib.crc32(repr(ids).encode()))
+        first = "null" if ids[0] is None else f"{ids[0] + 2**63:016x}"
+        uri = f"{folder}/{part:06d}-{first}-{len(ids)}-{digest:08x}.rtf"  # the same in a second attempt
+        part += 1
+        put(uri, file_bytes(ids, lengths, tokens, table))
+        row = pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([ids[0]], pa.int64()), pa.array([len(ids)]), pa.array([len(tokens)])], ["path", "first_id", "documents", "tokens"])
         ids.clear()
         raws.clear()
         held = 0
@@ -140,20 +143,19 @@ def _read(batches, table_uri: str):
                 stop = ends[at : at + 1000]
                 begin = stop - source.lengths[at : at + 1000]
                 cuts = [tokens[a:b].tobytes() for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(source.ids[at : at + 1000]), pa.array(begin + before), pa.array(stop - begin), pa.array(cuts, pa.binary())], ["id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([source.ids[at : at + 1000], pa.array(begin + before), pa.array(stop - begin), pa.array(cuts, pa.binary())], ["id", "start", "n_tokens", "ids"])
 
 
 def write_store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, path: str | None = None, drops_space: bool = True) -> DataFrame:
     """Writes the store and returns its files: path, first_id, documents, tokens.
 
     A null or empty text is the end id alone. Rows that repeat an id are stored each, next to
-    each other, in the order of their ids' bytes. Rows with a null id are an error, since the
-    order needs one. An empty table gives a store without files.
+    each other, in the order of their ids' bytes. Rows with a null id come first. An empty
+    table gives a store without files. Other columns are not read.
     """
     path = path or vocabulary_path()
     coder = encoder(path, drops_space)
-    key = F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit("a document has no id")).cast("long"))
-    rows = df.select(key.alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ids = written(rows.mapInArrow(partial(_encode, path=path, drops_space=drops_space, end_id=end_id), _IDS), "ids", compression="zstd")
     counts = np.zeros(coder.size, np.int64)
     found = ids.select("ids").mapInArrow(partial(_count, dtype=coder.dtype.str, size=coder.size), "token bigint, count bigint")
