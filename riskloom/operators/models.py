@@ -36,10 +36,14 @@ def _trailing(window: int):
     return Window.partitionBy("series_id").orderBy("pos").rowsBetween(1 - window, 0)
 
 
+def with_variance(panel: DataFrame, window: int) -> DataFrame:
+    """The panel with the sample variance (n - 1) of the last `window` returns, null before."""
+    v = F.when(F.col("pos") >= window - 1, F.var_samp("simple_return").over(_trailing(window)))
+    return panel.withColumn("variance", v).withColumn("volatility", F.sqrt("variance"))
+
+
 def variance_path(panel: DataFrame, window: int) -> DataFrame:
-    """Sample variance (n - 1) of the last `window` returns."""
-    v = F.var_samp("simple_return").over(_trailing(window))
-    return panel.select("series_id", "pos", v.alias("variance")).where(F.col("pos") >= window - 1).withColumn("volatility", F.sqrt("variance"))
+    return with_variance(panel, window).where(F.col("pos") >= window - 1).select("series_id", "pos", "variance", "volatility")
 
 
 def _quantile(window: int, p: float, method: str):
@@ -59,10 +63,19 @@ def _quantile(window: int, p: float, method: str):
     return (F.get(ordered, F.lit(at[0])) + F.get(ordered, F.lit(at[1]))) / 2
 
 
+QUANTILE_COLUMNS = ("return_quantile_0_05", "var_0_95", "return_quantile_0_01", "var_0_99")
+
+
+def with_simulation(panel: DataFrame, window: int, method: str = "linear") -> DataFrame:
+    """The panel with 5 % and 1 % quantiles of the last `window` returns and the losses they
+    imply, null before."""
+    full = F.col("pos") >= window - 1
+    path = panel.withColumn("return_quantile_0_05", F.when(full, _quantile(window, 0.05, method))).withColumn("return_quantile_0_01", F.when(full, _quantile(window, 0.01, method)))
+    return with_losses(path)
+
+
 def simulation_path(panel: DataFrame, window: int, method: str = "linear") -> DataFrame:
-    """5 % and 1 % quantiles of the last `window` returns and the losses they imply."""
-    path = panel.select("series_id", "pos", _quantile(window, 0.05, method).alias("return_quantile_0_05"), _quantile(window, 0.01, method).alias("return_quantile_0_01"))
-    return with_losses(path.where(F.col("pos") >= window - 1))
+    return with_simulation(panel, window, method).where(F.col("pos") >= window - 1).select("series_id", "pos", *QUANTILE_COLUMNS)
 
 
 def with_losses(path: DataFrame) -> DataFrame:
@@ -86,46 +99,61 @@ def checked_variance(v: float) -> float:
     return v
 
 
-def ewma_path(panel: DataFrame, decay: float, first: int) -> DataFrame:
-    """Starts from the sample variance of the first `first` returns, then takes every later
+def _in_order(panel: DataFrame, step) -> DataFrame:
+    """The panel with `variance`: step(returns of a series in order) gives the variances."""
+
+    def path(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        rows["variance"] = pd.Series(step(rows["simple_return"].to_numpy(float)), index=rows.index, dtype=object)
+        return rows
+
+    schema = "series_id string, series_pos int, date date, pos int, simple_return double, variance double"
+    return panel.select("series_id", "series_pos", "date", "pos", "simple_return").groupBy("series_id").applyInPandas(path, schema)
+
+
+def with_ewma(panel: DataFrame, decay: float, first: int) -> DataFrame:
+    """The panel with the exponentially weighted variance and normal quantiles, null before.
+    Starts from the sample variance of the first `first` returns, then takes every later
     return of the series. A variance that is not positive ends the run."""
     if not 0 < decay < 1 or first < 2:
         raise fail("CONFIG_INVALID", "The decay must lie between 0 and 1 and the start needs two returns.")
 
-    def path(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        r = rows["simple_return"].to_numpy(float)
+    def step(r: np.ndarray) -> list[float | None]:
         if len(r) < first:
-            return pd.DataFrame({"series_id": [], "pos": [], "variance": []})
+            return [None] * len(r)
         v = checked_variance(float(np.var(r[:first], ddof=1)))
-        out = [v]
+        out: list[float | None] = [*[None] * (first - 1), v]
         for x in r[first:].tolist():
             v = checked_variance(ewma_step(v, x, decay))
             out.append(v)
-        return pd.DataFrame({"series_id": rows["series_id"].to_numpy()[first - 1 :], "pos": rows["pos"].to_numpy()[first - 1 :], "variance": out})
+        return out
 
-    rows = panel.select("series_id", "pos", "simple_return")
-    return with_normal_quantiles(rows.groupBy("series_id").applyInPandas(path, "series_id string, pos int, variance double"))
+    return with_normal_quantiles(_in_order(panel, step))
+
+
+NORMAL_COLUMNS = ("variance", "volatility", *QUANTILE_COLUMNS)
+
+
+def ewma_path(panel: DataFrame, decay: float, first: int) -> DataFrame:
+    return with_ewma(panel, decay, first).where("variance IS NOT NULL").select("series_id", "pos", *NORMAL_COLUMNS)
 
 
 def garch_filter_path(panel: DataFrame, first: int, omega: float, alpha: float, beta: float, scale: float = 100.0) -> DataFrame:
     """Variance at fixed parameters, in scaled units from the scaled sample variance of the
     first `first` returns; every later return is applied once."""
 
-    def path(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        r = rows["simple_return"].to_numpy(float) * scale
+    def step(r: np.ndarray) -> list[float | None]:
         if len(r) < first:
-            return pd.DataFrame({"series_id": [], "pos": [], "variance": []})
+            return [None] * len(r)
+        r = r * scale
         v = float(np.var(r[:first], ddof=1))
-        out = [v]
+        out: list[float | None] = [*[None] * (first - 1), v / scale**2]
         for x in r[first:].tolist():
             v = omega + alpha * (x * x) + beta * v
-            out.append(v)
-        return pd.DataFrame({"series_id": rows["series_id"].to_numpy()[first - 1 :], "pos": rows["pos"].to_numpy()[first - 1 :], "variance": np.array(out) / scale**2})
+            out.append(v / scale**2)
+        return out
 
-    rows = panel.select("series_id", "pos", "simple_return")
-    return with_normal_quantiles(rows.groupBy("series_id").applyInPandas(path, "series_id string, pos int, variance double"))
+    return with_normal_quantiles(_in_order(panel, step)).where("variance IS NOT NULL").select("series_id", "pos", *NORMAL_COLUMNS)
 
 
 def one_window(values: Iterator[float], window: int, method: str = "linear") -> dict[str, float]:

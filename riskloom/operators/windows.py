@@ -26,10 +26,12 @@ def period_of(day: Column, periods: Periods) -> Column:
     return out
 
 
-def _eligible(panel: DataFrame, window: int, periods: Periods, expanding: bool) -> DataFrame:
+def _eligible(panel: DataFrame, window: int, periods: Periods, expanding: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep: further columns of the panel at the origin. Values that models computed by window
+    functions stay in the same pass, so forecasts need no join."""
     if window < 2:
         raise fail("INSUFFICIENT_HISTORY", "A window needs two observations at least.")
-    series = Window.partitionBy("series_id").orderBy("date")
+    series = Window.partitionBy("series_id").orderBy("pos")
     start = F.first("date").over(series) if expanding else F.lag("date", window - 1).over(series)
     rows = panel.select(
         "series_id",
@@ -40,35 +42,36 @@ def _eligible(panel: DataFrame, window: int, periods: Periods, expanding: bool)
         start.alias("train_start"),
         F.col("date").alias("train_end"),
         (F.col("pos") + 1 if expanding else F.lit(window)).cast("bigint").alias("train_observation_count"),
+        *keep,
     )
     rows = rows.withColumn("period", period_of(F.col("target_date"), periods))
     return rows.where((F.col("pos") >= window - 1) & F.col("target_date").isNotNull() & F.col("period").isNotNull())
 
 
-def trailing_windows(panel: DataFrame, window: int, periods: Periods, model_id: str) -> DataFrame:
+def trailing_windows(panel: DataFrame, window: int, periods: Periods, model_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The last `window` observations up to the origin."""
-    return _eligible(panel, window, periods, False).select("*", F.lit(model_id).alias("model_id"), F.lit(False).alias("scheduled_refit"))
+    return _eligible(panel, window, periods, False, keep).select("*", F.lit(model_id).alias("model_id"), F.lit(False).alias("scheduled_refit"))
 
 
-def expanding_windows(panel: DataFrame, least: int, periods: Periods, model_id: str) -> DataFrame:
+def expanding_windows(panel: DataFrame, least: int, periods: Periods, model_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """All observations up to the origin, `least` at least."""
-    return _eligible(panel, least, periods, True).select("*", F.lit(model_id).alias("model_id"), F.lit(False).alias("scheduled_refit"))
+    return _eligible(panel, least, periods, True, keep).select("*", F.lit(model_id).alias("model_id"), F.lit(False).alias("scheduled_refit"))
 
 
-def refit_windows(panel: DataFrame, window: int, every: int, periods: Periods, model_ids: list[str]) -> DataFrame:
+def refit_windows(panel: DataFrame, window: int, every: int, periods: Periods, model_ids: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Trailing windows with a refit at every `every`-th eligible origin of a series (targets in
     no period are not counted), for each model; fit_block numbers the stretches between."""
     if every < 1:
         raise fail("WINDOW_ALIGNMENT_ERROR", "The refit interval must be positive.")
-    at = F.row_number().over(Window.partitionBy("series_id").orderBy("forecast_origin")) - 1
-    rows = _eligible(panel, window, periods, False).withColumn("at", at)
+    at = F.row_number().over(Window.partitionBy("series_id").orderBy("pos")) - 1
+    rows = _eligible(panel, window, periods, False, keep).withColumn("at", at)
     rows = rows.withColumn("scheduled_refit", F.col("at") % every == 0).withColumn("fit_block", F.floor(F.col("at") / every).cast("int"))
     return rows.withColumn("model_id", F.explode(F.array(*map(F.lit, model_ids)))).drop("at")
 
 
 def realizations(panel: DataFrame, first_origin: int, periods: Periods) -> DataFrame:
     """What happened on each target date whose origin is at position first_origin or later."""
-    series = Window.partitionBy("series_id").orderBy("date")
+    series = Window.partitionBy("series_id").orderBy("pos")
     rows = panel.select("series_id", "pos", F.col("date").alias("forecast_origin"), F.lead("date").over(series).alias("target_date"), F.lead("simple_return").over(series).alias("simple_return"))
     rows = rows.withColumn("period", period_of(F.col("target_date"), periods)).where((F.col("pos") >= first_origin) & F.col("period").isNotNull())
     r = F.col("simple_return")

@@ -39,5 +39,6 @@ def wide_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel of the three series and their weighted proxy."""
-    return panel.to_long(panel.with_proxy(wide_returns(spark, sf_dir), WEIGHTS, PROXY))
+    """The panel of the three series and their weighted proxy. It has a row a series and day,
+    feeds every model, and is kept, so the line items are scanned once."""
+    return panel.to_long(panel.with_proxy(wide_returns(spark, sf_dir), WEIGHTS, PROXY)).cache()

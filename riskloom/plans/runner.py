@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import __version__
@@ -70,13 +70,12 @@ def realizations(panel: DataFrame, config: Config) -> DataFrame:
 def historical(panel: DataFrame, config: Config, checksum: str = "") -> Artifacts:
     h = config.historical
     parts, grids = [], []
-    for model, size, path in (
-        (models.HISTORICAL_VARIANCE, h.variance_window, models.variance_path(panel, h.variance_window)),
-        (models.HISTORICAL_SIMULATION, h.var_window, models.simulation_path(panel, h.var_window, h.quantile_method)),
+    for model, size, values, keep in (
+        (models.HISTORICAL_VARIANCE, h.variance_window, models.with_variance(panel, h.variance_window), ("variance", "volatility")),
+        (models.HISTORICAL_SIMULATION, h.var_window, models.with_simulation(panel, h.var_window, h.quantile_method), models.QUANTILE_COLUMNS),
     ):
-        grid = windows.trailing_windows(panel, size, config.periods, model)
-        grids.append(_table(grid))
-        rows = _ids(grid.join(path, ["series_id", "pos"]), config, checksum, F.col("forecast_origin"), F.col("train_start"), F.col("train_end"))
+        grids.append(_table(windows.trailing_windows(panel, size, config.periods, model)))
+        rows = _ids(windows.trailing_windows(values, size, config.periods, model, keep), config, checksum, F.col("forecast_origin"), F.col("train_start"), F.col("train_end"))
         parts.append(_finished(rows, config))
     empty = panel.sparkSession.createDataFrame([], DIAGNOSTIC_SCHEMA)
     return Artifacts(grids[0].unionByName(grids[1]), realizations(panel, config), parts[0].unionByName(parts[1]), empty)
@@ -86,7 +85,9 @@ def ewma(panel: DataFrame, config: Config, checksum: str = "") -> Artifacts:
     e = config.ewma
     grid = windows.expanding_windows(panel, e.initialization_window, config.periods, models.EWMA)
     first = grid.groupBy("series_id").agg(F.min_by(F.struct("forecast_origin", "train_start", "train_end"), "forecast_origin").alias("first"))
-    rows = grid.join(models.ewma_path(panel, e.lambda_, e.initialization_window), ["series_id", "pos"]).join(first, "series_id")
+    rows = windows.expanding_windows(models.with_ewma(panel, e.lambda_, e.initialization_window), e.initialization_window, config.periods, models.EWMA, models.NORMAL_COLUMNS)
+    start = F.first(F.struct("forecast_origin", "train_start", "train_end")).over(Window.partitionBy("series_id").orderBy("pos"))
+    rows = rows.withColumn("first", start)
     rows = _ids(rows, config, checksum, F.col("first.forecast_origin"), F.col("first.train_start"), F.col("first.train_end"))
     fits = first.withColumn("model_id", F.lit(models.EWMA)).select(
         ids.fit_id(config.experiment.experiment_id, checksum, __version__, F.col("series_id"), F.col("model_id"), F.col("first.forecast_origin"), F.col("first.train_start"), F.col("first.train_end")).alias("fit_id"),
@@ -111,13 +112,9 @@ def ewma(panel: DataFrame, config: Config, checksum: str = "") -> Artifacts:
 def garch_candidates(panel: DataFrame, config: Config, checksum: str = "", optimiser=garch.maximise) -> Artifacts:
     g = config.garch
     grid = windows.refit_windows(panel, g.estimation_window, g.refit_every_origins, config.periods, list(garch.MODELS))
-    key = ["series_id", "model_id", "fit_block"]
-    starts = grid.where("scheduled_refit").select(*key, F.col("forecast_origin").alias("fit_origin"), F.col("train_start").alias("fit_start"), F.col("train_end").alias("fit_end"), F.col("train_observation_count").alias("observation_count"))
-    fitted = garch.garch_rows(panel, grid, g, optimiser).cache()  # read for forecasts and diagnostics
-    rows = grid.drop("train_start", "train_end").join(fitted, [*key, "forecast_origin"]).join(starts, key)
-    rows = _ids(rows, config, checksum, F.col("fit_origin"), F.col("fit_start"), F.col("fit_end"))
-    fits = fitted.join(starts, key).where(F.col("forecast_origin") == F.col("fit_origin")).withColumn("train_start", F.col("fit_start")).withColumn("train_end", F.col("fit_end")).withColumn("warning_codes", F.lit("[]"))
-    fits = fits.withColumn("fit_id", ids.fit_id(config.experiment.experiment_id, checksum, __version__, F.col("series_id"), F.col("model_id"), F.col("fit_origin"), F.col("fit_start"), F.col("fit_end")))
+    fitted = garch.garch_rows(panel, g, config.periods, optimiser).cache()  # read for forecasts and diagnostics
+    rows = _ids(fitted, config, checksum, F.col("fit_origin"), F.col("fit_start"), F.col("fit_origin"))
+    fits = rows.where(F.col("forecast_origin") == F.col("fit_origin")).withColumn("train_start", F.col("fit_start")).withColumn("train_end", F.col("fit_origin")).withColumn("warning_codes", F.lit("[]"))
     return Artifacts(_table(grid), realizations(panel, config), _finished(rows, config), fits.select(*DIAGNOSTICS))
 
 

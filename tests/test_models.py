@@ -140,7 +140,7 @@ def block(n: int, bad_at: int | None = None) -> pd.DataFrame:
     returns = [0.01] * n
     if bad_at is not None:
         returns[bad_at] = math.nan
-    return pd.DataFrame({"series_id": "A", "model_id": garch.GARCH_GAUSSIAN, "fit_block": 0, "forecast_origin": business_days(date(2020, 1, 1), n), "origin_return": returns, "history": [simulated(200).tolist()] + [None] * (n - 1)})
+    return pd.DataFrame({"series_id": "A", "model_id": garch.GARCH_GAUSSIAN, "fit_block": 0, "forecast_origin": business_days(date(2020, 1, 1), n), "target_date": business_days(date(2020, 1, 2), n), "train_start": date(2019, 1, 1), "origin_return": returns, "history": [simulated(200).tolist()] + [None] * (n - 1)})
 
 
 def fixed(scaled, start):
