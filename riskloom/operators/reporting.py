@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.errors import fail
 from riskloom.functions import scoring
 from riskloom.operators import models as m
 from riskloom.operators.evaluation import ALL, KEY
@@ -95,8 +96,12 @@ def rolling_advantage(differences: DataFrame, window: int, periods: tuple[str, .
     candidate's benchmark have it; a window with a missing day has no value."""
     rows = differences.where(F.col("period").isin(*periods))
     expected = rows.agg(F.countDistinct("series_id")).first()[0]
+    if not expected:
+        return rows.select("model_id", "metric", "target_date", F.col("difference").alias("rolling_difference"))
     daily = rows.groupBy("model_id", "metric", "target_date").agg(F.countDistinct("series_id").alias("n"), F.avg("difference").alias("difference")).where(F.col("n") == expected)
-    calendar = rows.select("target_date").distinct().crossJoin(F.broadcast(rows.select("model_id", "metric").distinct()))  # a few models
+    kinds = rows.select("model_id", "metric").distinct().collect()  # a few models
+    each = F.array(*[F.struct(F.lit(k.model_id).alias("model_id"), F.lit(k.metric).alias("metric")) for k in kinds])
+    calendar = rows.select("target_date").distinct().select("target_date", F.explode(each).alias("kind")).select("target_date", "kind.*")
     full = calendar.join(daily.drop("n"), ["model_id", "metric", "target_date"], "left")
     frame = Window.partitionBy("model_id", "metric").orderBy("target_date").rowsBetween(1 - window, 0)
     return full.select("model_id", "metric", "target_date", F.when(F.count("difference").over(frame) == window, F.avg("difference").over(frame)).alias("rolling_difference"))
@@ -113,8 +118,6 @@ def period_context(realizations: DataFrame) -> DataFrame:
     days = realizations.select("period", "target_date").distinct()
     twice = days.groupBy("target_date").count().where("count > 1").limit(1).count()
     if twice:
-        from riskloom.errors import fail
-
         raise fail("ARTIFACT_RECONCILIATION_FAILED", "A date lies in two periods.")
     return days.groupBy("period").agg(F.min("target_date").alias("first_date"), F.max("target_date").alias("last_date"))
 
