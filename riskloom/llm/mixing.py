@@ -70,9 +70,9 @@ def budgets(leaves: DataFrame, percent: int, epochs: int) -> DataFrame:
     """leaves(domain, language, origin, tokens) with their budget (tokens)."""
     most = (F.col("tokens") * epochs).alias("most")
     leaves = leaves.where("tokens > 0").select(*_LEAF, "tokens", most)
-    total = leaves.agg((F.sum("tokens") * percent).alias("t")).select(F.expr("t div 100").alias("budget"))
+    total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * percent // 100
     top = leaves.groupBy("domain").agg(F.sum("most").alias("most")).withColumn("weight", _weight(F.col("domain"), DOMAINS)).withColumn("root", F.lit(0))
-    top = _dealt(top.crossJoin(F.broadcast(total)), ["root"], "domain").select("domain", F.col("share").alias("budget"))  # total is one row
+    top = _dealt(top.withColumn("budget", F.lit(total).cast("long")), ["root"], "domain").select("domain", F.col("share").alias("budget"))
     middle = leaves.groupBy("domain", "language").agg(F.sum("most").alias("most")).withColumn("weight", _weight(F.col("language"), LANGUAGES))
     middle = _dealt(middle.join(top, "domain"), ["domain"], "language").select("domain", "language", F.col("share").alias("budget"))
     lowest = leaves.withColumn("weight", F.lit(SOURCE).cast("long")).join(middle, ["domain", "language"])
@@ -94,8 +94,9 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     key = {f"{prefix}domain": domain_of(named(source_col)), f"{prefix}language": named(lang_col), f"{prefix}origin": named(source_col), f"{prefix}tokens": token_count(F.col(text_col))}
     leaf = [f"{prefix}{c}" for c in _LEAF]
     rows = df.withColumns(key).where(F.col(f"{prefix}tokens") > 0).withColumn(f"{prefix}salt", salt_of(SALTS, F.col(id_col)))
-    narrow = written(rows.select(*[F.col(c).alias(c.removeprefix(prefix)) for c in leaf], F.col(f"{prefix}tokens").alias("tokens"), F.col(f"{prefix}salt").alias("salt"), F.col(id_col).cast("string").alias("id")), "leaves")
-    dealt = written(budgets(narrow.groupBy(*_LEAF).agg(F.sum("tokens").alias("tokens")), percent, epochs), "budgets")
+    narrow = written(rows.select(*[F.col(c).alias(c.removeprefix(prefix)) for c in leaf], F.col(f"{prefix}tokens").alias("tokens"), F.col(f"{prefix}salt").alias("salt"), F.col(id_col).cast("string").alias("id")), "narrow")
+    leaves = written(narrow.groupBy(*_LEAF).agg(F.sum("tokens").alias("tokens")), "leaves")
+    dealt = written(budgets(leaves, percent, epochs), "budgets")
     # Every key is salted on both sides, so no leaf is one key of a join.
     plan = dealt.select(*_LEAF, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("tokens").alias("leaf_tokens"), F.col("budget").alias("leaf_budget"), F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest"))
     spot = lambda id_, whole: F.md5(F.concat_ws("|", F.lit(str(seed)), whole.cast("string"), F.coalesce(id_, F.lit(""))).cast("binary"))
