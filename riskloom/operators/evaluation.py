@@ -19,6 +19,7 @@ from riskloom.errors import fail
 from riskloom.functions import scoring
 from riskloom.functions.special import chi_square_1
 from riskloom.operators import models as m
+from riskloom.session import importable
 
 # Table columns, period and series names, metric names.
 KEY = ("series_id", "forecast_origin", "target_date")
@@ -126,6 +127,7 @@ def exception_counts(observations: DataFrame, keys: list[str]) -> DataFrame:
 def coverage_wide(counts: DataFrame) -> DataFrame:
     """Kupiec, Christoffersen and conditional coverage statistics from counts and
     tail_probability; those that need transitions are null where any kind is missing."""
+    importable(counts.sparkSession)
     x, n, p = F.col("exception_count").cast("double"), F.col("observation_count").cast("double"), F.col("tail_probability")
     n00, n01, n10, n11 = (F.col(f"n{a}{b}").cast("double") for a in (0, 1) for b in (0, 1))
     enough = (n00 > 0) & (n01 > 0) & (n10 > 0) & (n11 > 0)
@@ -191,6 +193,7 @@ def block_means(groups: list[np.ndarray], block: int, resamples: int, seed: int)
 def intervals(pairs: DataFrame, config: Config) -> DataFrame:
     """Bootstrap interval of the mean difference for each comparison, by series and pooled.
     One task has one comparison; the pooled ones draw over their series in name order."""
+    importable(pairs.sparkSession)
     e, seed = config.evaluation, config.experiment.random_seed
     tail = (1 - e.bootstrap_confidence) / 2
     keys = ["period", "model_id", "benchmark_model_id", "metric", "series_id"]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from riskloom.errors import fail
 from riskloom.functions.scoring import loss_quantile
 from riskloom.functions.special import Z_01, Z_05
+from riskloom.session import importable
 
 # Model names.
 HISTORICAL_VARIANCE = "historical_variance"
@@ -107,6 +108,7 @@ def _in_order(panel: DataFrame, step) -> DataFrame:
         rows["variance"] = pd.Series(step(rows["simple_return"].to_numpy(float)), index=rows.index, dtype=object)
         return rows
 
+    importable(panel.sparkSession)
     schema = "series_id string, series_pos int, date date, pos int, simple_return double, variance double"
     return panel.select("series_id", "series_pos", "date", "pos", "simple_return").groupBy("series_id").applyInPandas(path, schema)
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskloom.operators.models import checked_variance, ewma_step
+from riskloom.session import importable
 
 OUTPUT = "series_id string, date date, variance double"
 STATE = "seen int, variance double, first array<double>"
@@ -40,4 +41,5 @@ def ewma_stream(returns: DataFrame, decay: float, first: int) -> DataFrame:
         state.update((seen, variance, start))
         yield pd.DataFrame(out, columns=["series_id", "date", "variance"])
 
+    importable(returns.sparkSession)
     return returns.groupBy("series_id").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
