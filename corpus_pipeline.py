@@ -12,12 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import common, exact_dedup, jaccard_join, mixing, packing, quality
-from riskloom.session import importable
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores under its threshold go."""
-    importable(spark)
     model, _ = quality.trained(docs, quality.labels_of(spark, sf_dir))
     score = common.free_name(docs, "score")
     return quality.with_score(docs, model, score, least=quality.THRESHOLD).drop(score)
@@ -31,7 +29,6 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents joined by 5-word shingle Jaccard of 0.8 or more, the one
     with the smallest id stays. Documents with a null id stay."""
-    importable(spark)
     groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
     gone = common.written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
@@ -44,7 +41,6 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of a power-of-two length with digests of their ids."""
-    importable(spark)
     return packing.digest(packing.pack(docs))
 
 

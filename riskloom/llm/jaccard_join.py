@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import documents, salt_of, written
 from riskloom.llm.components import connected_components
 from riskloom.llm.shingles import mix, sets_of
+from riskloom.session import importable
 
 BLOCK = 128
 CHUNK = 128
@@ -174,7 +175,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    spark = df.sparkSession
+    importable(df.sparkSession)
     edge = int(min(0.49, 1.75 * (1 - percent / 100) + 0.005) * 2**64)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = written(texts.mapInArrow(partial(_sketches, k=k, percent=percent, edge=edge), _SKETCH), "sketches")
