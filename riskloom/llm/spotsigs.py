@@ -3,7 +3,8 @@
 A signature is a common-word anchor with the next CHAIN content words after it (anchors in
 between are skipped). One regular-expression pass over the normalised text writes each
 anchor's chain in front of it, so the work is linear in the text. A document's fingerprint is
-the sorted set of its signature hashes. Texts with few anchors (under one in FEW words; other
+the sorted set of its signature hashes; a signature that occurs 2, 4, 8 ... (up to 2^LEVELS) times
+adds one more hash each, so texts that repeat a few sentences keep their weight. Texts with few anchors (under one in FEW words; other
 languages, lists) also get every word as an anchor; texts without CHAIN + 1 words in a row get
 one signature, the whole text. Only the empty text has an empty fingerprint.
 
@@ -31,6 +32,7 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 FEW = 10
+LEVELS = 12
 BUCKET_BITS = 6
 
 
@@ -56,7 +58,21 @@ _MARKED = "\u0002$1 $2 $3\u0003"
 def _chains(norm: Column, pattern: str) -> Column:
     marked = F.regexp_replace(norm, pattern, _MARKED)
     pieces = F.split(marked, "\u0002", -1)
-    return F.array_distinct(F.transform(F.slice(pieces, F.lit(2), F.lit(1 << 30)), lambda x: F.xxhash64(F.substring_index(x, "\u0003", 1))))
+    return F.transform(F.slice(pieces, F.lit(2), F.lit(1 << 30)), lambda x: F.xxhash64(F.substring_index(x, "\u0003", 1)))
+
+
+def _tagged(level: int):
+    return lambda x: F.xxhash64(x, F.lit(level))
+
+
+def _at_least(ordered: str, level: int) -> Column:
+    """The values that occur 2^level times or more in a sorted array, each once."""
+    n = 1 << level
+
+    def here(x, i):
+        return (i >= n - 1) & (x == F.get(F.col(ordered), i - (n - 1))) & ((i < n) | (x != F.get(F.col(ordered), i - n)))
+
+    return F.filter(ordered, here)
 
 
 def normalised(text: Column) -> Column:
@@ -65,14 +81,18 @@ def normalised(text: Column) -> Column:
 
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the sorted signature hashes of the (non-null) text column as column `out`."""
-    norm, spots, words = f"_{out}_norm", f"_{out}_spots", f"_{out}_words"
+    norm, spots, words, again = f"_{out}_norm", f"_{out}_spots", f"_{out}_words", f"_{out}_again"
     df = df.withColumn(norm, normalised(F.col(text)))
     df = df.withColumn(words, F.length(norm) - F.length(F.translate(norm, " ", "")) - 1)
     df = df.withColumn(spots, _chains(F.col(norm), _SPOT))
-    some = F.when(F.size(spots) * FEW >= F.col(words), F.col(spots)).otherwise(F.array_union(F.col(spots), _chains(F.col(norm), _ANY)))
-    df = df.withColumn(out, F.sort_array(some))
+    some = F.when(F.size(spots) * FEW >= F.col(words), F.col(spots)).otherwise(F.concat(F.col(spots), _chains(F.col(norm), _ANY)))
+    df = df.withColumn(spots, F.sort_array(some)).withColumn(out, F.array_distinct(spots)).withColumn(again, F.col(spots))
+    for level in range(1, LEVELS + 1):
+        df = df.withColumn(again, F.when(F.size(again) > 0, _at_least(spots, level)).otherwise(F.array().cast("array<bigint>")))
+        df = df.withColumn(out, F.when(F.size(again) > 0, F.concat(out, F.transform(again, _tagged(level)))).otherwise(F.col(out)))
+    df = df.withColumn(out, F.sort_array(out))
     whole = F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.when(F.col(words) > 0, F.col(norm)).otherwise(F.col(text)))))
-    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(whole)).drop(norm, spots, words)
+    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(whole)).drop(norm, spots, words, again)
 
 
 def as_text(signatures: Column) -> Column:
