@@ -81,18 +81,18 @@ def normalised(text: Column) -> Column:
 
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the sorted signature hashes of the (non-null) text column as column `out`."""
-    norm, spots, words, again = f"_{out}_norm", f"_{out}_spots", f"_{out}_words", f"_{out}_again"
+    norm, spots, words = f"_{out}_norm", f"_{out}_spots", f"_{out}_words"
+    again = [f"_{out}_again{level}" for level in range(LEVELS + 1)]
     df = df.withColumn(norm, normalised(F.col(text)))
     df = df.withColumn(words, F.length(norm) - F.length(F.translate(norm, " ", "")) - 1)
     df = df.withColumn(spots, _chains(F.col(norm), _SPOT))
     some = F.when(F.size(spots) * FEW >= F.col(words), F.col(spots)).otherwise(F.concat(F.col(spots), _chains(F.col(norm), _ANY)))
-    df = df.withColumn(spots, F.sort_array(some)).withColumn(out, F.array_distinct(spots)).withColumn(again, F.col(spots))
-    for level in range(1, LEVELS + 1):
-        df = df.withColumn(again, F.when(F.size(again) > 0, _at_least(spots, level)).otherwise(F.array().cast("array<bigint>")))
-        df = df.withColumn(out, F.when(F.size(again) > 0, F.concat(out, F.transform(again, _tagged(level)))).otherwise(F.col(out)))
-    df = df.withColumn(out, F.sort_array(out))
+    df = df.withColumn(spots, F.sort_array(some)).withColumn(again[0], F.col(spots))
+    for level in range(1, LEVELS + 1):  # none is left to look for once a level is empty
+        df = df.withColumn(again[level], F.when(F.size(again[level - 1]) > 0, _at_least(spots, level)).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn(out, F.sort_array(F.concat(F.array_distinct(spots), *[F.transform(again[k], _tagged(k)) for k in range(1, LEVELS + 1)])))
     whole = F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.when(F.col(words) > 0, F.col(norm)).otherwise(F.col(text)))))
-    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(whole)).drop(norm, spots, words, again)
+    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(whole)).drop(norm, spots, words, *again)
 
 
 def as_text(signatures: Column) -> Column:
@@ -116,7 +116,8 @@ def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Pairs (a, b, likeness) of class representatives whose likeness is at least `threshold`.
     Rows with equal fingerprints are one class, represented by its smallest id; empty texts
     link with nothing."""
-    found = fingerprints(df, id_col, text_col).where(F.size("signatures") > 0).withColumn("print", as_text(F.col("signatures")))
+    # Empty sets have no head below, so they need no filter (which would compute sets twice).
+    found = fingerprints(df, id_col, text_col).withColumn("print", as_text(F.col("signatures")))
     sets = found.groupBy("print").agg(F.min(id_col).alias("id"), F.first("signatures").alias("s")).select("id", "s", F.size("s").alias("n"))
     part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
