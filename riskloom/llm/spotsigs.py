@@ -4,9 +4,12 @@ A signature is a common-word anchor with the next CHAIN content words after it (
 between are skipped). One regular-expression pass over the normalised text writes each
 anchor's chain in front of it, so the work is linear in the text. A document's fingerprint is
 the sorted set of its signature hashes; a signature that occurs 2, 4, 8 ... (up to 2^LEVELS) times
-adds one more hash each, so texts that repeat a few sentences keep their weight. Texts with few anchors (under one in FEW words; other
-languages, lists) also get every word as an anchor; texts without CHAIN + 1 words in a row get
-one signature, the whole text. Only the empty text has an empty fingerprint.
+adds one more hash each, so texts that repeat a few sentences keep their weight. Where anchors
+are few (other languages, lists) words stand in for them, decided from the words around: a word
+with no anchor among the FEW words before and the FEW after it is one, with the next two words,
+and so is an anchor before FEW more anchors. So an edit changes only signatures near it. Texts
+without any chain (a few words) get every word as an anchor; without CHAIN + 1 words in a row
+they get one signature, the whole text. Only the empty text has an empty fingerprint.
 
 similar_pairs compares a corpus: sets are partitioned by length so that sets that can reach
 the threshold lie in the same or in neighbouring partitions, meet there through a signature of
@@ -50,13 +53,19 @@ def _trie(words: list[str]) -> str:
 
 _ANCHOR = _trie(ANCHORS)
 _SKIP = rf"(?: {_ANCHOR}(?= ))*+"
-_SPOT = rf" ({_ANCHOR})(?={_SKIP} ([^ ]+){_SKIP} ([^ ]+) )"
-_ANY = r" ([^ ]+)(?= ([^ ]+) ([^ ]+) )"
-_MARKED = "\u0002$1 $2 $3\u0003"
+_NEXT = "(?= ([^ ]+) ([^ ]+) )"
+_RUN = rf" ({_ANCHOR})(?=(?: {_ANCHOR}(?= )){{{FEW}}}){_NEXT}"
+# A spot takes the FEW content words after it along, so that none of them becomes an anchor.
+_SPOT = rf" ({_ANCHOR})(?={_SKIP} ([^ ]+){_SKIP} ([^ ]+) )(?: (?!{_ANCHOR} )[^ ]++){{0,{FEW}}}+"
+_GAP = rf" (?!{_ANCHOR} )([^ ]++)(?! (?:[^ ]++ ){{0,{FEW - 1}}}?{_ANCHOR} ){_NEXT}"
+_LOCAL = "|".join((_RUN, _SPOT, _GAP))
+_ANY = rf" ([^ ]+){_NEXT}"
+# Groups of the alternatives that did not match are empty.
+_MARKED = {_LOCAL: "\u0002$1$4$7 $2$5$8 $3$6$9\u0003", _ANY: "\u0002$1 $2 $3\u0003"}
 
 
 def _chains(norm: Column, pattern: str) -> Column:
-    marked = F.regexp_replace(norm, pattern, _MARKED)
+    marked = F.regexp_replace(norm, pattern, _MARKED[pattern])
     pieces = F.split(marked, "\u0002", -1)
     return F.transform(F.slice(pieces, F.lit(2), F.lit(1 << 30)), lambda x: F.xxhash64(F.substring_index(x, "\u0003", 1)))
 
@@ -85,8 +94,8 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     again = [f"_{out}_again{level}" for level in range(LEVELS + 1)]
     df = df.withColumn(norm, normalised(F.col(text)))
     df = df.withColumn(words, F.length(norm) - F.length(F.translate(norm, " ", "")) - 1)
-    df = df.withColumn(spots, _chains(F.col(norm), _SPOT))
-    some = F.when(F.size(spots) * FEW >= F.col(words), F.col(spots)).otherwise(F.concat(F.col(spots), _chains(F.col(norm), _ANY)))
+    df = df.withColumn(spots, _chains(F.col(norm), _LOCAL))
+    some = F.when(F.size(spots) > 0, F.col(spots)).otherwise(_chains(F.col(norm), _ANY))
     df = df.withColumn(spots, F.sort_array(some)).withColumn(again[0], F.col(spots))
     for level in range(1, LEVELS + 1):  # none is left to look for once a level is empty
         df = df.withColumn(again[level], F.when(F.size(again[level - 1]) > 0, _at_least(spots, level)).otherwise(F.array().cast("array<bigint>")))

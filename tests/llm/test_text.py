@@ -80,6 +80,20 @@ def test_signatures(spark):
     assert rows[0] == rows[51] and all(s == sorted(set(s)) for s in rows.values())
 
 
+def test_an_edit_changes_only_signatures_near_it(spark):
+    """A few anchors more or less do not decide about the signatures of the whole text."""
+    words = [f"w{i}" for i in range(200)]
+    few, more = words.copy(), words.copy()
+    few[195:195] = ["the", "of"]
+    more[160:] = [x for w in words[160:] for x in ("the", w)]
+    runs = ["the", "of", "and"] * 60
+    texts = [words, few, more, runs, [*runs, "stone", "river"]]
+    rows = spotsigs.fingerprints(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    sets = {r.doc_id: set(r.signatures) for r in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert alike(0, 1) > 0.8 and alike(0, 2) > 0.5 and alike(1, 2) > 0.5 and alike(3, 4) > 0.5
+
+
 def test_next_document(spark, messy, pairs, empty):
     got = spotsigs.with_next(messy.where("doc_id IS NOT NULL"), "doc_id", "text").collect()
     known = sorted((i, t or "") for i, t in pairs if i is not None)
