@@ -144,3 +144,23 @@ def test_components_of_a_path(spark):
     got = {r.node: r.label for r in components.connected_components(links, labels).collect()}
     assert {got[f"{i:03d}"] for i in range(n)} == {1} and got["x"] is None
     assert components.connected_components(links.limit(0), labels.where(F.lit(False))).count() == 0
+
+
+def test_components_of_a_long_shuffled_path(spark):
+    n = 1000
+    labels = list(range(n))
+    random.Random(5).shuffle(labels)
+    nodes = spark.createDataFrame(list(enumerate(labels)), "node long, label long")
+    links = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    got = components.connected_components(links, nodes).collect()
+    assert len(got) == n and {r.label for r in got} == {0}
+
+
+def test_a_chain_of_revisions_is_one_component(spark):
+    """Each text links with its neighbours only: 16 of 18 shingles are shared, then 15 of 19."""
+    n, width = 400, 19
+    ids = list(range(n))
+    random.Random(6).shuffle(ids)
+    texts = [(ids[i], " ".join(f"w{j}" for j in range(i, i + width))) for i in range(n)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), k=3, percent=80).collect()
+    assert len(got) == n and {r.component_id for r in got} == {0}
