@@ -43,7 +43,6 @@ def features_of(data: bytes) -> list[float]:
     high, space = c[128:].sum(), c[9:14].sum() + c[32]
     usual = c[[33, 34, 39, 40, 41, 44, 45, 46, 58, 59, 63]].sum()
     other = n - upper - lower - digit - high - space - usual
-    sample = words[:: max(1, k // 50_000)]
     distinct = len(set(words)) / k
     return [
         min(np.log1p(k) / 8, 2.0),
@@ -58,9 +57,9 @@ def features_of(data: bytes) -> list[float]:
         distinct,
         (distinct - min(1.0, 3.0 / np.sqrt(k))) if k > 9 else 0.0,
         np.sqrt(sum(map(eq, words, words[1:])) / k) * min(1.0, k / 30),
-        np.sqrt(sum(len(w) == 1 for w in sample) / max(1, len(sample))),
+        np.sqrt(sum(len(w) == 1 for w in words) / k),
         len(set(lines)) / len(lines),
-        np.sqrt(max(0.0, 1 - sum(w[-1:].isalnum() or w[-1:] > b"\x7f" for w in sample) / max(1, len(sample)))),
+        np.sqrt(max(0.0, 1 - sum(w[-1:].isalnum() or w[-1:] > b"\x7f" for w in words) / k)),
     ]
 
 

@@ -110,3 +110,9 @@ def test_risk_is_corrected_when_negative():
     g = slopes(out, 1 / (1 + np.exp(-out)), positive)
     assert g[2] < 0 and g[0] > 0
 
+
+def test_features_read_every_word_of_a_long_text():
+    one_letter, ending = 12, 14
+    got = quality.features_of(b"a river, " * 60_000)
+    assert np.allclose([got[one_letter], got[ending]], np.sqrt(0.5))
+    assert quality.features_of(b" \n ")[ending] == 1.0
