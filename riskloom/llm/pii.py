@@ -1,7 +1,8 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 One regular expression finds e-mail addresses, IPv4 addresses, payment cards (Luhn), phone
-numbers, national ids and titled names. Every distinct entity gets a surrogate derived from a
+numbers, national ids and titled names. A long run of digits is one match first; a second
+expression then finds the cards, phone numbers and ids in it. Every distinct entity gets a surrogate derived from a
 secret key: of the same type and format, names of the same gender (from the title) and script.
 Surrogates are checked over the whole corpus: no two entities may share one, and none may be
 an entity that occurs; losers are derived again with the next round number until none is left.
@@ -21,6 +22,10 @@ ROUNDS = 40
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
+# A run of 13 digits or more with single blanks or hyphens; it ends before a group that begins an e-mail or IP address.
+_RUN = r"(?<![0-9])[0-9](?=(?:[ -]?[0-9]){12})[0-9 -]*(?:(?<= )|(?<=[0-9-])(?![0-9]|\.[0-9]|[A-Za-z0-9._%+-]*+@))"
+# Groupings of cards, tried from every group of a run; a match of Luhn's sum by another grouping counts only where a run holds nothing else.
+_GROUPED = [r"[3-6][0-9]{3}(?:[ -][0-9]{4}){3}", r"3[0-9]{3}[ -][0-9]{6}[ -][0-9]{5}", r"3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4}", r"[3-6][0-9]{12,18}", r"[3-6][0-9]{3}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}"]
 _CARD = r"(?<![0-9])[3-6](?:[ -]?[0-9]){12,18}(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 _PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"
@@ -28,7 +33,8 @@ _PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[
 TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "господин": "m", "госпожа": "f", "Dr": "n", "Prof": "n"}
 _TITLE = "(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.?"
 _NAME = rf"(?<![\p{{L}}]){_TITLE} \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?(?: \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?)?"
-ENTITY = "|".join((_EMAIL, _IP, _CARD, _PHONE, _SSN, _NAME))
+ENTITY = "|".join((_EMAIL, _IP, _RUN, _PHONE, _SSN, _NAME))
+_IN_RUN = f"{_SSN}|{_PHONE}"
 
 # Given names by script and gender; family names are built from syllables of the script.
 GIVEN = {
@@ -60,6 +66,22 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(chars, value), F.lit(0), lambda a, x: a + x)
 
 
+def _parts(match: Column) -> Column:
+    """The pieces of a match in order, as structs (text, hit): hits are entities, unless the
+    kind of one is null; the other pieces stay as they are."""
+    passes = lambda x: _luhn(_digits(x)) % 10 == 0
+    all_of = lambda shape, group: F.regexp_extract_all(match, F.lit(shape), F.lit(group))
+    cards = F.filter(F.concat(*[all_of(rf"(?<![0-9])(?=({shape})(?![0-9]))", 1) for shape in _GROUPED]), passes)
+    others = F.filter(all_of(_CARD, 0), passes)
+    either = lambda found: F.concat(F.lit("(?<![0-9])(?:"), F.array_join(found, "|"), F.lit(")(?![0-9])"))
+    pattern = F.when(F.size(cards) > 0, F.concat(either(cards), F.lit("|" + _IN_RUN))).when(match.rlike(_IN_RUN), F.lit(_IN_RUN)).when(F.size(others) > 0, either(others)).otherwise("(?!)")
+    piece = lambda hit: lambda x: F.struct(x.alias("text"), F.lit(hit).alias("hit"))
+    hits = F.transform(F.regexp_extract_all(match, pattern, F.lit(0)), piece(True))
+    rest = F.transform(F.split(match, pattern, -1), piece(False))
+    inside = F.flatten(F.zip_with(rest, hits, lambda r, h: F.filter(F.array(r, h), lambda x: x.isNotNull())))
+    return F.when(match.rlike(rf"^{_RUN}$"), inside).otherwise(F.array(F.struct(match.alias("text"), F.lit(True).alias("hit"))))
+
+
 def canonical(kind: Column, match: Column) -> Column:
     """What makes two mentions the same entity: case and separators do not count."""
     name = F.regexp_replace(match, rf"^({_TITLE}) ", "")
@@ -143,6 +165,12 @@ def in_format(kind: Column, match: Column, surrogate: Column) -> Column:
     return F.when(kind.isin("email", "ip"), F.when((kind == "email") & loud, F.upper(surrogate)).otherwise(surrogate)).when(kind == "name", named).otherwise(filled)
 
 
+def _joined(parts: Column) -> Column:
+    """The new texts of matches from their parts in order; no part holds the mark U+0001."""
+    marked = F.transform(parts, lambda x: F.concat(F.when(x["part"] == 0, "\u0001").otherwise(""), x["new"]))
+    return F.filter(F.split(F.array_join(marked, ""), "\u0001", -1), lambda x, i: i > 0)
+
+
 def surrogates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """One row per input row: id_col, n_entities, text with surrogates.
 
@@ -152,14 +180,15 @@ def surrogates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     """
     rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("print", F.xxhash64("text"))
     found = F.when(F.col("text").rlike(ENTITY), F.regexp_extract_all(F.col("text"), F.lit(ENTITY), F.lit(0)))
-    mentions = rows.select("id", "print", found.alias("matches")).where("matches IS NOT NULL").select("id", "print", F.posexplode("matches").alias("at", "match"))
-    mentions = mentions.withColumn("kind", kind_of(F.col("match"))).withColumn("canon", canonical(F.col("kind"), F.col("match")))
+    mentions = rows.select("id", "print", found.alias("matches")).where("matches IS NOT NULL").select("id", "print", F.posexplode("matches").alias("at", "whole"))
+    mentions = mentions.select("id", "print", "at", F.posexplode(_parts(F.col("whole"))).alias("part", "piece")).select("id", "print", "at", "part", F.col("piece.text").alias("match"), "piece.hit")
+    mentions = mentions.withColumn("kind", F.when(F.col("hit"), kind_of(F.col("match")))).withColumn("canon", canonical(F.col("kind"), F.col("match")))
     mentions = written(mentions, "mentions")
     known = assigned(mentions.where("kind IS NOT NULL").select("kind", "canon").distinct(), key)
-    chosen = mentions.where("kind IS NOT NULL").join(known, ["kind", "canon"]).select("id", "print", "at", in_format(F.col("kind"), F.col("match"), F.col("surrogate")).alias("new"), F.lit(1).alias("one"))
-    kept = mentions.where("kind IS NULL").select("id", "print", "at", F.col("match").alias("new"), F.lit(0).alias("one"))
-    listed = chosen.unionByName(kept).distinct().groupBy("id", "print").agg(F.sort_array(F.collect_list(F.struct("at", "new", "one"))).alias("news"))
-    listed = listed.select(F.col("id").alias("_id"), F.col("print").alias("_print"), F.transform("news", lambda x: x["new"]).alias("news"), F.aggregate("news", F.lit(0).cast("long"), lambda a, x: a + x["one"]).alias("n"))
+    chosen = mentions.where("kind IS NOT NULL").join(known, ["kind", "canon"]).select("id", "print", "at", "part", in_format(F.col("kind"), F.col("match"), F.col("surrogate")).alias("new"), F.lit(1).alias("one"))
+    kept = mentions.where("kind IS NULL").select("id", "print", "at", "part", F.col("match").alias("new"), F.lit(0).alias("one"))
+    listed = chosen.unionByName(kept).distinct().groupBy("id", "print").agg(F.sort_array(F.collect_list(F.struct("at", "part", "new", "one"))).alias("news"))
+    listed = listed.select(F.col("id").alias("_id"), F.col("print").alias("_print"), _joined(F.col("news")).alias("news"), F.aggregate("news", F.lit(0).cast("long"), lambda a, x: a + x["one"]).alias("n"))
     pieces = rows.select("id", "print", F.when(F.col("text").rlike(ENTITY), F.split("text", ENTITY, -1)).otherwise(F.array("text")).alias("pieces"))
     both = pieces.join(listed, pieces["id"].eqNullSafe(listed["_id"]) & (pieces["print"] == listed["_print"]), "left")
     whole = F.array_join(F.zip_with("pieces", "news", lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
