@@ -28,11 +28,23 @@ _RUN = r"(?<![0-9])[0-9](?=(?:[ -]?[0-9]){12})[0-9 -]*(?:(?<= )|(?<=[0-9-])(?![0
 _GROUPED = [r"[3-6][0-9]{3}(?:[ -][0-9]{4}){3}", r"3[0-9]{3}[ -][0-9]{6}[ -][0-9]{5}", r"3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4}", r"[3-6][0-9]{12,18}", r"[3-6][0-9]{3}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}"]
 _CARD = r"(?<![0-9])[3-6](?:[ -]?[0-9]){12,18}(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
-_PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"
+_PHONE = "|".join(
+    (
+        r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{2,4}(?![0-9])",
+        r"\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)(?:[ .-]?[0-9]){5,11}(?![0-9])",
+        r"\+[0-9](?:[ .-]?[0-9]){7,14}(?![0-9])",
+        r"(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+        r"(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])",
+        r"(?<![0-9.-])[0-9]{3} [0-9]{3} [0-9]{4}(?![0-9]|[.-][0-9])",
+        r"(?<![0-9.-])(?<![0-9] )0[1-9](?: [0-9]{2}){4}(?![0-9]|[ .-][0-9])",
+        r"(?<![0-9.-])(?<![0-9] )0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}(?![0-9]|[ .-][0-9])",
+    )
+)
 # Titles and the gender they tell: f, m or n.
 TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "господин": "m", "госпожа": "f", "Dr": "n", "Prof": "n"}
 _TITLE = "(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.?"
-_NAME = rf"(?<![\p{{L}}]){_TITLE} \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?(?: \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?)?"
+_PART = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}[\p{L}\p{M}]*+(?:['’]\p{Lu}[\p{L}\p{M}]*+)*+"
+_NAME = rf"(?<![\p{{L}}]){_TITLE} {_PART}(?:-{_PART})*(?: {_PART}(?:-{_PART})*)?(?!\p{{L}})"
 ENTITY = "|".join((_EMAIL, _IP, _RUN, _PHONE, _SSN, _NAME))
 _IN_RUN = f"{_SSN}|{_PHONE}"
 

@@ -168,6 +168,17 @@ def test_entities_inside_a_long_run_of_digits(spark):
     assert got[0].endswith(" 12/25 now") and got[1].endswith(" 123") and got[3].endswith(" 2019")
 
 
+def test_usual_forms_of_phones_and_names(spark):
+    phones = ["+14155550123", "+442079460958", "+33 1 23 45 67 89", "555 123 4567", "01 23 45 67 89", "020 7946 0958", "+44 (0)20 7946 0958", "+1 (212) 555-0188"]
+    names = ["McDonald", "O'Brien", "D’Angelo", "Smith-Jones", "MacLeod"]
+    got = replaced(spark, [f"call {x}, now" for x in phones] + [f"Mr {x} left" for x in names] + ["Mr Smith's dog", "1 555 123 456 789"])
+    for text, new in zip(phones, got, strict=False):
+        assert re.fullmatch("call " + re.escape(re.sub("[0-9]", "0", text)) + ", now", re.sub("[0-9]", "0", new)) and text not in new, new
+    for text, new in zip(names, got[len(phones) :], strict=False):
+        assert re.fullmatch(r"Mr \w+ left", new) and text[2:] not in new, new
+    assert re.fullmatch(r"Mr \w+'s dog", got[-2]) and "Smith" not in got[-2] and got[-1] == "1 555 123 456 789"
+
+
 def test_surrogates_are_distinct_and_collide_with_nothing(spark):
     """A narrow form (four free digits) forces collisions in the first rounds."""
     canon = [f"{i:04d}" for i in range(0, 3000)]
