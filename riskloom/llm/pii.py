@@ -1,20 +1,26 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 One regular expression finds e-mail addresses, IPv4 addresses, payment cards (Luhn), phone
-numbers, national ids and titled names. A long run of digits is one match first; a second
-expression then finds the cards, phone numbers and ids in it. Every distinct entity gets a surrogate derived from a
-secret key: of the same type and format, names of the same gender (from the title) and script.
+numbers, national ids and titled names; it passes over each text once and marks them. A long
+run of digits is one match first; a second expression then finds the cards, phone numbers and
+ids in it. In a text with titled names, untitled mentions of the same people are marked too:
+whole names, family names and given names.
+
+Every distinct entity gets a surrogate derived from a secret key, of the same type and format.
+A person is the name without its title. Its surrogate is a given name of the gender that the
+corpus' titles tell (neutral where they tell none or both) and the surrogate of its family
+name, both in the name's script, so all mentions of a person or a family stay joined.
 Surrogates are checked over the whole corpus: no two entities may share one, and none may be
-an entity that occurs; losers are derived again with the next round number until none is left.
-An entity gets one surrogate wherever it occurs, so references stay joined.
+an entity that occurs; losers are derived again with the next round number. What still
+collides after ROUNDS rounds is dealt in a ring: each takes the next one's form (see ringed).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import ascii_lower, documents, text_of, written
+from riskloom.llm.common import ascii_lower, documents, salted_lookup, text_of, written
 
 KEY = "riskloom-demo-key"
 ROUNDS = 40
@@ -45,7 +51,9 @@ TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "M
 _TITLE = "(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.?"
 _PART = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}[\p{L}\p{M}]*+(?:['’]\p{Lu}[\p{L}\p{M}]*+)*+"
 _NAME = rf"(?<![\p{{L}}]){_TITLE} {_PART}(?:-{_PART})*(?: {_PART}(?:-{_PART})*)?(?!\p{{L}})"
-ENTITY = "|".join((_EMAIL, _IP, _RUN, _PHONE, _SSN, _NAME))
+#: Each family of forms is tried only where its first character may stand.
+_INITIALS = "".join(sorted({t[0] for t in TITLES}))
+ENTITY = f"{_EMAIL}|(?=[0-9+(])(?:{_IP}|{_RUN}|{_PHONE}|{_SSN})|(?=[{_INITIALS}]){_NAME}"
 _IN_RUN = f"{_SSN}|{_PHONE}"
 
 # Given names by script and gender; family names are built from syllables of the script.
@@ -94,18 +102,26 @@ def _parts(match: Column) -> Column:
     return F.when(match.rlike(rf"^{_RUN}$"), inside).otherwise(F.array(F.struct(match.alias("text"), F.lit(True).alias("hit"))))
 
 
-def canonical(kind: Column, match: Column) -> Column:
-    """What makes two mentions the same entity: case and separators do not count."""
-    name = F.regexp_replace(match, rf"^({_TITLE}) ", "")
-    title = F.regexp_extract(match, rf"^({_TITLE}) ", 1)
-    gender = F.lit("n")
+def gender_of(match: Column) -> Column:
+    """What the title of a mention tells: f, m, or null."""
+    title = F.regexp_replace(F.regexp_extract(match, rf"^({_TITLE}) ", 1), r"\.", "")
+    out = F.lit(None).cast("string")
     for word, g in TITLES.items():
-        gender = F.when(F.regexp_replace(title, r"\.", "") == word, g).otherwise(gender)
+        out = F.when(title == word, g if g != "n" else None).otherwise(out)
+    return out
+
+
+def untitled(match: Column) -> Column:
+    return F.regexp_replace(match, rf"^{_TITLE} ", "")
+
+
+def canonical(kind: Column, match: Column) -> Column:
+    """What makes two mentions the same entity: case, separators and titles do not count."""
     return (
         F.when(kind == "email", ascii_lower(match))
         .when(kind == "ip", match)
         .when(kind == "phone", F.concat(F.when(match.startswith("+"), "+").otherwise(""), _digits(match)))
-        .when(kind == "name", F.concat(gender, F.lit("|"), name))
+        .when(kind.isin("name", "family"), untitled(match))
         .otherwise(_digits(match))
     )
 
@@ -115,8 +131,9 @@ def _pick(stream: Column, at: int, options: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), index + 1)
 
 
-def derived(kind: Column, canon: Column, round_: Column, key: str) -> Column:
-    """The canonical form of the surrogate of an entity, for a round."""
+def derived(kind: Column, canon: Column, gender: Column, family: Column, round_: Column, key: str) -> Column:
+    """The canonical form of the surrogate of an entity, for a round. Names have more room in
+    later rounds."""
     stream = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, round_.cast("string")), 256)
     digits = F.translate(stream, "abcdef", "314159")
     refill = lambda first: F.concat(F.substr(canon, F.lit(1), first), F.substr(digits, F.lit(1), F.length(canon) - first))
@@ -127,43 +144,82 @@ def derived(kind: Column, canon: Column, round_: Column, key: str) -> Column:
     letters = F.translate(F.substr(F.concat(stream, F.sha2(stream, 256)), F.lit(1), F.least(F.length(local), F.lit(64))), "0123456789", "ghijklmnop")
     shaped = F.array_join(F.zip_with(F.split(local, ""), F.split(letters, ""), lambda a, b: F.when(a.rlike("[0-9]"), (F.ascii(b) % 10).cast("string")).when(a.rlike("[a-z]"), b).otherwise(a)), "")
     host = F.concat(F.lit("h"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256), 1, 8), F.lit(".example"))
-    gender, whole = F.substring(canon, 1, 1), F.substring(canon, 3, 1 << 20)
-    spread = F.when(round_ > 2, F.translate(F.substring(stream, 33, 4), "0123456789abcdef", "aeiouaeiouaeioua")).otherwise("")
+    spread = F.when(round_ > 2, F.translate(F.substring(stream, 33, 8), "0123456789abcdef", "aeiouaeiouaeioua")).otherwise("")
+    script = lambda of: F.when(canon.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
+
+    def surname(script_: str) -> Column:
+        return F.initcap(F.concat(*[_pick(stream, at, SYLLABLES[script_]) for at in (5, 9, 13, 17, 21)], spread))
 
-    def person(script: str) -> Column:
-        given = F.when(gender == "m", _pick(stream, 1, GIVEN[script]["m"])).when(gender == "f", _pick(stream, 1, GIVEN[script]["f"])).otherwise(_pick(stream, 1, GIVEN[script]["n"]))
-        family = F.initcap(F.concat(*[_pick(stream, at, SYLLABLES[script]) for at in (5, 9, 13, 17, 21)], spread))
-        return F.concat(gender, F.lit("|"), F.when(whole.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family))
+    def person(script_: str) -> Column:
+        by = lambda at: F.when(gender == "m", _pick(stream, at, GIVEN[script_]["m"])).when(gender == "f", _pick(stream, at, GIVEN[script_]["f"])).otherwise(_pick(stream, at, GIVEN[script_]["n"]))
+        made = F.initcap(F.concat(*[_pick(stream, at, SYLLABLES[script_]) for at in (25, 29)], spread))
+        return F.when(round_ < 2, by(1)).when(round_ < 4, F.concat(by(1), F.lit("-"), by(5))).otherwise(F.concat(by(1), F.lit("-"), made))
 
     return (
         F.when(kind == "email", F.concat(shaped, F.when(round_ > 2, F.substring(stream, 1, 6)).otherwise(""), F.lit("@"), host))
         .when(kind == "ip", F.concat_ws(".", octet(1), octet(5), octet(9), octet(13)))
         .when(kind == "card", F.concat(card, check.cast("string")))
         .when(kind == "phone", refill(F.when(canon.startswith("+"), F.lit(2)).otherwise(F.lit(0))))
-        .when(kind == "name", F.when(whole.rlike(r"\p{IsCyrillic}"), person("cyrillic")).otherwise(person("latin")))
+        .when(kind == "family", script(surname))
+        .when(kind == "name", F.concat_ws(" ", script(person), family))
         .otherwise(refill(F.lit(0)))
     )
 
 
-def assigned(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
-    """entities(kind, canon), distinct, to (kind, canon, surrogate) without collisions."""
-    settled = written(entities.withColumn("round", F.lit(0)).withColumn("surrogate", derived(F.col("kind"), F.col("canon"), F.lit(0), key)), "surrogates")
-    for _ in range(rounds):
+def ringed(left: DataFrame) -> DataFrame:
+    """left(kind, canon, ...): entities without a surrogate, when a form has no room left. Each
+    takes the next one's own form, by kind and length in order, the last the first one's. No
+    other surrogate is such a form, since none is an entity that occurs; so they stay distinct.
+    One that is alone in its kind and length gets an x for each letter and digit."""
+    ring = Window.partitionBy("kind", F.length("canon"))
+    following = F.coalesce(F.lead("canon").over(ring.orderBy("canon")), F.first("canon").over(ring.orderBy("canon")))
+    hidden = F.regexp_replace("canon", r"[\p{L}\p{N}]", "x")
+    return left.withColumn("surrogate", F.when(F.count(F.lit(1)).over(ring) > 1, following).otherwise(hidden))
+
+
+def assigned(entities: DataFrame, key: str = KEY, rounds: int | None = None) -> DataFrame:
+    """entities(kind, canon, gender, family), distinct by kind and canon, to (kind, canon,
+    surrogate) without collisions."""
+    rounds = ROUNDS if rounds is None else rounds
+    form = lambda round_: derived(F.col("kind"), F.col("canon"), F.col("gender"), F.col("family"), round_, key)
+    columns = ["kind", "canon", "gender", "family"]
+    settled = written(entities.select(*columns, F.lit(0).alias("round"), form(F.lit(0)).alias("surrogate")), "surrogates")
+    for turn in range(rounds + 1):
         uses = settled.select("kind", F.col("surrogate").alias("form"), F.col("canon").alias("owner")).unionByName(settled.select("kind", F.col("canon").alias("form"), F.lit(None).cast("string").alias("owner")))
         held = uses.groupBy("kind", "form").agg(F.min("owner").alias("first"), F.count("owner").alias("n"), F.count(F.lit(1)).alias("all"))
         bad = written(held.where("n > 1 OR (n = 1 AND all > 1)").select("kind", F.col("form").alias("surrogate"), F.when(F.col("all") > F.col("n"), F.lit(None).cast("string")).otherwise(F.col("first")).alias("keeps")), "collisions")
         if bad.limit(1).count() == 0:
-            return settled.select("kind", "canon", "surrogate")
+            break
         marked = settled.join(bad.withColumn("bad", F.lit(True)), ["kind", "surrogate"], "left")
         again = F.coalesce("bad", F.lit(False)) & ~F.col("canon").eqNullSafe(F.col("keeps"))
-        next_round = F.when(again, F.col("round") + 1).otherwise(F.col("round"))
-        settled = marked.select("kind", "canon", next_round.alias("round"), F.when(again, derived(F.col("kind"), F.col("canon"), F.col("round") + 1, key)).otherwise(F.col("surrogate")).alias("surrogate"))
+        if turn == rounds:
+            marked = marked.withColumn("again", again)
+            fine = marked.where("NOT again").select("kind", "canon", "surrogate")
+            return written(fine.unionByName(ringed(marked.where("again").select("kind", "canon")).select("kind", "canon", "surrogate")), "surrogates")
+        settled = marked.select(*columns, F.when(again, F.col("round") + 1).otherwise(F.col("round")).alias("round"), F.when(again, form(F.col("round") + 1)).otherwise(F.col("surrogate")).alias("surrogate"))
         settled = written(settled, "surrogates")
-    raise RuntimeError("surrogates still collide; use a form with more room")
-
-
-def in_format(kind: Column, match: Column, surrogate: Column) -> Column:
-    """The surrogate with the separators, case and title of the mention."""
+    return settled.select("kind", "canon", "surrogate")
+
+
+def surrogates_of(entities: DataFrame, key: str = KEY) -> DataFrame:
+    """entities(kind, canon, gender), distinct by kind and canon, to (kind, canon, surrogate).
+    Family names are settled first; a whole name has its family name's surrogate in it."""
+    family = F.substring_index("canon", " ", -1)
+    people = entities.where("kind = 'name'").withColumn("surname", family)
+    none = F.lit(None).cast("string")
+    families = entities.where("kind = 'family'").select("canon").unionByName(people.select(F.col("surname").alias("canon"))).groupBy("canon").agg(F.count(F.lit(1)).alias("weight"))
+    families = written(families, "families")
+    named = assigned(families.select(F.lit("family").alias("kind"), "canon", none.alias("gender"), none.alias("family")), key)
+    known = families.join(named.select("canon", F.col("surrogate").alias("family")), "canon").select(F.col("canon").alias("surname"), "family", "weight")
+    people = salted_lookup(people, known, "surname", "weight", ["canon"])
+    others = entities.where("kind NOT IN ('name', 'family')").withColumn("family", none)
+    rest = assigned(people.select("kind", "canon", "gender", "family").unionByName(others.select("kind", "canon", "gender", "family")), key)
+    return named.unionByName(rest)
+
+
+def in_format(kind: Column, match: Column, surrogate: Column, given: Column) -> Column:
+    """The surrogate with the separators, case and title of the mention; of a person its given
+    name only where the mention is one."""
     chars, digits = F.split(match, ""), F.split(_digits(surrogate), "")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), digits.alias("digits"))
 
@@ -172,15 +228,59 @@ def in_format(kind: Column, match: Column, surrogate: Column) -> Column:
         return F.struct((acc["at"] + digit.cast("int")).alias("at"), F.concat(acc["out"], F.when(digit, F.element_at(acc["digits"], acc["at"] + 1)).otherwise(c)).alias("out"), acc["digits"].alias("digits"))
 
     filled = F.aggregate(chars, start, step, lambda acc: acc["out"])
-    named = F.concat(F.regexp_extract(match, rf"^({_TITLE} )", 1), F.substring(surrogate, 3, 1 << 20))
+    named = F.concat(F.regexp_extract(match, rf"^({_TITLE} )", 1), F.when(given, F.substring_index(surrogate, " ", 1)).otherwise(surrogate))
     loud = match.rlike("[A-Z]") & ~match.rlike("[a-z]")
-    return F.when(kind.isin("email", "ip"), F.when((kind == "email") & loud, F.upper(surrogate)).otherwise(surrogate)).when(kind == "name", named).otherwise(filled)
+    return F.when(kind.isin("email", "ip"), F.when((kind == "email") & loud, F.upper(surrogate)).otherwise(surrogate)).when(kind.isin("name", "family"), named).otherwise(filled)
+
+
+# Marks in a text: ESCAPE stands before the codes of the three marks where the text itself has them.
+ESCAPE, BEGIN, END = "\u0001", "\u0002", "\u0003"
+CODES = {ESCAPE: "\u0004", BEGIN: "\u0005", END: "\u0006"}
+
+
+def _escaped(text: Column, back: bool = False) -> Column:
+    out = text
+    for mark, code in reversed(CODES.items()) if back else CODES.items():
+        out = F.replace(out, F.lit(ESCAPE + code), F.lit(mark)) if back else F.replace(out, F.lit(mark), F.lit(ESCAPE + code))
+    return F.when(text.contains(ESCAPE) if back else text.rlike(f"[{ESCAPE}-{END}]"), out).otherwise(text)
+
+
+def _people(marked: Column) -> Column:
+    """The titled names of a marked text, without their titles."""
+    return F.array_distinct(F.regexp_extract_all(marked, F.lit(f"{BEGIN}{_TITLE} ([^{END}]+){END}"), F.lit(1)))
+
+
+def marked_rows(rows: DataFrame) -> DataFrame:
+    """rows(id, text) to (id, template, hits): the text with BEGIN for each entity, and the
+    entities in order, as structs (text, kind, canon, gender, given)."""
+    rows = rows.select("id", F.regexp_replace(_escaped(F.col("text")), ENTITY, f"{BEGIN}$0{END}").alias("marked"))
+    rows = rows.withColumn("names", F.when(F.col("marked").contains(BEGIN), _people(F.col("marked"))).otherwise(F.array().cast("array<string>")))
+    whole = F.filter("names", lambda x: x.contains(" "))
+    parts = F.flatten(F.transform("names", lambda x: F.array(x, F.substring_index(x, " ", -1), F.substring_index(x, " ", 1))))
+    longest = F.transform(F.array_sort(F.transform(F.array_distinct(parts), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda x: F.concat(F.lit(r"\Q"), x["x"], F.lit(r"\E")))
+    again = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    rows = rows.withColumn("again", F.when(F.size("names") > 0, again)).withColumn("whole", whole)
+    mark = lambda x: F.regexp_replace(x, F.col("again"), F.lit(f"{BEGIN}$0{END}"))
+    tail = lambda x: F.substr(x, F.instr(x, END) + 1)
+    further = F.array_join(F.transform(F.split("marked", BEGIN, -1), lambda x, i: F.when(i == 0, mark(x)).otherwise(F.concat(F.substring_index(x, END, 1), F.lit(END), mark(tail(x))))), BEGIN)
+    rows = rows.withColumn("marked", F.when(F.col("again").isNotNull(), further).otherwise(F.col("marked")))
+
+    plain = lambda x: F.struct(x.alias("text"), F.lit(False).alias("hit"))
+    cut = lambda x, i: F.when(i == 0, F.array(plain(x))).otherwise(F.concat(_parts(F.substring_index(x, END, 1)), F.array(plain(tail(x)))))
+    parts = F.flatten(F.transform(F.split("marked", BEGIN, -1), cut))
 
+    def entity(part):
+        kind, name = kind_of(part["text"]), untitled(part["text"])
+        alone = (kind == "name") & ~name.contains(" ")
+        ends, begins = F.exists("whole", lambda w: w.endswith(F.concat(F.lit(" "), name))), F.filter("whole", lambda w: w.startswith(F.concat(name, F.lit(" "))))
+        given = alone & (name == part["text"]) & ~ends & ~F.array_contains("names", name) & (F.size(begins) > 0)
+        kind = F.when(alone & ~given, "family").otherwise(kind)
+        return F.struct(part["text"].alias("text"), kind.alias("kind"), F.when(given, F.get(begins, F.lit(0))).otherwise(canonical(kind, part["text"])).alias("canon"), F.when(kind == "name", gender_of(part["text"])).alias("gender"), given.alias("given"))
 
-def _joined(parts: Column) -> Column:
-    """The new texts of matches from their parts in order; no part holds the mark U+0001."""
-    marked = F.transform(parts, lambda x: F.concat(F.when(x["part"] == 0, "\u0001").otherwise(""), x["new"]))
-    return F.filter(F.split(F.array_join(marked, ""), "\u0001", -1), lambda x, i: i > 0)
+    rows = rows.withColumn("parts", F.when(F.col("marked").contains(BEGIN), F.transform(parts, lambda x: F.struct(x["text"].alias("text"), (x["hit"] & kind_of(x["text"]).isNotNull()).alias("hit")))))
+    template = F.array_join(F.transform("parts", lambda x: F.when(x["hit"], F.lit(BEGIN)).otherwise(x["text"])), "")
+    hits = F.transform(F.filter("parts", lambda x: x["hit"]), entity)
+    return rows.select("id", F.when(F.col("parts").isNull(), F.col("marked")).otherwise(template).alias("template"), hits.alias("hits"))
 
 
 def surrogates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
@@ -190,21 +290,23 @@ def surrogates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     are handled each. Ids may be null. An empty table gives an empty result. Other columns are
     not read. Keep the key secret: with it, surrogates can be linked to guesses.
     """
-    rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("print", F.xxhash64("text"))
-    found = F.when(F.col("text").rlike(ENTITY), F.regexp_extract_all(F.col("text"), F.lit(ENTITY), F.lit(0)))
-    mentions = rows.select("id", "print", found.alias("matches")).where("matches IS NOT NULL").select("id", "print", F.posexplode("matches").alias("at", "whole"))
-    mentions = mentions.select("id", "print", "at", F.posexplode(_parts(F.col("whole"))).alias("part", "piece")).select("id", "print", "at", "part", F.col("piece.text").alias("match"), "piece.hit")
-    mentions = mentions.withColumn("kind", F.when(F.col("hit"), kind_of(F.col("match")))).withColumn("canon", canonical(F.col("kind"), F.col("match")))
-    mentions = written(mentions, "mentions")
-    known = assigned(mentions.where("kind IS NOT NULL").select("kind", "canon").distinct(), key)
-    chosen = mentions.where("kind IS NOT NULL").join(known, ["kind", "canon"]).select("id", "print", "at", "part", in_format(F.col("kind"), F.col("match"), F.col("surrogate")).alias("new"), F.lit(1).alias("one"))
-    kept = mentions.where("kind IS NULL").select("id", "print", "at", "part", F.col("match").alias("new"), F.lit(0).alias("one"))
-    listed = chosen.unionByName(kept).distinct().groupBy("id", "print").agg(F.sort_array(F.collect_list(F.struct("at", "part", "new", "one"))).alias("news"))
-    listed = listed.select(F.col("id").alias("_id"), F.col("print").alias("_print"), _joined(F.col("news")).alias("news"), F.aggregate("news", F.lit(0).cast("long"), lambda a, x: a + x["one"]).alias("n"))
-    pieces = rows.select("id", "print", F.when(F.col("text").rlike(ENTITY), F.split("text", ENTITY, -1)).otherwise(F.array("text")).alias("pieces"))
-    both = pieces.join(listed, pieces["id"].eqNullSafe(listed["_id"]) & (pieces["print"] == listed["_print"]), "left")
-    whole = F.array_join(F.zip_with("pieces", "news", lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
-    return both.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0).cast("long")).alias("n_entities"), F.when(F.col("news").isNull(), F.element_at("pieces", 1)).otherwise(whole).alias("text"))
+    rows = marked_rows(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "marked")  # row numbers are fixed by the file
+    some = rows.where("size(hits) > 0")
+    mentions = some.select("row", F.posexplode("hits").alias("at", "hit")).select("row", "at", "hit.*")
+    mentions = mentions.withColumn("entity", F.concat_ws("|", "kind", "canon"))
+    found = mentions.groupBy("entity").agg(F.first("kind").alias("kind"), F.first("canon").alias("canon"), F.min("gender").alias("g1"), F.max("gender").alias("g2"), F.count(F.lit(1)).alias("weight"))
+    found = written(found.select("entity", "kind", "canon", F.when(F.col("g1") == F.col("g2"), F.col("g1")).otherwise("n").alias("gender"), "weight"), "entities")
+    known = surrogates_of(found.select("kind", "canon", "gender"), key).select(F.concat_ws("|", "kind", "canon").alias("entity"), "surrogate")
+    known = written(found.select("entity", "weight").join(known, "entity"), "known")
+    chosen = salted_lookup(mentions.drop("canon", "gender"), known, "entity", "weight", ["row", "at"])
+    news = chosen.select("row", F.struct("at", in_format(F.col("kind"), F.col("text"), F.col("surrogate"), F.col("given")).alias("new")).alias("x"))
+    news = news.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("news"))
+    pieces = some.select("row", "id", F.split("template", BEGIN, -1).alias("pieces")).join(news, "row")
+    whole = F.array_join(F.zip_with("pieces", F.col("news.new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+    changed = pieces.select("id", F.size("news").cast("long").alias("n"), whole.alias("text"))
+    same = rows.where("coalesce(size(hits), 0) <= 0").select("id", F.lit(0).cast("long").alias("n"), F.col("template").alias("text"))
+    return same.unionByName(changed).select(F.col("id").alias(id_col), F.col("n").alias("n_entities"), _escaped(F.col("text"), back=True).alias("text"))
 
 
 def op10_pii_surrogates(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -182,11 +183,53 @@ def test_usual_forms_of_phones_and_names(spark):
 def test_surrogates_are_distinct_and_collide_with_nothing(spark):
     """A narrow form (four free digits) forces collisions in the first rounds."""
     canon = [f"{i:04d}" for i in range(0, 3000)]
-    entities = spark.createDataFrame([("ssn", c) for c in canon], "kind string, canon string")
-    got = pii.assigned(entities).collect()
+    got = pii.assigned(entities_of(spark, canon)).collect()
     made = [r.surrogate for r in got]
     assert len(set(made)) == len(made) == 3000 and not set(made) & set(canon)
 
 
+def entities_of(spark, canon):
+    return spark.createDataFrame([("ssn", c, None, None) for c in canon], "kind string, canon string, gender string, family string")
+
+
+def test_a_form_that_is_full_still_gets_distinct_surrogates(spark):
+    for canon in ([f"{i:02d}" for i in range(100)], [f"{i:02d}" for i in range(99)], ["7"]):
+        got = {r.canon: r.surrogate for r in pii.assigned(entities_of(spark, canon), rounds=2).collect()}
+        assert len(got) == len(set(got.values())) == len(canon) and all(k != v for k, v in got.items())
+
+
+def test_mentions_of_a_person_stay_one_person(spark):
+    texts = ["Dr. Jane Doe came. Mrs. Jane Doe sat, Jane Doe spoke, Mrs. Doe left; Jane slept. Janet did not.", "Prof Jane Doe and Mr John Doe.", "Jane Doe without a title", "Mr. Brown saw Brown; mail a.b@x.org \u0001\u0002\u0003\u0001\u0005."]
+    got = replaced(spark, texts)
+    full = re.match(r"Dr\. (\w+) (\w+) came\. Mrs\. (\w+) (\w+) sat, (\w+) (\w+) spoke, Mrs\. (\w+) left; (\w+) slept\. Janet did not\.$", got[0])
+    given, family = full[1], full[2]
+    assert given in pii.GIVEN["latin"]["f"] and family != "Doe" and full.groups() == (given, family, given, family, given, family, family, given)
+    other = re.match(rf"Prof {given} {family} and Mr (\w+) {family}\.$", got[1])
+    assert other[1] in pii.GIVEN["latin"]["m"] and got[2] == texts[2]
+    assert re.fullmatch("Mr\\. (\\w+) saw \\1; mail \\w\\.\\w@h\\w+\\.example \u0001\u0002\u0003\u0001\u0005\\.", got[3])
+
+
+def test_surrogates_against_brute_force(spark):
+    """Everything between the entities stays; counts agree with a search by another library."""
+    import regex
+
+    rng, texts = random.Random(9), []
+    make = [lambda: f"u{rng.randrange(99)}.x@m{rng.randrange(9)}.org", lambda: f"{rng.randrange(1, 255)}.{rng.randrange(255)}.3.4", lambda: f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", lambda: f"+1 (212) 555-{rng.randrange(1000, 9999)}"]
+    for i in range(60):
+        texts.append(" | ".join(rng.choice(make)() if rng.random() < 0.3 else rng.choice(["word", "12.5", "the\n", "naïve,"]) for _ in range(rng.choice([0, 5, 40, 1000 if i == 7 else 60]))))
+    rows = pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    pattern, known = regex.compile(pii.ENTITY), {}
+    for r in rows:
+        old = texts[r.doc_id]
+        found = [m.group() for m in pattern.finditer(old)]
+        assert r.n_entities == len(found)
+        want = "(.*?)".join(map(re.escape, pattern.split(old)))
+        new = re.fullmatch(want, r.text, re.S)
+        assert new, (old, r.text)
+        for a, b in zip(found, new.groups(), strict=True):
+            assert a != b and known.setdefault(a, b) == b and b not in found
+    assert len(set(known.values())) == len(known)
+
+
 def test_kept_texts_hash(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
