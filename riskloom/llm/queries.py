@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
     "op10_pii_surrogates": pii.op10_pii_surrogates,
+    "spotsigs_similar": spotsigs.spotsigs_similar,
 }
 
 SQL = {

@@ -3,7 +3,7 @@
 A signature is a common-word anchor with the next CHAIN content words after it (anchors in
 between are skipped). One regular-expression pass over the normalised text writes each
 anchor's chain in front of it, so the work is linear in the text. A document's fingerprint is
-the sorted set of its signature hashes; a signature that occurs 2, 4, 8 ... (up to 2^LEVELS) times
+the sorted set of its signature hashes; a signature that occurs 2, 4, 8 ... times
 adds one more hash each, so texts that repeat a few sentences keep their weight. Where anchors
 are few (other languages, lists) words stand in for them, decided from the words around: a word
 with no anchor among the FEW words before and the FEW after it is one, with the next two words,
@@ -12,8 +12,8 @@ without any chain (a few words) get every word as an anchor; without CHAIN + 1 w
 they get one signature, the whole text. Only the empty text has an empty fingerprint.
 
 similar_pairs compares a corpus: sets are partitioned by length so that sets that can reach
-the threshold lie in the same or in neighbouring partitions, meet there through a signature of
-their prefix, and are pruned by length before their Jaccard similarity is counted.
+the threshold lie in the same or in neighbouring partitions, meet there through one of their
+rarest signatures, and are pruned by length before their Jaccard similarity is counted.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import documents, text_of
+from riskloom.llm.common import documents, salted_lookup, text_of, written
 from riskloom.llm.ordering import next_keys
 
 # The anchors: common words of four languages.
@@ -35,7 +35,8 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 FEW = 10
-LEVELS = 12
+#: Sets that meet under one signature at once; a frequent signature is cut into blocks.
+BLOCK = 256
 BUCKET_BITS = 6
 
 
@@ -70,18 +71,25 @@ def _chains(norm: Column, pattern: str) -> Column:
     return F.transform(F.slice(pieces, F.lit(2), F.lit(1 << 30)), lambda x: F.xxhash64(F.substring_index(x, "\u0003", 1)))
 
 
-def _tagged(level: int):
-    return lambda x: F.xxhash64(x, F.lit(level))
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once although `use` names it often."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
 
 
-def _at_least(ordered: str, level: int) -> Column:
-    """The values that occur 2^level times or more in a sorted array, each once."""
-    n = 1 << level
+def _with_levels(ordered: Column) -> Column:
+    """The distinct values of a sorted array; one that occurs c times comes with its hashes for
+    the levels 1 to floor(log2(c))."""
+    first = lambda xs: F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | (F.get(xs, i) != F.get(xs, i - 1)))
 
-    def here(x, i):
-        return (i >= n - 1) & (x == F.get(F.col(ordered), i - (n - 1))) & ((i < n) | (x != F.get(F.col(ordered), i - n)))
+    def hashes(xs, at, times):
+        levels = F.filter(F.sequence(F.lit(0), F.floor(F.log2(times.cast("double"))).cast("int")), lambda k: k > 0)
+        tagged = F.transform(levels, lambda k: F.xxhash64(F.get(xs, at), k))
+        return F.when(times < 2, F.array(F.get(xs, at))).otherwise(F.concat(F.array(F.get(xs, at)), tagged))
 
-    return F.filter(ordered, here)
+    def of(xs):
+        return _let(first(xs), lambda starts: F.flatten(F.transform(starts, lambda at, j: hashes(xs, at, F.coalesce(F.get(starts, j + 1), F.size(xs)) - at))))
+
+    return F.when(F.size(ordered) > 0, _let(ordered, of)).otherwise(F.array().cast("array<bigint>"))
 
 
 def normalised(text: Column) -> Column:
@@ -91,17 +99,13 @@ def normalised(text: Column) -> Column:
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the sorted signature hashes of the (non-null) text column as column `out`."""
     norm, spots, words = f"_{out}_norm", f"_{out}_spots", f"_{out}_words"
-    again = [f"_{out}_again{level}" for level in range(LEVELS + 1)]
     df = df.withColumn(norm, normalised(F.col(text)))
     df = df.withColumn(words, F.length(norm) - F.length(F.translate(norm, " ", "")) - 1)
     df = df.withColumn(spots, _chains(F.col(norm), _LOCAL))
     some = F.when(F.size(spots) > 0, F.col(spots)).otherwise(_chains(F.col(norm), _ANY))
-    df = df.withColumn(spots, F.sort_array(some)).withColumn(again[0], F.col(spots))
-    for level in range(1, LEVELS + 1):  # none is left to look for once a level is empty
-        df = df.withColumn(again[level], F.when(F.size(again[level - 1]) > 0, _at_least(spots, level)).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn(out, F.sort_array(F.concat(F.array_distinct(spots), *[F.transform(again[k], _tagged(k)) for k in range(1, LEVELS + 1)])))
+    df = df.withColumn(spots, F.sort_array(some)).withColumn(out, F.sort_array(_with_levels(F.col(spots))))
     whole = F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.when(F.col(words) > 0, F.col(norm)).otherwise(F.col(text)))))
-    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(whole)).drop(norm, spots, words, *again)
+    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(whole)).drop(norm, spots, words)
 
 
 def as_text(signatures: Column) -> Column:
@@ -121,21 +125,56 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return with_signatures(df.select(id_col, text_of(text_col).alias("_t")), "_t", "signatures").drop("_t")
 
 
+def fingerprint_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """members(id_col, class) and classes(class, id, s, n): rows with equal fingerprints are one
+    class, named by a digest and represented by its smallest id (null if all are)."""
+    found = fingerprints(df, id_col, text_col).select(id_col, "signatures", F.unhex(F.sha2(as_text(F.col("signatures")), 256)).alias("class"))
+    found = written(found, "fingerprints")
+    classes = found.groupBy("class").agg(F.min(id_col).alias("id"), F.first("signatures").alias("s"), F.count(F.lit(1)).alias("rows"))
+    return found.select(id_col, "class"), written(classes.select("class", "id", "s", F.size("s").alias("n"), "rows"), "classes")
+
+
+def similar_classes(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Pairs (class_a, class_b, likeness) of classes whose likeness is at least `threshold`; the
+    shorter set first. Empty sets link with nothing. Every pair is found, through the first of
+    its signatures in the order of their document counts."""
+    sets = classes.where("n > 0")
+    counts = sets.select(F.explode("s").alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("df"))
+    keep = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold)).cast("int")
+    ranked = sets.select("class", "n", F.explode("s").alias("head")).join(counts, "head").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "head"))).alias("heads"))
+    keyed = ranked.select("class", "n", part.alias("part"), F.explode(F.slice("heads", F.lit(1), keep)).alias("x")).select("class", "n", "part", "x.head", "x.df").where("df > 1")
+    blocks = F.expr(f"(df + {BLOCK - 1}) div {BLOCK}").cast("int")
+    keyed = written(keyed.withColumn("blocks", blocks), "keyed")
+    # The longer set lies in one block of its signature; the shorter one asks all of them.
+    right = keyed.select(F.col("class").alias("class_b"), F.col("n").alias("nb"), "head", "part", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"))
+    left = keyed.select(F.col("class").alias("class_a"), F.col("n").alias("na"), "head", F.explode(F.array("part", F.col("part") + 1)).alias("part"), "blocks")
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    met = left.join(right, ["part", "head", "block"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("class_a") < F.col("class_b"))))
+    met = met.where(F.col("na") >= F.col("nb") * threshold - 1e-9).select("class_a", "class_b").distinct()
+    whole = sets.select("class", "s")
+    both = met.join(whole.select(F.col("class").alias("class_a"), F.col("s").alias("sa")), "class_a").join(whole.select(F.col("class").alias("class_b"), F.col("s").alias("sb")), "class_b")
+    return both.select("class_a", "class_b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold)
+
+
 def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """Pairs (a, b, likeness) of class representatives whose likeness is at least `threshold`.
-    Rows with equal fingerprints are one class, represented by its smallest id; empty texts
-    link with nothing."""
-    # Empty sets have no head below, so they need no filter (which would compute sets twice).
-    found = fingerprints(df, id_col, text_col).withColumn("print", as_text(F.col("signatures")))
-    sets = found.groupBy("print").agg(F.min(id_col).alias("id"), F.first("signatures").alias("s")).select("id", "s", F.size("s").alias("n"))
-    part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    keyed = sets.withColumn("part", part).withColumn("head", F.explode(F.slice("s", F.lit(1), keep.cast("int"))))
-    left = keyed.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"), "head", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    right = keyed.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), "head", "part")
-    met = left.join(right, ["part", "head"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-    met = met.where(F.col("na") >= F.col("nb") * threshold - 1e-9).dropDuplicates(["a", "b"])
-    return met.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold)
+    Rows with equal fingerprints are one class, represented by its smallest id; membership is
+    in fingerprint_classes. Empty texts link with nothing."""
+    _, classes = fingerprint_classes(df, id_col, text_col)
+    names = classes.select("class", "id")
+    found = similar_classes(classes, threshold).join(names.select(F.col("class").alias("class_a"), F.col("id").alias("a")), "class_a").join(names.select(F.col("class").alias("class_b"), F.col("id").alias("b")), "class_b")
+    return found.select("a", "b", "likeness")
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """One row per input row: id_col, class_id (the smallest id with an equal fingerprint),
+    n_links (classes whose likeness with its own is at least `threshold`)."""
+    members, classes = fingerprint_classes(df, id_col, text_col)
+    found = written(similar_classes(classes, threshold), "pairs")
+    links = found.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    named = classes.join(links, "class", "left").select("class", F.col("id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "rows")
+    return salted_lookup(members, written(named, "named"), "class", "rows", [id_col]).drop("class")
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -158,6 +197,10 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def spotsigs_similar(spark, sf_dir: str) -> DataFrame:
+    return similar_documents(documents(spark, sf_dir))
+
+
 def op2_spotsigs(spark, sf_dir: str) -> DataFrame:
     rows = with_next(documents(spark, sf_dir), "doc_id", "text")
     n = F.length("text")

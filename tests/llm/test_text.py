@@ -233,3 +233,62 @@ def test_surrogates_against_brute_force(spark):
 
 def test_kept_texts_hash(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_repeats_of_any_number_count(spark):
+    """c repeats of a signature give floor(log2(c)) further hashes; no number is too large."""
+    texts = [" ".join(["the river stone"] * n) for n in (1, 2, 3, 5000, 20_000, 40_000)]
+    rows = spotsigs.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [len(r.signatures) for r in sorted(rows, key=lambda r: r.doc_id)] == [1 + (n.bit_length() - 1) for n in (1, 2, 3, 5000, 20_000, 40_000)]
+
+
+def test_similar_documents_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BLOCK", 4)
+    rng = random.Random(4)
+    base, texts = [f"w{i}" for i in range(80)], []
+    for _ in range(60):
+        words = [rng.choice(["the", "of"]) if rng.random() < 0.4 else w for w in base]
+        for _ in range(rng.choice([0, 1, 2, 9])):
+            words[rng.randrange(80)] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(words if rng.random() < 0.5 else words[: rng.randrange(5, 80)]))
+        if rng.random() < 0.2:
+            texts.append(texts[-1].upper())
+    texts += [None, "", "  ", "one"] + [" ".join("the " + w for w in base[: 60 + i]) for i in range(20)]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").repartition(3)
+    sets = [(r.doc_id, tuple(r.signatures)) for r in spotsigs.fingerprints(df).collect()]
+    distinct = sorted({s for _, s in sets})
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    for threshold in (0.8, 0.5):
+        links = Counter(x for i, a in enumerate(distinct) for b in distinct[:i] if a and b and like(a, b) >= threshold for x in (a, b))
+        want = Counter((i, min((j for j, t in sets if t == s and j is not None), default=None), links[s]) for i, s in sets)
+        assert Counter(map(tuple, spotsigs.similar_documents(df, threshold=threshold).collect())) == want
+    assert spotsigs.similar_documents(df.where("false")).count() == 0
+
+
+def test_query_of_fingerprints_against_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [None, "", "é", "ab", "the " * 50] + [" ".join(rng.choice(["the", "of", "größe", "日本"]) if rng.random() < 0.4 else f"w{rng.randrange(50)}" for _ in range(rng.randrange(200))) for _ in range(40)]
+    ids = rng.sample(range(-50, 10_000), len(texts))
+    spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    known = sorted((i, t or "") for i, t in zip(ids, texts, strict=True))
+    edited = {i: t[: len(t) - len(t) // 4] + known[(k + 1) % len(known)][1][: len(t) // 4] for k, (i, t) in enumerate(known)}
+    prints = {r.doc_id: set(r.signatures) for r in spotsigs.fingerprints(spark.createDataFrame([*known, *((i + 100_000, t) for i, t in edited.items())], "doc_id long, text string")).collect()}
+    like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    text_of = lambda s: " ".join(map(str, sorted(s)))
+    rows = spotsigs.op2_spotsigs(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for k, r in enumerate(sorted(rows, key=lambda r: r.doc_id)):
+        i, t = known[k]
+        a, b, c = prints[i], prints[i + 100_000], prints[known[(k + 1) % len(known)][0]]
+        assert tuple(r) == (i, len(t), hashlib.sha256(edited[i].encode()).hexdigest(), text_of(a), text_of(b), like(a, b), like(a, c))
+
+
+def test_long_lists_and_candidates_of_secrets(spark):
+    rng = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [" ".join(f"{rng.getrandbits(128):032x}" for _ in range(16_000)), run(200_000), " ".join(run(30) for _ in range(4000))]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(s.start, s.end) for s in got[0].base] == [(33 * i, 33 * i + 32) for i in range(16_000)] and not got[0].extra
+    assert [(s.start, s.end) for s in got[1].extra] == [(0, 200_000)] and len(got[2].extra) > 3900
+    assert all(texts[2][s.start : s.end] == s.match for s in got[2].extra)
