@@ -41,6 +41,25 @@ def salt_of(buckets: int, *cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
 
 
+#: Keys that hold more than one in so many of all rows are hot; there are at most as many of them.
+HOT_KEYS = 4096
+HOT_LEAST = 256
+HOT_SALTS = 64
+
+
+def salted_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, spread_by: list[str]) -> DataFrame:
+    """rows left-joined with table (one row a key; `weight` is the number of rows that look it
+    up). Hot keys are salted on both sides, so none lands in one task; rows with a null key
+    are spread too and find nothing. Only the names of the hot keys are broadcast, HOT_KEYS
+    rows at most. The weight is dropped."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(weight) > max(HOT_LEAST, total // HOT_KEYS)).select(key, F.lit(True).alias("_hot")))
+    left = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), salt_of(HOT_SALTS, *spread_by)).when(F.col(key).isNull(), salt_of(1 << 20, *spread_by)).otherwise(0)).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = table.drop(weight).join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [key, "_salt"], "left").drop("_salt")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or a
     temporary folder where that is unset (local mode and tests)."""

@@ -15,7 +15,7 @@ from riskloom.llm.common import written
 
 def connected_components(links: DataFrame, labels: DataFrame) -> DataFrame:
     """links(a, b), labels(node, label) for every node that occurs in a link; returns
-    (node, label): the smallest label in the node's component. Labels may be null (the largest).
+    (node, label, head): the smallest label in the node's component and the node that bears it. Labels may be null (the largest).
     Labels only fall, so the rounds end by themselves when none does."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
     # A state is (node, best): best is the smallest (rank, label, node) seen so far.
@@ -31,4 +31,4 @@ def connected_components(links: DataFrame, labels: DataFrame) -> DataFrame:
         moved = written(jumped.select("node", F.least("new", "jump").alias("best"), F.least("new", "jump").eqNullSafe(F.col("old")).alias("same")), "state")
         state = moved.select("node", "best")
         if moved.where("NOT same").limit(1).count() == 0:
-            return state.select("node", F.col("best.label").alias("label"))
+            return state.select("node", F.col("best.label").alias("label"), F.col("best.head").alias("head"))

@@ -95,6 +95,7 @@ def test_jaccard_on_a_large_family(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     monkeypatch.setattr(jaccard_join, "CHUNK", 8)
     monkeypatch.setattr(jaccard_join, "HOT_KEYS", 50)
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 500)
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(10**6)}"
     base = [word() for _ in range(80)]
@@ -118,6 +119,37 @@ def test_jaccard_on_a_large_family(spark, monkeypatch):
         assert collected(jaccard_join.jaccard_components(df, k=k, percent=percent)) == by_hand(pairs, k, percent), (k, percent)
 
 
+def test_links_of_a_family_of_near_copies_grow_in_proportion(spark, monkeypatch):
+    """Every table that the join writes holds a row a document at most, whatever the family's size."""
+    made: dict[str, int] = {}
+    plain = jaccard_join.written
+
+    def counted(df, name, *more):
+        out = plain(df, name, *more)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 16)
+    rng = random.Random(3)
+    base, found = [f"w{i}" for i in range(200)], {}
+    for n in (300, 1200):
+        texts = []
+        for i in range(n):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                w[rng.randrange(200)] = f"v{rng.randrange(10**7)}"
+            texts.append((i, " ".join(w)))
+        made.clear()
+        got = jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), k=5, percent=80).collect()
+        assert len(got) == n and {r.component_id for r in got} == {0}
+        found[n] = dict(made)
+    for name, rows in found[1200].items():
+        assert rows <= max(6 * found[300][name], 300), (name, found)
+    assert found[1200]["met"] + found[1200]["links"] < 300, found
+
+
 def test_jaccard_bounds(empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
     with pytest.raises(ValueError, match="percent"):
