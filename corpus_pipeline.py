@@ -27,11 +27,16 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents joined by 5-word shingle Jaccard of 0.8 or more, the one
-    with the smallest id stays. Documents with a null id stay."""
-    groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
-    gone = common.written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Of each group of documents joined by 5-word shingle Jaccard of 0.8 or more, one row
+    stays: the one with the smallest id, of several such the one whose text has the smallest
+    hash; a null id comes last. Rows that are equal in both stay together."""
+    rows = common.written(jaccard_join.jaccard_components(docs, k=5, percent=80, detail=True).where("component IS NOT NULL"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_print").alias("print"))
+    groups = rows.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    found = common.salted_lookup(rows, common.written(groups, "groups"), "component", "size", ["doc_id", "text_print"])
+    gone = found.where(F.col("first").isNotNull() & (order != F.col("first"))).select(F.col("doc_id").alias("gone_id"), F.col("text_print").alias("gone_print")).distinct()
+    gone = common.written(gone, "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["gone_print"]), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
