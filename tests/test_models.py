@@ -169,3 +169,48 @@ def test_state_round_trip():
         garch.State.from_dict({"parameters": {"omega": math.nan, "alpha": 0.1, "beta": 0.2}, "variance_scaled": 1.0})
     with pytest.raises(BY_CODE["NONPOSITIVE_VARIANCE"]):
         models.checked_variance(0.0)
+
+
+def test_a_search_that_fails_on_a_slope_is_not_converged(monkeypatch):
+    """A cliff: the value falls along the slope, but no step is admissible."""
+    r, start = simulated(200) * 100, garch.Parameters(0.05, 0.05, 0.9)
+    at = garch._pack(start)
+
+    def cliff(r, p):
+        d = garch._pack(p) - at
+        near = np.abs(d).max() < 1e-4 and np.count_nonzero(np.abs(d) > 1e-12) <= 1
+        return 10.0 * len(r) * d.sum() if near else -math.inf
+
+    monkeypatch.setattr(garch, "log_likelihood", cliff)
+    found, converged, status = garch.maximise(r, start)
+    assert not converged and status.startswith("stopped") and math.isclose(found.alpha, start.alpha, rel_tol=1e-6)
+    monkeypatch.setattr(garch, "log_likelihood", lambda r, p: cliff(r, p) if math.isfinite(cliff(r, p)) else -1e9 * len(r))
+    out = garch.fit(simulated(200), CONFIG, False, lambda r, _: garch.maximise(r, start))
+    assert out.state is None and out.retry_used and out.error_code == "MODEL_FIT_FAILED"
+
+
+def test_a_flat_likelihood_converges_where_it_starts(monkeypatch):
+    start = garch.Parameters(0.05, 0.05, 0.9)
+    monkeypatch.setattr(garch, "log_likelihood", lambda r, p: 1.0)
+    found, converged, _ = garch.maximise(simulated(100), start)
+    assert converged and math.isclose(found.beta, start.beta, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("student", [False, True])
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_fits_of_white_noise_reach_the_best_of_a_grid(seed, student):
+    r = np.random.default_rng(seed).normal(0, 0.01, 250)
+    got = garch.fit(r, Garch(250, 20), student)
+    assert got.retry_used in (False, True) and got.parameters is not None
+    scaled, v = r * 100, float(np.var(r * 100))
+    grid = [garch.Parameters(v * (1 - q) * f, q * a, q * (1 - a), nu) for q in (0.01, 0.3, 0.6, 0.9, 0.98, 0.999) for a in (1e-6, 0.02, 0.1, 0.3) for f in (0.8, 1.0, 1.2) for nu in ((5.0, 8.0, 30.0, 300.0) if student else (None,))]
+    best = max(garch.log_likelihood(scaled, p) for p in grid)
+    assert not got.converged or garch.log_likelihood(scaled, got.parameters) >= best - 0.05
+
+
+def test_the_package_exports_its_entry_points():
+    import riskloom
+
+    assert all(getattr(riskloom, name) is not None for name in riskloom.__all__)
+    with pytest.raises(AttributeError):
+        riskloom.nothing
