@@ -55,11 +55,20 @@ def aligned_returns(levels: DataFrame, names: list[str]) -> DataFrame:
     return common.select("series_id", "date", (F.col("level") / before - 1).alias("simple_return")).where("simple_return IS NOT NULL")
 
 
+#: Positions whose dates one task compares.
+INDEX_BITS = 12
+
+
 def index_faults(dates: DataFrame) -> DataFrame:
-    """Faults of an index (pos, date) in file order: rows (fault, date), none if it is sound."""
-    order = Window.orderBy("pos")  # one row a date
+    """Faults of an index (pos, date) in file order: rows (fault, date), none if it is sound.
+    Neighbours are compared within ranges of positions; only each range's last date meets the
+    next range, in a window of one row a range."""
+    ranges = dates.withColumn("range", F.shiftright(F.col("pos").cast("bigint"), INDEX_BITS))
+    ends = ranges.groupBy("range").agg(F.max_by("date", "pos").alias("end"))
+    ends = ends.select("range", F.lag("end").over(Window.orderBy("range")).alias("end"))
+    before = F.coalesce(F.lag("date").over(Window.partitionBy("range").orderBy("pos")), "end")
     twice = dates.groupBy("date").count().where("count > 1").select(F.lit("duplicate").alias("fault"), "date")
-    back = dates.withColumn("before", F.lag("date").over(order)).where("date < before").select(F.lit("unsorted").alias("fault"), "date")
+    back = ranges.join(ends, "range").withColumn("before", before).where("date < before").select(F.lit("unsorted").alias("fault"), "date")
     return twice.unionByName(back)
 
 

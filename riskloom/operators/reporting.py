@@ -142,3 +142,10 @@ def reconciliation(tables: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.where("n > 0")
+
+
+def check_reconciled(tables: dict[str, DataFrame]) -> None:
+    """Raises if the evaluation tables do not agree with each other."""
+    found = reconciliation(tables).collect()  # a row a kind of fault
+    if found:
+        raise fail("ARTIFACT_RECONCILIATION_FAILED", "; ".join(f"{r.fault} ({r.n})" for r in sorted(found)) + ".")

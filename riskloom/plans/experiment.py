@@ -22,7 +22,7 @@ from pyspark.sql import SparkSession
 from riskloom import __version__
 from riskloom.config import Config
 from riskloom.errors import fail
-from riskloom.operators import evaluation
+from riskloom.operators import evaluation, reporting
 from riskloom.plans import runner
 from riskloom.sources import artifacts, run
 
@@ -118,7 +118,10 @@ def execute(spark: SparkSession, config: Config, source: run.InputRun | None = N
         # What is evaluated is what was saved; models do not run a second time.
         saved = runner.Artifacts(**{k: artifacts.read_table(spark, part, k) for k in artifacts.MODEL_TABLES})
         runner.check_artifacts(saved)
-        artifacts.write_tables(evaluation.evaluate(saved.forecasts, saved.realizations, config), part)
+        tables = evaluation.evaluate(saved.forecasts, saved.realizations, config)
+        artifacts.write_tables(tables, part)
+        reporting.check_reconciled({k: artifacts.read_table(spark, part, k) for k in tables})
+        panel.unpersist()
         shutil.copyfile(source.folder / run.MANIFEST, part / INPUT_MANIFEST)
         shutil.copyfile(source.folder / run.QUALITY, part / INPUT_QUALITY)
         artifacts.write_json(dataset, part / DATASET)
