@@ -82,11 +82,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> str:
+    """The path, which goes when the driver's Python ends."""
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet in the shared folder and read again. This cuts the lineage,
     so a lost executor costs its tasks only and no earlier step is run twice."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = removed_at_exit(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", compression).parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,6 +13,9 @@ hash), so a leaf that holds a third of all rows is spread over BUCKETS tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +46,8 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _weight(name: Column, weights: dict[str, int]) -> Column:
-    out = F.lit(OTHER)
+def _weight(name: Column, weights: dict[str, int], other: int) -> Column:
+    out = F.lit(other)
     for key, w in weights.items():
         out = F.when(name == key, w).otherwise(out)
     return out.cast("long")
@@ -66,20 +69,33 @@ def _dealt(children: DataFrame, parent: list[str], child: str) -> DataFrame:
     return rows.withColumn("share", F.expr("CASE WHEN full THEN most ELSE ((budget - m_full) * weight) div (w_all - w_full) END"))
 
 
-def budgets(leaves: DataFrame, percent: int, epochs: int) -> DataFrame:
+@dataclass(frozen=True)
+class Targets:
+    """The weights of the tree's nodes: by domain, by language, and by source; `other` for
+    domains and languages that are not named, `source` for such sources."""
+
+    domains: dict[str, int] = field(default_factory=lambda: dict(DOMAINS))
+    languages: dict[str, int] = field(default_factory=lambda: dict(LANGUAGES))
+    sources: dict[str, int] = field(default_factory=dict)
+    other: int = OTHER
+    source: int = SOURCE
+
+
+def budgets(leaves: DataFrame, percent: int, epochs: int, targets: Targets | None = None) -> DataFrame:
     """leaves(domain, language, origin, tokens) with their budget (tokens)."""
+    targets = targets or Targets()
     most = (F.col("tokens") * epochs).alias("most")
     leaves = leaves.where("tokens > 0").select(*_LEAF, "tokens", most)
     total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * percent // 100
-    top = leaves.groupBy("domain").agg(F.sum("most").alias("most")).withColumn("weight", _weight(F.col("domain"), DOMAINS)).withColumn("root", F.lit(0))
+    top = leaves.groupBy("domain").agg(F.sum("most").alias("most")).withColumn("weight", _weight(F.col("domain"), targets.domains, targets.other)).withColumn("root", F.lit(0))
     top = _dealt(top.withColumn("budget", F.lit(total).cast("long")), ["root"], "domain").select("domain", F.col("share").alias("budget"))
-    middle = leaves.groupBy("domain", "language").agg(F.sum("most").alias("most")).withColumn("weight", _weight(F.col("language"), LANGUAGES))
+    middle = leaves.groupBy("domain", "language").agg(F.sum("most").alias("most")).withColumn("weight", _weight(F.col("language"), targets.languages, targets.other))
     middle = _dealt(middle.join(top, "domain"), ["domain"], "language").select("domain", "language", F.col("share").alias("budget"))
-    lowest = leaves.withColumn("weight", F.lit(SOURCE).cast("long")).join(middle, ["domain", "language"])
+    lowest = leaves.withColumn("weight", _weight(F.col("origin"), targets.sources, targets.source)).join(middle, ["domain", "language"])
     return _dealt(lowest, ["domain", "language"], "origin").select(*_LEAF, "tokens", F.col("share").alias("budget"))
 
 
-def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", percent: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED, prefix: str = "mix_") -> DataFrame:
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", percent: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED, prefix: str = "mix_", targets: Targets | None = None, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
     """The selected rows of df, each once, with mix_domain, mix_tokens, mix_copies (epochs in
     which it is taken), mix_leaf_tokens and mix_leaf_budget.
 
@@ -87,16 +103,17 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     (empty or null texts) are never selected. Rows that repeat an id are rows of their own,
     next to each other in the order (by text). Ids may be null. An empty table gives an empty
     result. All columns of df pass through as they are; if one of them begins with the prefix,
-    underscores are put before the prefix until none does.
+    underscores are put before the prefix until none does. `targets` are the weights of the
+    tree, `domain` makes the domain from a source's name.
     """
     prefix = free_name(df, prefix)
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    key = {f"{prefix}domain": domain_of(named(source_col)), f"{prefix}language": named(lang_col), f"{prefix}origin": named(source_col), f"{prefix}tokens": token_count(F.col(text_col))}
+    key = {f"{prefix}domain": domain(named(source_col)), f"{prefix}language": named(lang_col), f"{prefix}origin": named(source_col), f"{prefix}tokens": token_count(F.col(text_col))}
     leaf = [f"{prefix}{c}" for c in _LEAF]
     rows = df.withColumns(key).where(F.col(f"{prefix}tokens") > 0).withColumn(f"{prefix}salt", salt_of(SALTS, F.col(id_col)))
     narrow = written(rows.select(*[F.col(c).alias(c.removeprefix(prefix)) for c in leaf], F.col(f"{prefix}tokens").alias("tokens"), F.col(f"{prefix}salt").alias("salt"), F.col(id_col).cast("string").alias("id")), "narrow")
     leaves = written(narrow.groupBy(*_LEAF).agg(F.sum("tokens").alias("tokens")), "leaves")
-    dealt = written(budgets(leaves, percent, epochs), "budgets")
+    dealt = written(budgets(leaves, percent, epochs, targets), "budgets")
     # Every key is salted on both sides, so no leaf is one key of a join.
     plan = dealt.select(*_LEAF, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("tokens").alias("leaf_tokens"), F.col("budget").alias("leaf_budget"), F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest"))
     spot = lambda id_, whole: F.md5(F.concat_ws("|", F.lit(str(seed)), whole.cast("string"), F.coalesce(id_, F.lit(""))).cast("binary"))

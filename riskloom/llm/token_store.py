@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm import rans
-from riskloom.llm.common import documents, shared_dir, written
+from riskloom.llm.common import documents, removed_at_exit, shared_dir, written
 from riskloom.llm.tokens import encoded_batches, encoder, vocabulary_path
 from riskloom.session import importable
 
@@ -182,7 +182,7 @@ def read_store(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
 
 
 def op6_token_store(spark, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = removed_at_exit(spark, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
     files = write_store(documents(spark, sf_dir), folder)
     rows = read_store(spark, folder, files)
     return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

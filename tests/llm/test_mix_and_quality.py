@@ -116,3 +116,37 @@ def test_features_read_every_word_of_a_long_text():
     got = quality.features_of(b"a river, " * 60_000)
     assert np.allclose([got[one_letter], got[ending]], np.sqrt(0.5))
     assert quality.features_of(b" \n ")[ending] == 1.0
+
+
+def test_target_weights_and_domains_are_parameters(spark):
+    docs = spark.createDataFrame([(i, "a b c d e", "en", f"s{i % 2}") for i in range(400)], "doc_id long, text string, lang string, source string")
+    targets = mixing.Targets(domains={"first": 3, "second": 1})
+    got = mixing.mixed(docs, percent=40, targets=targets, domain=lambda s: F.when(s == "s0", "first").otherwise("second")).groupBy("mix_domain").agg(F.sum(F.col("mix_tokens") * F.col("mix_copies")).alias("n")).collect()
+    assert {r.mix_domain: r.n for r in got} == {"first": 600, "second": 200}
+    by_source = mixing.mixed(docs, percent=40, targets=mixing.Targets(sources={"s0": 1, "s1": 3}), domain=lambda s: F.lit("one")).groupBy("source").agg(F.sum(F.col("mix_tokens") * F.col("mix_copies")).alias("n")).collect()
+    assert {r.source: r.n for r in by_source} == {"s0": 200, "s1": 600}
+
+
+def test_the_risk_and_its_gradient_against_brute_force():
+    """The non-negative risk written out row by row; its gradient by differences. Where the
+    second term is negative, the step goes up that term alone."""
+    rng = np.random.default_rng(3)
+    positive = np.array([True] * 4 + [False] * 6)
+    loss = lambda z: np.log1p(np.exp(-z))
+
+    def terms(out, prior):
+        p, u = [x for x, good in zip(out, positive, strict=True) if good], [x for x, good in zip(out, positive, strict=True) if not good]
+        rest = sum(loss(-x) for x in u) / len(u) - prior * sum(loss(-x) for x in p) / len(p)
+        return prior * sum(loss(x) for x in p) / len(p), rest
+
+    for prior, shift in ((0.3, 0.0), (0.9, 4.0)):
+        out = rng.normal(0, 1, 10) + np.where(positive, shift, -shift)
+        good, rest = terms(out, prior)
+        got = quality._non_negative(prior)(out, 1 / (1 + np.exp(-out)), positive)
+        risk = (lambda z, pr=prior: sum(terms(z, pr))) if rest >= 0 else (lambda z, pr=prior: -terms(z, pr)[1])
+        for i in range(10):
+            up, down = out.copy(), out.copy()
+            up[i] += 1e-6
+            down[i] -= 1e-6
+            assert abs(got[i] - (risk(up) - risk(down)) / 2e-6) < 1e-6, (prior, i)
+    assert terms(rng.normal(0, 1, 10) + np.where(positive, 4.0, -4.0), 0.9)[1] < 0 <= terms(np.zeros(10), 0.3)[1]
