@@ -6,8 +6,6 @@ columns of documents. docs is what the stage before kept.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +58,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    top = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for at, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{at}")
-        docs = spark.read.parquet(f"{top}/{at}")
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs
 
 
