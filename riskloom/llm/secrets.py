@@ -146,7 +146,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     assign = F.filter(matches(text, ASSIGN, "assign", 0), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= ASSIGN_LEAST)
     base = F.concat(assign, matches(text, ACCESS, "access", 1), matches(text, HEX, "hex", 2))
     cut = blanked(blanked(blanked(text, ASSIGN, 2, ASSIGN_LEAST), ACCESS), HEX)
-    rows = rows.select(id_col, F.array_sort(base).alias("base"), cut.alias("cut")).withColumn("runs", matches(F.col("cut"), CANDIDATE, "entropy", 3))
+    rows = rows.select(id_col, "t", F.array_sort(base).alias("base"))
+    rows = rows.withColumn("cut", F.when(F.size("base") > 0, cut).otherwise(text)).withColumn("runs", matches(F.col("cut"), CANDIDATE, "entropy", 3))
 
     def fine(run):
         m = run["match"]
