@@ -186,17 +186,21 @@ def _rare_first(classes: DataFrame, percent: int, edge: int | None) -> DataFrame
     The order of tokens: those of the low hash range (all of them if edge is None) by the
     number of classes that have them, then the others. Tokens of one class only come first and
     match nothing; a class whose prefix has no others is left out. s is the number of its tokens
-    that another class has, keys the smallest of them by KEYS hashes, each with its count and the
-    sum of the sizes of the classes that have it.
+    that another class has, keys the smallest of them by KEYS hashes, each with its count (df;
+    more for long sets, so that df tells how many blocks hold them).
     """
-    counts = written(classes.select("n", F.explode("sketch").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("mass")).where("df > 1"), "tokens")
+    df = F.count(F.lit(1))
+    # Only where keys are asked for, long sets weigh more; any order that all sets share will do.
+    weight = df if edge is not None else F.greatest(df, F.expr(f"sum(n) div {BLOCK_TOKENS // BLOCK}"))
+    counts = classes.select("n", F.explode("sketch").alias("token")).groupBy("token").agg(weight.alias("df"), df.alias("classes")).where("classes > 1").drop("classes")
+    counts = written(counts, "tokens")
     total = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
     hot = F.broadcast(counts.where(F.col("df") > max(BLOCK, total // HOT_KEYS)).select("token", F.lit(True).alias("hot")))  # HOT_KEYS rows at most
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = counts.join(hot, "token", "left").withColumn("salt", F.explode(salts)).drop("hot")
     postings = classes.select("cid", "n", "low", F.explode("sketch").alias("token")).join(hot, "token", "left")
     postings = postings.withColumn("salt", F.when(F.col("hot"), salt_of(HOT_SALTS, "cid")).otherwise(0)).drop("hot").join(repeated, ["token", "salt"])
-    shared = postings.groupBy("cid", "n", "low").agg(F.sort_array(F.collect_list(F.struct("df", "token", "mass"))).alias("shared"))
+    shared = postings.groupBy("cid", "n", "low").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     is_low = lambda x: (x["token"] >= 0) & (x["token"] < F.lit(edge))
     shared = shared.withColumn("low_shared", F.col("shared") if edge is None else F.filter("shared", is_low))
     least = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
@@ -204,7 +208,7 @@ def _rare_first(classes: DataFrame, percent: int, edge: int | None) -> DataFrame
     prefix = F.slice("low_shared", F.lit(1), F.col("room"))
     if edge is not None:
         prefix = F.concat(prefix, F.filter("shared", lambda x: ~is_low(x)))
-    least_by = lambda j: F.array_min(F.transform("shared", lambda x: F.struct((x["token"] if j == 0 else F.xxhash64(x["token"], F.lit(j))).alias("at"), x["token"].alias("token"), x["df"].alias("df"), x["mass"].alias("mass"))))
+    least_by = lambda j: F.array_min(F.transform("shared", lambda x: F.struct((x["token"] if j == 0 else F.xxhash64(x["token"], F.lit(j))).alias("at"), x["token"].alias("token"), x["df"].alias("df"))))
     keys = F.array(*map(least_by, range(KEYS)))
     return shared.select("cid", "n", F.size("shared").cast("long").alias("s"), F.transform(prefix, lambda x: x["token"]).alias("prefix"), keys.alias("keys")).where(F.size("prefix") > 0)
 
@@ -263,7 +267,7 @@ def _tied(docs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) ->
     """Links (a, b) of labels for all pairs of documents that link but have different labels."""
     followed = labels.where("cid <> label").select(F.col("label").alias("cid"), F.lit(True).alias("followed")).distinct()
     docs = docs.join(labels, "cid").join(followed, "cid", "left")
-    blocks = _blocks("keys[0].df", "keys[0].mass")
+    blocks = _blocks("keys[0].df", "0")
     block = F.pmod(F.xxhash64("cid"), blocks)
     alone = (F.col("cid") == F.col("label")) & F.col("followed").isNull()
     deficit = F.least(F.expr(f"(n - s) * {100 * CLASSES // 2} div (n * {max(1, 100 - percent)})"), F.lit(CLASSES))
