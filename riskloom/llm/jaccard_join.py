@@ -181,7 +181,8 @@ def _ties(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _rare_first(classes: DataFrame, percent: int, edge: int | None) -> DataFrame:
-    """classes(cid, n, low, sketch) to (cid, n, s, prefix, keys) for the classes that may link.
+    """classes(num, cid, n, low, sketch) to (cid, n, s, prefix, keys) for the classes that may link.
+    num names a class in a few bytes: postings are its number and a token, nothing else moves.
 
     The order of tokens: those of the low hash range (all of them if edge is None) by the
     number of classes that have them, then the others. Tokens of one class only come first and
@@ -198,9 +199,11 @@ def _rare_first(classes: DataFrame, percent: int, edge: int | None) -> DataFrame
     hot = F.broadcast(counts.where(F.col("df") > max(BLOCK, total // HOT_KEYS)).select("token", F.lit(True).alias("hot")))  # HOT_KEYS rows at most
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = counts.join(hot, "token", "left").withColumn("salt", F.explode(salts)).drop("hot")
-    postings = classes.select("cid", "n", "low", F.explode("sketch").alias("token")).join(hot, "token", "left")
-    postings = postings.withColumn("salt", F.when(F.col("hot"), salt_of(HOT_SALTS, "cid")).otherwise(0)).drop("hot").join(repeated, ["token", "salt"])
-    shared = postings.groupBy("cid", "n", "low").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    postings = classes.select("num", F.explode("sketch").alias("token")).join(hot, "token", "left")
+    postings = postings.withColumn("salt", F.when(F.col("hot"), salt_of(HOT_SALTS, "num")).otherwise(0)).drop("hot").join(repeated, ["token", "salt"])
+    # Both lists grow row by row, so their entries belong together; as two they take half the bytes.
+    shared = postings.groupBy("num").agg(F.collect_list("df").alias("df"), F.collect_list("token").alias("token"))
+    shared = shared.join(classes.select("num", "cid", "n", "low"), "num").withColumn("shared", F.sort_array(F.arrays_zip("df", "token")))
     is_low = lambda x: (x["token"] >= 0) & (x["token"] < F.lit(edge))
     shared = shared.withColumn("low_shared", F.col("shared") if edge is None else F.filter("shared", is_low))
     least = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
@@ -317,17 +320,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = texts.select("id", F.xxhash64("text").alias("print"), "text")
     rows = written(rows.mapInArrow(partial(_sketches, k=k, percent=percent, edge=edge), _SKETCH), "sketches")
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("sketch").alias("sketch"))
-    classes = written(classes, "classes")
+    # A number is unique in the table that was written, whatever tasks ran again before.
+    classes = written(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
 
     near = _rare_first(classes, percent, edge).select("cid")
     wanted = written(near.join(classes.select("cid", "id"), "cid").select("id").distinct(), "wanted")
     sets = texts.join(wanted.where("id IS NOT NULL"), "id", "left_semi")
     if wanted.where("id IS NULL").limit(1).count():
         sets = sets.unionByName(texts.where("id IS NULL"))
-    sets = written(sets.mapInArrow(partial(_whole_sets, k=k), _SET).where("size(tokens) > 0").dropDuplicates(["cid"]), "sets")
+    sets = written(sets.mapInArrow(partial(_whole_sets, k=k), _SET).where("size(tokens) > 0").dropDuplicates(["cid"]).withColumn("num", F.monotonically_increasing_id()), "sets")
 
-    whole = sets.select("cid", F.size("tokens").cast("long").alias("n"), F.size("tokens").cast("long").alias("low"), F.col("tokens").alias("sketch"))
-    docs = written(_rare_first(whole, percent, None), "candidates")
+    whole = sets.select("num", "cid", F.size("tokens").cast("long").alias("n"), F.size("tokens").cast("long").alias("low"), F.col("tokens").alias("sketch"))
+    docs, sets = written(_rare_first(whole, percent, None), "candidates"), sets.drop("num")
     labels = _settled(docs, sets, percent)
     links = written(_tied(docs, labels, sets, percent), "links")
 
