@@ -7,6 +7,7 @@ sets of one aggregation.
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -173,40 +174,76 @@ def point_estimates(pairs: DataFrame) -> DataFrame:
     return out.withColumn("effect_direction", direction(F.col("value")))
 
 
+def resampled_sums(values: np.ndarray, block: int, resamples: int, rng: np.random.Generator) -> np.ndarray:
+    """Sums of moving-block resamples of one series; each resample has as many values as it."""
+    n = len(values)
+    if not n or block < 1 or resamples < 1:
+        raise fail("WINDOW_ALIGNMENT_ERROR", "The bootstrap needs non-empty groups and positive controls.")
+    if not np.isfinite(values).all():
+        raise fail("WINDOW_ALIGNMENT_ERROR", "A difference is not finite.")
+    b, sums = min(block, n), np.empty(resamples)
+    starts = drawn_starts(n, block, resamples, rng)
+    for at in range(0, resamples, 256):  # bounds the memory of the index
+        index = (starts[at : at + 256, :, None] + np.arange(b)).reshape(len(starts[at : at + 256]), -1)[:, :n]
+        sums[at : at + 256] = values[index].sum(axis=1)
+    return sums
+
+
+def drawn_starts(n: int, block: int, resamples: int, rng: np.random.Generator) -> np.ndarray:
+    """First positions of the blocks of each resample. They depend on the length only."""
+    b = min(block, n)
+    return rng.integers(0, n - b + 1, size=(resamples, math.ceil(n / b)))
+
+
 def block_means(groups: list[np.ndarray], block: int, resamples: int, seed: int) -> np.ndarray:
     """Means of moving-block resamples, with one stream of draws over all groups in order."""
-    if not groups or any(len(g) == 0 for g in groups) or block < 1 or resamples < 1:
+    if not groups:
         raise fail("WINDOW_ALIGNMENT_ERROR", "The bootstrap needs non-empty groups and positive controls.")
-    rng, sums = np.random.default_rng(seed), np.zeros(resamples)
-    for values in groups:
-        n = len(values)
-        if not np.isfinite(values).all():
-            raise fail("WINDOW_ALIGNMENT_ERROR", "A difference is not finite.")
-        b = min(block, n)
-        starts = rng.integers(0, n - b + 1, size=(resamples, math.ceil(n / b)))
-        for at in range(0, resamples, 256):  # bounds the memory of the index
-            index = (starts[at : at + 256, :, None] + np.arange(b)).reshape(len(starts[at : at + 256]), -1)[:, :n]
-            sums[at : at + 256] += values[index].sum(axis=1)
-    return sums / sum(map(len, groups))
+    rng = np.random.default_rng(seed)
+    return sum(resampled_sums(np.asarray(g, float), block, resamples, rng) for g in groups) / sum(map(len, groups))
 
 
-def intervals(pairs: DataFrame, config: Config) -> DataFrame:
-    """Bootstrap interval of the mean difference for each comparison, by series and pooled.
-    One task has one comparison; the pooled ones draw over their series in name order."""
+def resamples_by_series(pairs: DataFrame, config: Config) -> DataFrame:
+    """Rows (period, model_id, benchmark_model_id, metric, series_id, at, total, n): the sum of
+    resample `at` of n differences, for each series with its own stream and, under ALL, for the
+    same series as its part of the pooled stream. A task has one series of one comparison. The
+    pooled stream runs over the series in name order; where it stands before each of them
+    follows from the lengths alone, so it is found on a table of a row a series."""
     importable(pairs.sparkSession)
     e, seed = config.evaluation, config.experiment.random_seed
-    tail = (1 - e.bootstrap_confidence) / 2
-    keys = ["period", "model_id", "benchmark_model_id", "metric", "series_id"]
-    rows = pairs.withColumn("of", F.col("series_id")).withColumn("series_id", F.explode(F.array("series_id", F.lit(ALL))))
+    kind = ["period", "model_id", "benchmark_model_id", "metric"]
+
+    def states(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, rng, out = rows.sort_values("series_id", kind="stable"), np.random.default_rng(seed), []
+        for n in rows["n"]:
+            out.append(json.dumps(rng.bit_generator.state))
+            drawn_starts(int(n), e.bootstrap_block_length, e.bootstrap_resamples, rng)
+        return rows.assign(state=out)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["of", "target_date"], kind="stable")
-        means = block_means([g["difference"].to_numpy(float) for _, g in rows.groupby("of", sort=True)], e.bootstrap_block_length, e.bootstrap_resamples, seed)
-        first = rows.iloc[0]
-        return pd.DataFrame([{**{k: first[k] for k in keys}, "interval_lower": float(np.quantile(means, tail)), "interval_upper": float(np.quantile(means, 1 - tail)), "fraction_below_zero": float(np.mean(means < 0))}])
+        values, first = rows.sort_values("target_date", kind="stable")["difference"].to_numpy(float), rows.iloc[0]
+        pooled = np.random.default_rng(seed)
+        pooled.bit_generator.state = json.loads(first["state"])
+        parts = []
+        for series, rng in ((first["series_id"], np.random.default_rng(seed)), (ALL, pooled)):
+            sums = resampled_sums(values, e.bootstrap_block_length, e.bootstrap_resamples, rng)
+            parts.append(pd.DataFrame({**{k: first[k] for k in kind}, "series_id": series, "at": np.arange(len(sums)), "total": sums, "n": len(values)}))
+        return pd.concat(parts)
+
+    text = ", ".join(f"{k} string" for k in [*kind, "series_id"])
+    sizes = pairs.groupBy(*kind, "series_id").agg(F.count(F.lit(1)).alias("n"))
+    known = sizes.groupBy(*kind).applyInPandas(states, f"{text}, n bigint, state string").drop("n")
+    rows = pairs.select(*kind, "series_id", "target_date", "difference").join(known, [*kind, "series_id"])
+    return rows.groupBy(*kind, "series_id").applyInPandas(one, f"{text}, at int, total double, n bigint")
+
 
-    schema = "period string, model_id string, benchmark_model_id string, metric string, series_id string, interval_lower double, interval_upper double, fraction_below_zero double"
-    return rows.select(*keys, "of", "target_date", "difference").groupBy(*keys).applyInPandas(one, schema)
+def intervals(pairs: DataFrame, config: Config) -> DataFrame:
+    """Bootstrap interval of the mean difference for each comparison, by series and pooled."""
+    tail = (1 - config.evaluation.bootstrap_confidence) / 2
+    keys = ["period", "model_id", "benchmark_model_id", "metric", "series_id"]
+    means = resamples_by_series(pairs, config).groupBy(*keys, "at").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    ends = {"interval_lower": F.percentile("mean", F.lit(tail)), "interval_upper": F.percentile("mean", F.lit(1 - tail)), "fraction_below_zero": F.avg((F.col("mean") < 0).cast("double"))}
+    return means.groupBy(*keys).agg(*[v.alias(k) for k, v in ends.items()])
 
 
 def comparison_grid(series: DataFrame) -> DataFrame:

@@ -124,6 +124,21 @@ def test_bootstrap_draws():
             evaluation.block_means(bad, 2, 10, 1)
 
 
+def test_intervals_by_series_and_pooled_follow_one_stream(spark):
+    rng, days = np.random.default_rng(3), [date(2020, 1, 1 + i) for i in range(20)]
+    groups = {"b": rng.normal(size=20), "A": rng.normal(size=7), "a": rng.normal(size=1)}
+    rows = [("test", "ewma", "h", "qlike", s, days[i], float(v)) for s, values in groups.items() for i, v in enumerate(values)]
+    pairs = spark.createDataFrame(rows[::-1], "period string, model_id string, benchmark_model_id string, metric string, series_id string, target_date date, difference double")
+    got = {r.series_id: r for r in evaluation.intervals(pairs, CONFIG).collect()}
+    e, seed = CONFIG.evaluation, CONFIG.experiment.random_seed
+    tail = (1 - e.bootstrap_confidence) / 2
+    for name, parts in {**{s: [v] for s, v in groups.items()}, "ALL": [groups[s] for s in sorted(groups)]}.items():
+        means = evaluation.block_means(parts, e.bootstrap_block_length, e.bootstrap_resamples, seed)
+        want = (np.quantile(means, tail), np.quantile(means, 1 - tail), np.mean(means < 0))
+        assert np.allclose(want, (got[name].interval_lower, got[name].interval_upper, got[name].fraction_below_zero))
+    assert set(got) == {*groups, "ALL"}
+
+
 def test_ids(spark):
     assert ids.canonical_json({"b": 1, "a": [None, True, "é"], "d": date(2020, 1, 2)}) == '{"a":[null,true,"é"],"b":1,"d":"2020-01-02"}'
     for bad in (math.nan, object()):
