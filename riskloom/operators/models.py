@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.errors import fail
@@ -47,21 +47,24 @@ def variance_path(panel: DataFrame, window: int) -> DataFrame:
     return with_variance(panel, window).where(F.col("pos") >= window - 1).select("series_id", "pos", "variance", "volatility")
 
 
-def _quantile(window: int, p: float, method: str):
-    """Quantile of the last `window` returns. With h = p * (window - 1): linear interpolates,
-    lower and higher take the neighbours, midpoint their mean, nearest the closer (even on a tie)."""
-    frame = _trailing(window)
-    if method == "linear":
-        return F.percentile("simple_return", F.lit(p)).over(frame)
-    h = p * (window - 1)
-    low, high = math.floor(h), math.ceil(h)
-    at = {"lower": (low, low), "higher": (high, high), "midpoint": (low, high), "nearest": (round(h), round(h))}.get(method)
-    if at is None:
-        raise fail("CONFIG_INVALID", f"There is no quantile method {method}.")
-    ordered = F.sort_array(F.collect_list("simple_return").over(frame))
-    if at[0] == at[1]:
-        return F.get(ordered, F.lit(at[0]))
-    return (F.get(ordered, F.lit(at[0])) + F.get(ordered, F.lit(at[1]))) / 2
+def _quantiles(window: int, method: str) -> dict[str, Column]:
+    """The 5 % and 1 % quantiles of the last `window` returns, the sorted window serving both.
+    With h = p * (window - 1): linear interpolates, lower and higher take the neighbours,
+    midpoint their mean, nearest the closer (even on a tie). Uses `sorted_returns`, which
+    with_simulation adds, for all but linear."""
+    out = {}
+    for name, p in (("return_quantile_0_05", 0.05), ("return_quantile_0_01", 0.01)):
+        h = p * (window - 1)
+        low, high = math.floor(h), math.ceil(h)
+        at = {"linear": (low, high), "lower": (low, low), "higher": (high, high), "midpoint": (low, high), "nearest": (round(h), round(h))}.get(method)
+        if at is None:
+            raise fail("CONFIG_INVALID", f"There is no quantile method {method}.")
+        if method == "linear":
+            out[name] = F.percentile("simple_return", F.lit(p)).over(_trailing(window))
+        else:
+            a, b = (F.get("sorted_returns", F.lit(i)) for i in at)
+            out[name] = a if at[0] == at[1] else (a + b) / 2
+    return out
 
 
 QUANTILE_COLUMNS = ("return_quantile_0_05", "var_0_95", "return_quantile_0_01", "var_0_99")
@@ -70,9 +73,9 @@ QUANTILE_COLUMNS = ("return_quantile_0_05", "var_0_95", "return_quantile_0_01",
 def with_simulation(panel: DataFrame, window: int, method: str = "linear") -> DataFrame:
     """The panel with 5 % and 1 % quantiles of the last `window` returns and the losses they
     imply, null before."""
-    full = F.col("pos") >= window - 1
-    path = panel.withColumn("return_quantile_0_05", F.when(full, _quantile(window, 0.05, method))).withColumn("return_quantile_0_01", F.when(full, _quantile(window, 0.01, method)))
-    return with_losses(path)
+    columns, full = _quantiles(window, method), F.col("pos") >= window - 1
+    path = panel if method == "linear" else panel.withColumn("sorted_returns", F.sort_array(F.collect_list("simple_return").over(_trailing(window))))
+    return with_losses(path.withColumns({k: F.when(full, v) for k, v in columns.items()}).drop("sorted_returns"))
 
 
 def simulation_path(panel: DataFrame, window: int, method: str = "linear") -> DataFrame:
