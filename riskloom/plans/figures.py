@@ -44,6 +44,13 @@ def lines(title: str, series: dict[str, list[tuple[float, float | None]]], point
     return _page(title, body, list(series))
 
 
+def stacked(pages: list[str]) -> str:
+    """Several figures under each other as one."""
+    moved = [f'<g transform="translate(0 {HEIGHT * i})">\n{page}</g>' for i, page in enumerate(pages)]
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{WIDTH}" height="{HEIGHT * max(1, len(pages))}">'
+    return "\n".join([head, *moved, "</svg>", ""])
+
+
 def intervals(title: str, rows: list[tuple[str, float | None, float | None, float | None]]) -> str:
     """A marker and an interval for each (label, value, low, high), with a line at zero."""
     values = [v for _, *vs in rows for v in vs if v is not None] + [0.0]

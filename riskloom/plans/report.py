@@ -77,15 +77,31 @@ def figure_tables(tables: dict[str, DataFrame], window: int) -> dict[str, DataFr
     }
 
 
-def _drawn(name: str, data: DataFrame) -> str:
-    """Figures of daily values show the first series by name; one series has a few thousand days."""
+def series_of(identity: dict[str, Any]) -> list[str]:
+    """All series of an experiment in the order of its input, the proxy last."""
+    config = identity["configuration"]
+    proxy = config["portfolio_proxy"]
+    return [*config["upstream"]["instruments"], *([proxy["series_id"]] if proxy["enabled"] else [])]
+
+
+def _told(value: Any, *path: str) -> Any:
+    """A value inside nested objects, or "unavailable" where any step is missing or empty."""
+    for key in path:
+        value = value.get(key) if isinstance(value, dict) else None
+    return "unavailable" if value is None or value == "" else value
+
+
+def _drawn(name: str, data: DataFrame, series: list[str]) -> str:
+    """Figures of daily values have a panel a series, in the given order."""
     title = name.replace("_", " ").capitalize()
     if name in ("volatility_history", "exception_history"):
-        first = data.agg(F.min("series_id")).first()[0]
         value = "volatility" if name == "volatility_history" else "loss"
-        rows = data.where(F.col("series_id") == first).select("model_id", F.unix_date("target_date").alias("x"), F.col(value).alias("y")).collect() if first else []
-        keys = sorted({r.model_id for r in rows})
-        return figures.lines(f"{title}: {first}", {k: [(r.x, r.y) for r in rows if r.model_id == k] for k in keys}, points=name == "exception_history")
+        panels = []
+        for one in series:  # read a series at a time: a few thousand days
+            rows = data.where(F.col("series_id") == one).select("model_id", F.unix_date("target_date").alias("x"), F.col(value).alias("y")).collect()
+            keys = sorted({r.model_id for r in rows})
+            panels.append(figures.lines(f"{title}: {one}", {k: [(r.x, r.y) for r in rows if r.model_id == k] for k in keys}, points=name == "exception_history"))
+        return figures.stacked(panels)
     if name == "rolling_advantage":
         rows = data.where("metric = 'qlike'").select("model_id", F.unix_date("target_date").alias("x"), F.col("rolling_difference").alias("y")).collect()
         return figures.lines(title, {k: [(r.x, r.y) for r in rows if r.model_id == k] for k in sorted({r.model_id for r in rows})})
@@ -99,12 +115,11 @@ def _drawn(name: str, data: DataFrame) -> str:
 
 def render(tables: dict[str, DataFrame], identity: dict[str, Any], manifest: dict[str, Any]) -> str:
     config = identity["configuration"]
-    series = [*config["upstream"]["instruments"], *([config["portfolio_proxy"]["series_id"]] if config["portfolio_proxy"]["enabled"] else [])]
+    series = series_of(identity)
     confidence = f"{config['evaluation']['bootstrap_confidence'] * 100:g}%"
     winners = {m: [r.model_id for r in reporting.directions(tables["bootstrap_comparisons"], "test", m).collect()] for m in ("qlike", "pinball_loss_0_05")}
     verdicts = reporting.calibration_summary(tables["coverage_tests"], len(series)).orderBy("model_id").collect()
     say = lambda names, what, base: f"For {what}, {', '.join(names)} beat {base} with a {confidence} interval below zero." if names else f"For {what}, no candidate beat {base} with a {confidence} interval below zero."
-    lineage = identity["dataset"]
     coverage = {level: reporting.coverage_pivot(tables["coverage_tests"], level).orderBy("series_id", "model_id").collect() for level in (0.95, 0.99)}
     per_series = reporting.series_comparisons(tables["bootstrap_comparisons"]).orderBy("metric", "series_id", "model_id").collect()
     fits = reporting.diagnostics_summary(tables["fit_diagnostics"], tables["forecasts"]).orderBy("model_id").collect()
@@ -123,7 +138,11 @@ def render(tables: dict[str, DataFrame], identity: dict[str, Any], manifest: dic
         "Fit diagnostics": markdown(fits, ["model_id", "fits", "converged", "retries", "failed_forecasts"]),
         "Run identity and data lineage": "\n".join(
             f"- {k}: {v}"
-            for k, v in (("experiment", identity["experiment_id"]), ("series", ", ".join(series)), ("observations", lineage["observation_count"]), ("dates", f"{lineage['first_date']} to {lineage['last_date']}"), ("input checksum", lineage["input_checksums"][run.RETURNS]), ("source", manifest["source"]["source_sha256"]), ("commit", manifest["source"]["git_commit"] or "unavailable"))
+            for k, v in (
+                ("experiment", _told(identity, "experiment_id")), ("series", ", ".join(series)), ("observations", _told(identity, "dataset", "observation_count")),
+                ("dates", f"{_told(identity, 'dataset', 'first_date')} to {_told(identity, 'dataset', 'last_date')}"), ("input checksum", _told(identity, "dataset", "input_checksums", run.RETURNS)),
+                ("source", _told(manifest, "source", "source_sha256")), ("commit", _told(manifest, "source", "git_commit")),
+            )
         ),
         "Method and traceability": f"Forecasts use data up to their origin only; candidates are paired with benchmarks date by date. Intervals come from {config['evaluation']['bootstrap_resamples']} moving-block resamples of {config['evaluation']['bootstrap_block_length']} days with seed {config['experiment']['random_seed']}. All numbers come from the saved tables of this folder.",
         "Limitations": "Results describe this history and these settings. Failed forecasts are counted, not replaced. Scores and calibration are different properties.",
@@ -147,7 +166,7 @@ def generate(spark: SparkSession, folder: str | Path) -> Report:
         (part / "figures").mkdir()
         (part / experiment.REPORT).write_text(render(tables, identity, manifest), encoding="utf-8")
         for name, data in figure_tables(tables, identity["configuration"]["historical"]["variance_window"]).items():
-            (part / f"figures/{name}.svg").write_text(_drawn(name, data), encoding="utf-8")
+            (part / f"figures/{name}.svg").write_text(_drawn(name, data, series_of(identity)), encoding="utf-8")
         if experiment.declared(folder, experiment.NUMERICAL) != before:
             raise fail("ARTIFACT_RECONCILIATION_FAILED", "The tables changed while the report was made.")
         (part / "figures").replace(folder / "figures")
