@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.errors import RiskError
 from riskloom.functions import ids, scoring
 from riskloom.functions.special import Z_01, Z_05, student_t_quantiles
-from riskloom.operators import evaluation, models, panel, reporting, windows
+from riskloom.operators import evaluation, garch, models, panel, reporting, windows
 from riskloom.plans import panels, runner
 from riskloom.plans.panels import PROFILE, PROXY, WEIGHTS, lineitem_panel
+from riskloom.session import importable
 from riskloom.sources import fixture
 
 DIGITS = 9
@@ -207,6 +209,111 @@ def reconcile_counts(spark, d):
     return reporting.reconciliation(tables | {"quantile_scores": tables["quantile_scores"].withColumn("observation_count", more)})
 
 
+def _filtered(spark, d) -> DataFrame:
+    """Forecasts of the recursion at fixed GARCH parameters. Every seventh variance is made zero
+    and every eleventh not a number, so the guard fails them."""
+    rows = lineitem_panel(spark, d)
+    path = models.garch_filter_path(rows, 60, GARCH["omega"], GARCH["alpha"], GARCH["beta"])
+    v = F.when(F.col("pos") % 7 == 0, 0.0).when(F.col("pos") % 11 == 0, float("nan")).otherwise(F.col("variance"))
+    grid = windows.expanding_windows(rows, 60, P, models.GARCH_GAUSSIAN)
+    found = grid.join(path.withColumn("variance", v), ["series_id", "pos"]).withColumns({"fit_id": F.lit("fixed"), "forecast_id": F.concat_ws(":", "series_id", "pos")})
+    return runner.finished(found, PROFILE)
+
+
+def variance_guard(spark, d):
+    return rounded(_filtered(spark, d).select("series_id", "forecast_origin", "variance", "var_0_95", "status", "error_code"))
+
+
+def _joined_garch(spark: SparkSession, d: str) -> DataFrame:
+    found = _benchmarks(spark, d)
+    return evaluation.joined(found.forecasts.unionByName(_filtered(spark, d)), found.realizations)
+
+
+def _pairs_garch(spark, d) -> DataFrame:
+    rows = _joined_garch(spark, d)
+    return evaluation.all_pairs(evaluation.variance_observations(rows), evaluation.quantile_observations(rows))
+
+
+def availability_with_garch(spark, d):
+    return evaluation.availability(_joined_garch(spark, d), _name())
+
+
+def variance_scores_with_garch(spark, d):
+    return rounded(evaluation.score_table(evaluation.variance_observations(_joined_garch(spark, d)), _name()))
+
+
+def quantile_scores_with_garch(spark, d):
+    return rounded(evaluation.score_table(evaluation.quantile_observations(_joined_garch(spark, d)), _name(), ("confidence_level", "tail_probability")))
+
+
+def coverage_tests_with_garch(spark, d):
+    return rounded(evaluation.coverage_table(evaluation.quantile_observations(_joined_garch(spark, d)), _name()))
+
+
+def paired_differences_with_garch(spark, d):
+    return rounded(_pairs_garch(spark, d))
+
+
+def bootstrap_point_estimates_with_garch(spark, d):
+    return rounded(evaluation.point_estimates(_pairs_garch(spark, d)))
+
+
+def period_breakdowns_with_garch(spark, d):
+    rows = _joined_garch(spark, d)
+    return rounded(evaluation.breakdowns(rows, evaluation.variance_observations(rows), evaluation.quantile_observations(rows), PROFILE))
+
+
+def comparison_rows(spark, d):
+    """Comparisons over all series by QLIKE in the test period."""
+    return rounded(reporting.comparison_rows(evaluation.point_estimates(_pairs_garch(spark, d)), "test", "qlike"))
+
+
+def candidate_directions(spark, d):
+    """Candidates better than the benchmark by QLIKE in the validation and test periods, with the
+    normal bound of the mean difference for the upper end of the interval."""
+    top = F.avg("difference") + 1.96 * F.stddev_samp("difference") / F.sqrt(F.count(F.lit(1)))
+    bounds = [F.count(F.lit(1)).alias("paired_count"), F.avg("difference").alias("value"), top.alias("interval_upper")]
+    rows = evaluation.with_all(_pairs_garch(spark, d), ["period", "model_id", "benchmark_model_id", "metric"], bounds)
+    parts = [reporting.directions(rows, period, metric).select(F.lit(period).alias("period"), F.lit(metric).alias("metric"), "model_id") for period in evaluation.PERIODS for metric in ("qlike", "pinball_loss_0_05")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def diagnostics_summary(spark, d):
+    found = runner.ewma(lineitem_panel(spark, d), PROFILE, CHECKSUM)
+    return reporting.diagnostics_summary(found.fit_diagnostics, found.forecasts)
+
+
+LACKING = "series_id = 'A' AND period = 'validation'"
+
+
+def artifact_faults(spark, d):
+    """Faults of artifacts that lack one series' realizations of a period and all diagnostics."""
+    found = _benchmarks(spark, d)
+    return runner.artifact_faults(runner.Artifacts(found.experiment_windows, found.realizations.where(f"NOT ({LACKING})"), found.forecasts, found.fit_diagnostics.limit(0)))
+
+
+def parameter_checks(spark, d):
+    """The check of GARCH parameters on combinations made from supplier keys, with its code."""
+
+    def codes(parts):
+        for rows in parts:
+            yield rows.assign(code=[_code(*r) for r in rows[["omega", "alpha", "beta", "degrees_of_freedom", "student"]].itertuples(index=False)])
+
+    importable(spark)
+    k = F.col("s_suppkey").cast("bigint")
+    columns = [((k % 5) / 10).alias("omega"), ((k % 4) / 5).alias("alpha"), ((k % 7) / 8).alias("beta"), F.when(k % 3 > 0, (k % 6).cast("double")).alias("degrees_of_freedom"), (k % 2 == 0).alias("student")]
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("s_suppkey"), *columns)
+    return rows.mapInPandas(codes, "s_suppkey bigint, omega double, alpha double, beta double, degrees_of_freedom double, student boolean, code string").select("s_suppkey", "code")
+
+
+def _code(omega: float, alpha: float, beta: float, degrees_of_freedom: float, student: bool) -> str:
+    try:
+        garch.check_parameters(garch.Parameters(omega, alpha, beta, None if degrees_of_freedom != degrees_of_freedom else degrees_of_freedom), student, 1e-8)
+    except RiskError as e:
+        return e.code
+    return "ok"
+
+
 def garch_fits(spark, d):
     return runner.garch_candidates(lineitem_panel(spark, d), PROFILE, CHECKSUM).fit_diagnostics
 
@@ -275,6 +382,19 @@ QUERIES = {
     "exception_history": exception_history,
     "period_context": period_context,
     "reconcile_counts": reconcile_counts,
+    "variance_guard": variance_guard,
+    "availability_with_garch": availability_with_garch,
+    "variance_scores_with_garch": variance_scores_with_garch,
+    "quantile_scores_with_garch": quantile_scores_with_garch,
+    "coverage_tests_with_garch": coverage_tests_with_garch,
+    "paired_differences_with_garch": paired_differences_with_garch,
+    "bootstrap_point_estimates_with_garch": bootstrap_point_estimates_with_garch,
+    "period_breakdowns_with_garch": period_breakdowns_with_garch,
+    "comparison_rows": comparison_rows,
+    "candidate_directions": candidate_directions,
+    "diagnostics_summary": diagnostics_summary,
+    "artifact_faults": artifact_faults,
+    "parameter_checks": parameter_checks,
     "garch_fits": garch_fits,
     "garch_forecasts": garch_forecasts,
     "student_t_quantiles": quantiles_of_t,
@@ -313,7 +433,7 @@ _CTE["forecasts"] = f"""
   UNION ALL SELECT g.series_id, '{models.HISTORICAL_SIMULATION}', forecast_origin, target_date, start_100, NULL, NULL, q05, greatest(0.0, -q05), q01, greatest(0.0, -q01) FROM eligible g JOIN hs ON g.series_id = hs.series_id AND g.pos = hs.pos
   UNION ALL SELECT g.series_id, '{models.EWMA}', forecast_origin, target_date, first_date, variance, sqrt(variance), sqrt(variance) * {Z_05}::DOUBLE, greatest(0.0, -(sqrt(variance) * {Z_05}::DOUBLE)),
     sqrt(variance) * {Z_01}::DOUBLE, greatest(0.0, -(sqrt(variance) * {Z_01}::DOUBLE)) FROM eligible g JOIN ew ON g.series_id = ew.series_id AND g.pos = ew.pos"""
-_CTE["joined"] = "SELECT f.*, r.simple_return, r.squared_return, r.loss, r.period, 'ok' AS status FROM forecasts f JOIN real r ON f.series_id = r.series_id AND f.forecast_origin = r.forecast_origin AND f.target_date = r.target_date WHERE r.period IN ('validation', 'test')"
+_CTE["joined"] = "SELECT f.*, r.simple_return, r.squared_return, r.loss, r.period, CASE WHEN f.variance IS NULL AND f.return_quantile_0_05 IS NULL THEN 'failed' ELSE 'ok' END AS status FROM forecasts f JOIN real r ON f.series_id = r.series_id AND f.forecast_origin = r.forecast_origin AND f.target_date = r.target_date WHERE r.period IN ('validation', 'test')"
 _CTE["vobs"] = """SELECT period, model_id, series_id, forecast_origin, target_date, unnest(['qlike', 'squared_error', 'absolute_error']) AS metric,
   unnest([ln(variance) + squared_return / variance, (squared_return - variance) * (squared_return - variance), abs(squared_return - variance)]) AS score FROM joined WHERE variance IS NOT NULL"""
 _CTE["qobs"] = """SELECT period, model_id, series_id, forecast_origin, target_date, 'pinball_loss_0_05' AS metric, 0.95::DOUBLE AS confidence_level, 0.05::DOUBLE AS tail_probability,
@@ -339,11 +459,11 @@ _CTE["cover"] = (
     f"CASE WHEN {_ENOUGH} THEN 'ok' ELSE 'insufficient_events' END AS christoffersen_status FROM counts"
 )
 _CTE["pairs"] = "\n  UNION ALL ".join(
-    f"SELECT c.period, c.model_id, '{b}' AS benchmark_model_id, c.metric, c.series_id, c.forecast_origin, c.target_date, c.score - b.score AS difference FROM {t} c JOIN {t} b ON c.period = b.period AND c.metric = b.metric AND c.series_id = b.series_id AND c.forecast_origin = b.forecast_origin AND c.target_date = b.target_date AND b.model_id = '{b}' WHERE c.model_id = '{models.EWMA}'"
+    f"SELECT c.period, c.model_id, '{b}' AS benchmark_model_id, c.metric, c.series_id, c.forecast_origin, c.target_date, c.score - b.score AS difference FROM {t} c JOIN {t} b ON c.period = b.period AND c.metric = b.metric AND c.series_id = b.series_id AND c.forecast_origin = b.forecast_origin AND c.target_date = b.target_date AND b.model_id = '{b}' WHERE c.model_id IN {models.CANDIDATES}"
     for t, b in (("vobs", models.HISTORICAL_VARIANCE), ("qobs", models.HISTORICAL_SIMULATION))
 )
 _CTE["avail"] = """SELECT period, series_id, model_id, unnest(['total_eligible_target_dates', 'valid_forecast_count', 'failed_forecast_count', 'unavailable_forecast_count']) AS metric, n AS observation_count,
-  unnest([n::DOUBLE, n::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]) AS value FROM (SELECT period, coalesce(series_id, 'ALL') AS series_id, model_id, count(*) AS n FROM joined GROUP BY GROUPING SETS ((period, series_id, model_id), (period, model_id)))"""
+  unnest([n::DOUBLE, ok::DOUBLE, (n - ok)::DOUBLE, 0.0::DOUBLE]) AS value FROM (SELECT period, coalesce(series_id, 'ALL') AS series_id, model_id, count(*) AS n, count(*) FILTER (status = 'ok') AS ok FROM joined GROUP BY GROUPING SETS ((period, series_id, model_id), (period, model_id)))"""
 _SETS = "GROUP BY GROUPING SETS ((period, series_id, model_id, metric{0}), (period, model_id, metric{0}))"
 
 
@@ -427,8 +547,8 @@ def _yearly(source: str, value: str, metric: str) -> str:
 
 
 def _yearly_counts() -> str:
-    inner = f"SELECT year(target_date) AS y, coalesce(series_id, 'ALL') AS series_id, model_id, count(*) AS n FROM joined WHERE {_YEARS} GROUP BY GROUPING SETS ((y, series_id, model_id), (y, model_id))"
-    return f"SELECT y, series_id, model_id, unnest(['valid_forecast_count', 'failed_forecast_count', 'unavailable_forecast_count']) AS metric, n, unnest([n::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]) AS v FROM ({inner})"
+    inner = f"SELECT year(target_date) AS y, coalesce(series_id, 'ALL') AS series_id, model_id, count(*) AS n, count(*) FILTER (status = 'ok') AS ok FROM joined WHERE {_YEARS} GROUP BY GROUPING SETS ((y, series_id, model_id), (y, model_id))"
+    return f"SELECT y, series_id, model_id, unnest(['valid_forecast_count', 'failed_forecast_count', 'unavailable_forecast_count']) AS metric, n, unnest([ok::DOUBLE, (n - ok)::DOUBLE, 0.0::DOUBLE]) AS v FROM ({inner})"
 
 
 _GARCH_PATH = f"""(WITH RECURSIVE gf AS (SELECT series_id, 59 AS pos, var_samp(r * 100.0::DOUBLE) AS v FROM panel WHERE pos < 60 GROUP BY series_id HAVING count(*) = 60
@@ -489,3 +609,32 @@ FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p FROM (SELECT unnes
 SQL["reconcile_counts"] = f"""SELECT * FROM (
   SELECT 'scores do not match valid forecasts' AS fault, count(*) AS n FROM ({SQL["quantile_scores"]}) q WHERE {TAMPERED}
   UNION ALL SELECT 'coverage does not match scores', count(*) FROM ({SQL["coverage_tests"]}) c WHERE {TAMPERED}) WHERE n > 0"""
+
+_FAILS = "pos % 7 = 0 OR pos % 11 = 0"
+_SD = "sqrt(variance)"
+_FILTERED = f"""SELECT g.series_id, g.pos, forecast_origin, target_date, start_60, CASE WHEN NOT (g.pos % 7 = 0 OR g.pos % 11 = 0) THEN variance END AS variance
+  FROM eligible g JOIN gpath ON g.series_id = gpath.series_id AND g.pos = gpath.pos"""
+_MORE = f"""{_CTE["forecasts"]}
+  UNION ALL SELECT series_id, '{models.GARCH_GAUSSIAN}', forecast_origin, target_date, start_60, variance, {_SD}, {_SD} * {Z_05}::DOUBLE, {_LOSS.format(f"({_SD} * {Z_05}::DOUBLE)")}, {_SD} * {Z_01}::DOUBLE, {_LOSS.format(f"({_SD} * {Z_01}::DOUBLE)")} FROM filtered"""
+
+
+def _with_garch(sql: str) -> str:
+    """The same query where the forecasts also hold the recursion at fixed parameters."""
+    return sql.replace(f"forecasts AS ({_CTE['forecasts']})", f"gpath AS (SELECT * FROM {_GARCH_PATH}),\nfiltered AS ({_FILTERED}),\nforecasts AS ({_MORE})")
+
+
+SQL |= {f"{k}_with_garch": _with_garch(SQL[k]) for k in ("availability", "variance_scores", "quantile_scores", "coverage_tests", "paired_differences", "bootstrap_point_estimates", "period_breakdowns")}
+SQL["variance_guard"] = _with_garch(_sql(
+    f"SELECT series_id, forecast_origin, round(variance, 9) AS variance, round({_LOSS.format(f'({_SD} * {Z_05}::DOUBLE)')}, 9) AS var_0_95, CASE WHEN {_FAILS} THEN 'failed' ELSE 'ok' END AS status, "
+    "CASE WHEN pos % 7 = 0 THEN 'NONPOSITIVE_VARIANCE' WHEN pos % 11 = 0 THEN 'NONFINITE_VARIANCE' END AS error_code FROM filtered"
+))
+SQL["comparison_rows"] = f"SELECT * FROM ({SQL['bootstrap_point_estimates_with_garch']}) WHERE period = 'test' AND series_id = 'ALL' AND metric = 'qlike'"
+SQL["candidate_directions"] = _with_garch(_sql("SELECT period, metric, model_id FROM pairs WHERE metric IN ('qlike', 'pinball_loss_0_05') GROUP BY ALL HAVING avg(difference) < 0 AND avg(difference) + 1.96 * stddev_samp(difference) / sqrt(count(*)) < 0"))
+SQL["diagnostics_summary"] = _sql(f"SELECT '{models.EWMA}' AS model_id, count(DISTINCT series_id) AS fits, count(DISTINCT series_id) AS converged, 0::BIGINT AS retries, 0::BIGINT AS failed_forecasts FROM forecasts WHERE model_id = '{models.EWMA}'")
+SQL["artifact_faults"] = _sql(
+    f"""SELECT * FROM (SELECT 'a forecast has no realization' AS fault, count(*) AS n FROM forecasts JOIN real USING (series_id, forecast_origin, target_date) WHERE {LACKING}
+  UNION ALL SELECT 'a candidate''s fit has no diagnostics', count(DISTINCT series_id) FROM forecasts WHERE model_id = '{models.EWMA}') WHERE n > 0"""
+)
+SQL["parameter_checks"] = """SELECT s_suppkey, CASE WHEN omega <= 0 OR (student AND df IS NULL) THEN 'MODEL_FIT_FAILED' WHEN alpha + beta >= 1 - 1e-8 THEN 'NONSTATIONARY_PARAMETERS'
+  WHEN student AND df <= 2 OR NOT student AND df IS NOT NULL THEN 'INVALID_STUDENT_T_DOF' ELSE 'ok' END AS code
+FROM (SELECT s_suppkey::BIGINT AS s_suppkey, (s_suppkey % 5) / 10.0::DOUBLE AS omega, (s_suppkey % 4) / 5.0::DOUBLE AS alpha, (s_suppkey % 7) / 8.0::DOUBLE AS beta, CASE WHEN s_suppkey % 3 > 0 THEN (s_suppkey % 6)::DOUBLE END AS df, s_suppkey % 2 = 0 AS student FROM supplier)"""

@@ -40,7 +40,7 @@ def _ids(rows: DataFrame, config: Config, checksum: str, origin: Column, start:
     return rows.withColumn("forecast_id", ids.forecast_id(name, F.col("fit_id"), F.col("series_id"), F.col("model_id"), F.col("forecast_origin"), F.col("target_date")))
 
 
-def _finished(rows: DataFrame, config: Config) -> DataFrame:
+def finished(rows: DataFrame, config: Config) -> DataFrame:
     """FORECASTS columns; a row without status is ok, and a failed one has no values."""
     missing = [c for c in VALUES if c not in rows.columns]
     rows = rows.withColumns({c: F.lit(None).cast("double") for c in missing})
@@ -76,7 +76,7 @@ def historical(panel: DataFrame, config: Config, checksum: str = "") -> Artifact
     ):
         grids.append(_table(windows.trailing_windows(panel, size, config.periods, model)))
         rows = _ids(windows.trailing_windows(values, size, config.periods, model, keep), config, checksum, F.col("forecast_origin"), F.col("train_start"), F.col("train_end"))
-        parts.append(_finished(rows, config))
+        parts.append(finished(rows, config))
     empty = panel.sparkSession.createDataFrame([], DIAGNOSTIC_SCHEMA)
     return Artifacts(grids[0].unionByName(grids[1]), realizations(panel, config), parts[0].unionByName(parts[1]), empty)
 
@@ -106,7 +106,7 @@ def ewma(panel: DataFrame, config: Config, checksum: str = "") -> Artifacts:
         F.lit(1.0).alias("scaling_factor"),
         F.lit("[]").alias("warning_codes"),
     )
-    return Artifacts(_table(grid), realizations(panel, config), _finished(rows, config), fits)
+    return Artifacts(_table(grid), realizations(panel, config), finished(rows, config), fits)
 
 
 def garch_candidates(panel: DataFrame, config: Config, checksum: str = "", optimiser=garch.maximise) -> Artifacts:
@@ -115,7 +115,7 @@ def garch_candidates(panel: DataFrame, config: Config, checksum: str = "", optim
     fitted = garch.garch_rows(panel, g, config.periods, optimiser).cache()  # read for forecasts and diagnostics
     rows = _ids(fitted, config, checksum, F.col("fit_origin"), F.col("fit_start"), F.col("fit_origin"))
     fits = rows.where(F.col("forecast_origin") == F.col("fit_origin")).withColumn("train_start", F.col("fit_start")).withColumn("train_end", F.col("fit_origin")).withColumn("warning_codes", F.lit("[]"))
-    return Artifacts(_table(grid), realizations(panel, config), _finished(rows, config), fits.select(*DIAGNOSTICS))
+    return Artifacts(_table(grid), realizations(panel, config), finished(rows, config), fits.select(*DIAGNOSTICS))
 
 
 def union(parts: list[Artifacts]) -> Artifacts:
@@ -137,13 +137,11 @@ def evaluated(panel: DataFrame, config: Config, checksum: str = "") -> tuple[Art
     return found, evaluation.evaluate(found.forecasts, found.realizations, config)
 
 
-def check_artifacts(found: Artifacts) -> None:
-    """Raises unless windows, forecasts, realizations and fits agree with each other."""
+def artifact_faults(found: Artifacts) -> DataFrame:
+    """Disagreements between windows, forecasts, realizations and fits: rows (fault, n), none if
+    they agree."""
     f, r, w, d = found.forecasts, found.realizations, found.experiment_windows, found.fit_diagnostics
     key = list(evaluation.KEY)
-    for name, table, columns in (("experiment_windows", w, windows.WINDOWS), ("realizations", r, windows.REALIZATIONS), ("forecasts", f, FORECASTS), ("fit_diagnostics", d, DIAGNOSTICS)):
-        if tuple(table.columns) != tuple(columns):
-            raise fail("WINDOW_ALIGNMENT_ERROR", f"{name} does not have its columns.")
     fitted = f.where(F.col("model_id").isin(*models.CANDIDATES)).select("fit_id").distinct()
     faults = {
         "an origin is not before its target": f.where("forecast_origin >= target_date"),
@@ -157,6 +155,15 @@ def check_artifacts(found: Artifacts) -> None:
         "a candidate's fit has no diagnostics": fitted.join(d, "fit_id", "left_anti"),
         "a fit has no forecasts": d.join(fitted, "fit_id", "left_anti"),
     }
-    for message, rows in faults.items():
-        if rows.limit(1).count():
-            raise fail("WINDOW_ALIGNMENT_ERROR", f"The artifacts don't agree: {message}.")
+    return reduce(DataFrame.unionByName, [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("fault"), "n") for k, rows in faults.items()]).where("n > 0")
+
+
+def check_artifacts(found: Artifacts) -> None:
+    """Raises unless windows, forecasts, realizations and fits agree with each other."""
+    f, r, w, d = found.forecasts, found.realizations, found.experiment_windows, found.fit_diagnostics
+    for name, table, columns in (("experiment_windows", w, windows.WINDOWS), ("realizations", r, windows.REALIZATIONS), ("forecasts", f, FORECASTS), ("fit_diagnostics", d, DIAGNOSTICS)):
+        if tuple(table.columns) != tuple(columns):
+            raise fail("WINDOW_ALIGNMENT_ERROR", f"{name} does not have its columns.")
+    told = sorted(artifact_faults(found).collect())  # a row a kind of fault
+    if told:
+        raise fail("WINDOW_ALIGNMENT_ERROR", f"The artifacts don't agree: {'; '.join(f'{t.fault} ({t.n})' for t in told)}.")
