@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing, pii, quality, secrets, spotsigs, token_store
+from riskloom.llm import conversation_repair, exact_dedup, html_extraction, jaccard_join, line_dedup, mixing, packing, pii, quality, secrets, spotsigs, token_store, vector_codes
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
     "op10_pii_surrogates": pii.op10_pii_surrogates,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_html_extraction": html_extraction.op13_html_extraction,
     "spotsigs_similar": spotsigs.spotsigs_similar,
 }
 
@@ -23,4 +26,7 @@ SQL = {
     "op4_line_dedup": line_dedup.SQL,
     "op5_mixing": mixing.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_conversation_repair": conversation_repair.SQL,
+    "op13_html_extraction": html_extraction.SQL,
 }
