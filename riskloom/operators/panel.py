@@ -55,6 +55,22 @@ def aligned_returns(levels: DataFrame, names: list[str]) -> DataFrame:
     return common.select("series_id", "date", (F.col("level") / before - 1).alias("simple_return")).where("simple_return IS NOT NULL")
 
 
+#: Rows of one input split are numbered by Spark from the split's number times 2**SPLIT_BITS.
+SPLIT_BITS = 33
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Rows just read from files with their position in file order, from 0. Each split counts
+    its own rows; a table of a row a split gives the positions before it, so no task sees more
+    than one split."""
+    own = rows.withColumn("_own", F.monotonically_increasing_id())
+    split = F.shiftright("_own", SPLIT_BITS)
+    counts = own.groupBy(split.alias("_split")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("_split", (F.sum("n").over(Window.orderBy("_split")) - F.col("n")).alias("_before"))
+    placed = own.withColumn("_split", split).join(F.broadcast(before), "_split")
+    return placed.withColumn(name, F.col("_before") + F.col("_own").bitwiseAND(F.lit((1 << SPLIT_BITS) - 1))).drop("_own", "_split", "_before")
+
+
 #: Positions whose dates one task compares.
 INDEX_BITS = 12
 

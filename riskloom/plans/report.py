@@ -6,10 +6,7 @@ hashed before and after, and the report's files move in together.
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from dataclasses import dataclass
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +16,7 @@ from riskloom.errors import fail
 from riskloom.operators import evaluation, models, reporting
 from riskloom.plans import experiment, figures
 from riskloom.sources import artifacts, run
+from riskloom.sources.store import Place, load_json, place_of
 
 # Titles of the report's sections, in order.
 SECTIONS = (
@@ -31,7 +29,7 @@ FILES = (experiment.REPORT, *FIGURES)
 
 @dataclass(frozen=True)
 class Report:
-    path: Path
+    path: Place
     reused: bool
 
 
@@ -150,29 +148,27 @@ def render(tables: dict[str, DataFrame], identity: dict[str, Any], manifest: dic
     return "\n\n".join([f"# Forecast evaluation: {identity['experiment_id']}", *[f"## {name}\n\n{body[name]}" for name in SECTIONS]]) + "\n"
 
 
-def generate(spark: SparkSession, folder: str | Path) -> Report:
+def generate(spark: SparkSession, folder: Any) -> Report:
     """Writes the report into a verified experiment, or returns the one that is there."""
-    folder = Path(folder).absolute()
+    folder = place_of(folder, spark)
     manifest = experiment.verify(folder)
     there = [n for n in FILES if (folder / n).exists()]
     if len(there) == len(FILES) and manifest["state"] == "complete":
         return Report(folder / experiment.REPORT, True)
     if there:
         raise fail("OUTPUT_COLLISION", f"These files exist already: {', '.join(there)}.")
-    before = experiment.declared(folder, experiment.NUMERICAL)
-    tables, identity = artifacts.read_tables(spark, folder), run.load_json(folder / experiment.EXPERIMENT, "ARTIFACT_RECONCILIATION_FAILED")
-    part = Path(tempfile.mkdtemp(prefix=".report-", dir=folder))
+    tables, identity = artifacts.read_tables(spark, folder), load_json(folder / experiment.EXPERIMENT, "ARTIFACT_RECONCILIATION_FAILED")
+    part = (folder / "report").hidden_sibling().mkdirs()
     try:
-        (part / "figures").mkdir()
-        (part / experiment.REPORT).write_text(render(tables, identity, manifest), encoding="utf-8")
+        (part / experiment.REPORT).write_text(render(tables, identity, manifest))
         for name, data in figure_tables(tables, identity["configuration"]["historical"]["variance_window"]).items():
-            (part / f"figures/{name}.svg").write_text(_drawn(name, data, series_of(identity)), encoding="utf-8")
-        if experiment.declared(folder, experiment.NUMERICAL) != before:
+            (part / f"figures/{name}.svg").write_text(_drawn(name, data, series_of(identity)))
+        if experiment.verify(folder) != manifest:
             raise fail("ARTIFACT_RECONCILIATION_FAILED", "The tables changed while the report was made.")
-        (part / "figures").replace(folder / "figures")
-        (part / experiment.REPORT).replace(folder / experiment.REPORT)
+        (part / "figures").moved_to(folder / "figures")
+        (part / experiment.REPORT).moved_to(folder / experiment.REPORT)
     finally:
-        shutil.rmtree(part, ignore_errors=True)
+        part.delete()
     experiment.finish(folder, list(FILES))
     experiment.verify(folder, complete=True)
     return Report(folder / experiment.REPORT, False)

@@ -6,12 +6,9 @@ manifest, quality report, table, checksums. The table's checks are small Spark a
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +19,7 @@ from riskloom.config import Config
 from riskloom.errors import fail
 from riskloom.operators import panel
 from riskloom.operators.windows import period_of
+from riskloom.sources.store import Place, load_json, place_of
 
 # File names, and the adjustment counts that the quality report must hold.
 RETURNS, MANIFEST, QUALITY = "simple_returns.csv", "run_manifest.json", "data_quality_report.json"
@@ -31,7 +29,7 @@ ADJUSTMENTS = ("duplicate_date_instrument_rows_removed", "invalid_price_values_r
 
 @dataclass(frozen=True)
 class InputRun:
-    folder: Path
+    folder: Place
     returns: DataFrame
     manifest: dict[str, Any]
     quality: dict[str, Any]
@@ -39,21 +37,6 @@ class InputRun:
     version: str
 
 
-def sha256_file(path: Path) -> str:
-    with path.open("rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
-
-
-def load_json(path: Path, code: str = "UPSTREAM_MANIFEST_INVALID") -> dict[str, Any]:
-    try:
-        raw = json.loads(path.read_text(encoding="utf-8"))
-    except (OSError, UnicodeDecodeError, json.JSONDecodeError) as e:
-        raise fail(code, f"{path.name} can't be read: {e}") from e
-    if not isinstance(raw, dict):
-        raise fail(code, f"{path.name} must hold a JSON object.")
-    return raw
-
-
 def _part(raw: dict, key: str, code: str) -> dict:
     if not isinstance(raw.get(key), dict):
         raise fail(code, f"{key} must be an object.")
@@ -114,25 +97,24 @@ def adjustments(quality: dict[str, Any]) -> dict[str, int]:
     return {k: _count(quality.get(k), k) for k in ADJUSTMENTS}
 
 
-def read_returns(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+def read_returns(spark: SparkSession, path: Place, names: tuple[str, ...]) -> DataFrame:
     """The wide table with its file order as pos; values stay text until they are checked."""
-    with open(path, encoding="utf-8") as f:
-        header = f.readline().strip().split(",")
+    header = path.first_line().strip().split(",")
     if header != ["date", *names]:
         raise fail("UPSTREAM_SCHEMA_INCOMPATIBLE", f"{RETURNS} must have the columns date, {', '.join(names)}.")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
-    return rows.withColumn("_at", F.monotonically_increasing_id())
+    rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path.uri)
+    return panel.numbered(rows, "pos")
 
 
 def check_returns(rows: DataFrame, quality: dict[str, Any], config: Config) -> DataFrame:
     names = config.upstream.instruments
-    typed = rows.select("_at", F.expr("try_cast(date AS date)").alias("date"), *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in names])
+    typed = rows.select("pos", F.expr("try_cast(date AS date)").alias("date"), *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in names])
     broken = F.col("date").isNull()
     for c in names:
         broken |= F.col(c).isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
     inside = (F.col("pos") >= config.largest_window()) & F.col("period").isNotNull()
-    placed = typed.withColumn("pos", F.row_number().over(panel.Window.orderBy("_at")) - 1).withColumn("period", period_of(F.col("date"), config.periods))
+    placed = typed.withColumn("period", period_of(F.col("date"), config.periods))
     if placed.where(broken).limit(1).count():
         raise fail("INPUT_VALUE_INVALID", f"{RETURNS} holds a value that is not a finite number or a date.")
     panel.check_index(placed.select("pos", "date"))
@@ -151,7 +133,7 @@ def check_returns(rows: DataFrame, quality: dict[str, Any], config: Config) -> D
 def load_run(spark: SparkSession, config: Config, installed: Callable[[], str | None] | None = None) -> InputRun:
     """Validates and loads the configured input run. `installed` gives the version of the
     package that made it, where one must be present (None: missing)."""
-    folder = Path(config.experiment.input_run_dir)
+    folder = place_of(config.experiment.input_run_dir, spark)
     absent = [f for f in FILES if not (folder / f).is_file()]
     if absent:
         raise fail("UPSTREAM_MANIFEST_INVALID", f"The input run lacks {', '.join(absent)}.")
@@ -160,12 +142,12 @@ def load_run(spark: SparkSession, config: Config, installed: Callable[[], str |
         raise fail("UPSTREAM_PACKAGE_MISSING", "The package that made the run is not installed.")
     if version != config.upstream.package_version:
         raise fail("UPSTREAM_VERSION_INCOMPATIBLE", "Another version of the package that made the run is installed.")
-    manifest, quality = load_json(folder / MANIFEST), load_json(folder / QUALITY)
+    manifest, quality = (load_json(folder / f, "UPSTREAM_MANIFEST_INVALID") for f in (MANIFEST, QUALITY))
     check_manifest(manifest, config)
     check_quality(quality, config)
-    rows = read_returns(spark, str(folder / RETURNS), config.upstream.instruments)
+    rows = read_returns(spark, folder / RETURNS, config.upstream.instruments)
     returns = check_returns(rows, quality, config)
-    return InputRun(folder, returns, manifest, quality, {f: sha256_file(folder / f) for f in FILES}, version)
+    return InputRun(folder, returns, manifest, quality, {f: (folder / f).sha256() for f in FILES}, version)
 
 
 def research_panel(run: InputRun, config: Config) -> DataFrame:

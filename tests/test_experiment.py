@@ -1,11 +1,16 @@
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import config_raw, edit, write_run
 
 from riskloom import cli
 from riskloom.config import build_config
 from riskloom.errors import BY_CODE, RiskError
+from riskloom.operators import panel
 from riskloom.plans import experiment, report
 from riskloom.sources import artifacts, run
 
@@ -46,12 +51,94 @@ def test_report_then_complete_then_tampering(spark, done):
     assert [line[3:] for line in text.splitlines() if line.startswith("## ")] == list(report.SECTIONS)
     assert experiment.verify(result.folder, complete=True)["state"] == "complete"
     assert report.generate(spark, result.folder).reused
-    path = result.folder / "variance_scores.csv"
-    before = path.read_text()
-    path.write_text(before + "x")
+    parts = [p for p in Path(result.folder / "variance_scores.csv").iterdir() if p.name.startswith("part-")]
+    before = parts[0].read_text()
+    parts[0].write_text(before + "x")
     with pytest.raises(BY_CODE["ARTIFACT_RECONCILIATION_FAILED"]):
         experiment.verify(result.folder)
-    path.write_text(before)
+    parts[0].write_text(before)
+    experiment.verify(result.folder)
+    (parts[0].parent / "part-99999.csv").write_text(before)
+    with pytest.raises(BY_CODE["ARTIFACT_RECONCILIATION_FAILED"], match="does not have its parts"):
+        experiment.verify(result.folder)
+    (parts[0].parent / "part-99999.csv").unlink()
+    parts[0].rename(top := parts[0].with_name("gone"))
+    with pytest.raises(BY_CODE["ARTIFACT_RECONCILIATION_FAILED"]):
+        experiment.verify(result.folder)
+    top.rename(parts[0])
+    listing = Path(result.folder / "forecasts.parquet" / artifacts.PARTS)
+    kept = listing.read_text()
+    listing.with_name(f".{listing.name}.crc").unlink(missing_ok=True)
+    listing.write_text(kept.replace("part-", "part_"))
+    with pytest.raises(BY_CODE["ARTIFACT_RECONCILIATION_FAILED"], match="have changed"):
+        experiment.verify(result.folder)
+    listing.write_text(kept)
+    experiment.verify(result.folder)
+
+
+def test_a_table_is_parts_by_range_and_its_manifest(spark, tmp_path):
+    rows = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("k"), F.lit("x").alias("v")).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name in ("t.parquet", "t.csv"):
+            path = artifacts.write_table(rows, tmp_path / name, ["k"])
+            parts = artifacts.parts_of(path)
+            assert len(parts) >= 3 and [p.name for p in artifacts.listed(path)] == [p["name"] for p in parts]
+            read = [spark.read.parquet((path / p["name"]).uri) if name.endswith("parquet") else spark.read.csv((path / p["name"]).uri, header=True) for p in parts]
+            assert [int(r.k) for df in read for r in df.collect()] == list(range(3000))
+            artifacts.check_tables([path])
+            with pytest.raises(BY_CODE["OUTPUT_COLLISION"]):
+                artifacts.write_table(rows, tmp_path / name, ["k"])
+        assert not [p for p in tmp_path.iterdir() if p.name.startswith(".t.")]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    with pytest.raises(Exception, match="broken"):
+        artifacts.write_table(spark.range(9).select(F.raise_error(F.lit("broken")).cast("int").alias("k")), tmp_path / "t.parquet", ["k"])
+    assert not list(tmp_path.iterdir())
+
+
+TWICE = """
+import sys
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from riskloom.session import importable
+from riskloom.sources import artifacts
+spark = importable(SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.sql.adaptive.coalescePartitions.enabled", "false").getOrCreate())
+
+def fails_once(batches):
+    for rows in batches:
+        yield rows
+    if TaskContext.get().attemptNumber() == 0:
+        raise RuntimeError("an executor is lost")
+
+rows = spark.range(0, 1000, 1, 3).mapInPandas(fails_once, "id bigint")
+path = artifacts.write_table(rows.sort("id").mapInPandas(fails_once, "id bigint"), sys.argv[1], ["id"])
+artifacts.check_tables([path])
+found = [r.id for r in spark.read.parquet(path.uri).collect()]
+assert sorted(found) == list(range(1000)), len(found)
+assert len(artifacts.parts_of(path)) >= 3
+print("whole")
+"""
+
+
+def test_tasks_that_run_twice_leave_one_part_each(tmp_path):
+    done = subprocess.run([sys.executable, "-c", TWICE, str(tmp_path / "t.parquet")], capture_output=True, text=True, timeout=300, cwd=Path(__file__).resolve().parents[1])
+    assert done.stdout.strip().endswith("whole"), done.stderr[-2000:]
+
+
+def test_rows_of_files_are_numbered_by_split(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text("\n".join(["v", *map(str, range(5000))]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = spark.read.csv(str(path), header=True)
+        assert rows.rdd.getNumPartitions() > 3
+        assert all(int(r.v) == r.pos for r in panel.numbered(rows, "pos").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_collision(spark, done):
