@@ -1,8 +1,8 @@
 """Variance and quantile models over a panel.
 
 Each path has a row for every position that has a forecast: (series_id, pos, ...). Historical
-models are window functions. The recursive models run once over each series in a grouped map,
-since step t needs step t - 1; series are the unit of parallelism.
+models are window functions. The recursive models are scans of affine maps (recursions), whose
+blocks are the unit of parallelism.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.errors import fail
 from riskloom.functions.scoring import loss_quantile
 from riskloom.functions.special import Z_01, Z_05
-from riskloom.session import importable
+from riskloom.operators.panel import PANEL
+from riskloom.operators.recursions import affine_scan
 
 # Model names.
 HISTORICAL_VARIANCE = "historical_variance"
@@ -103,17 +103,10 @@ def checked_variance(v: float) -> float:
     return v
 
 
-def _in_order(panel: DataFrame, step) -> DataFrame:
-    """The panel with `variance`: step(returns of a series in order) gives the variances."""
-
-    def path(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        rows["variance"] = pd.Series(step(rows["simple_return"].to_numpy(float)), index=rows.index, dtype=object)
-        return rows
-
-    importable(panel.sparkSession)
-    schema = "series_id string, series_pos int, date date, pos int, simple_return double, variance double"
-    return panel.select("series_id", "series_pos", "date", "pos", "simple_return").groupBy("series_id").applyInPandas(path, schema)
+def guarded(v: Column) -> Column:
+    """The variance; one that is not finite or not positive ends the run."""
+    kind = F.when(F.isnan(v) | (F.abs(v) == float("inf")), "NONFINITE_VARIANCE: a recursive variance is not finite").otherwise("NONPOSITIVE_VARIANCE: a recursive variance is not positive")
+    return F.when(v.isNull() | (~F.isnan(v) & (v > 0) & (v < float("inf"))), v).otherwise(F.raise_error(kind).cast("double"))
 
 
 def with_ewma(panel: DataFrame, decay: float, first: int) -> DataFrame:
@@ -122,18 +115,9 @@ def with_ewma(panel: DataFrame, decay: float, first: int) -> DataFrame:
     return of the series. A variance that is not positive ends the run."""
     if not 0 < decay < 1 or first < 2:
         raise fail("CONFIG_INVALID", "The decay must lie between 0 and 1 and the start needs two returns.")
-
-    def step(r: np.ndarray) -> list[float | None]:
-        if len(r) < first:
-            return [None] * len(r)
-        v = checked_variance(float(np.var(r[:first], ddof=1)))
-        out: list[float | None] = [*[None] * (first - 1), v]
-        for x in r[first:].tolist():
-            v = checked_variance(ewma_step(v, x, decay))
-            out.append(v)
-        return out
-
-    return with_normal_quantiles(_in_order(panel, step))
+    r = F.col("simple_return")
+    rows = affine_scan(panel.select(*PANEL), "variance", decay, (1 - decay) * (r * r), F.var_samp(r), first)
+    return with_normal_quantiles(rows.withColumn("variance", guarded(F.col("variance"))))
 
 
 NORMAL_COLUMNS = ("variance", "volatility", *QUANTILE_COLUMNS)
@@ -146,19 +130,10 @@ def ewma_path(panel: DataFrame, decay: float, first: int) -> DataFrame:
 def garch_filter_path(panel: DataFrame, first: int, omega: float, alpha: float, beta: float, scale: float = 100.0) -> DataFrame:
     """Variance at fixed parameters, in scaled units from the scaled sample variance of the
     first `first` returns; every later return is applied once."""
-
-    def step(r: np.ndarray) -> list[float | None]:
-        if len(r) < first:
-            return [None] * len(r)
-        r = r * scale
-        v = float(np.var(r[:first], ddof=1))
-        out: list[float | None] = [*[None] * (first - 1), v / scale**2]
-        for x in r[first:].tolist():
-            v = omega + alpha * (x * x) + beta * v
-            out.append(v / scale**2)
-        return out
-
-    return with_normal_quantiles(_in_order(panel, step)).where("variance IS NOT NULL").select("series_id", "pos", *NORMAL_COLUMNS)
+    x = F.col("simple_return") * scale
+    rows = affine_scan(panel.select(*PANEL), "variance", beta, omega + alpha * (x * x), F.var_samp(x), first)
+    rows = rows.withColumn("variance", F.col("variance") / scale**2)
+    return with_normal_quantiles(rows).where("variance IS NOT NULL").select("series_id", "pos", *NORMAL_COLUMNS)
 
 
 def one_window(values: Iterator[float], window: int, method: str = "linear") -> dict[str, float]:

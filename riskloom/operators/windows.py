@@ -69,6 +69,27 @@ def refit_windows(panel: DataFrame, window: int, every: int, periods: Periods, m
     return rows.withColumn("model_id", F.explode(F.array(*map(F.lit, model_ids)))).drop("at")
 
 
+def refit_chunks(panel: DataFrame, window: int, every: int, periods: Periods, fits: int) -> DataFrame:
+    """The rows that fits need, by chunk of `fits` fit blocks: (series_id, chunk, pos, date,
+    target_date, simple_return, at). `at` numbers the eligible origins as refit_windows does,
+    and is -1 for other positions. A position goes once to each chunk of which it is an origin
+    or lies in a window; both follow from the number of origins before it and before the
+    position a window later, so no window is gathered."""
+    series = Window.partitionBy("series_id").orderBy("pos")
+    rows = panel.select("series_id", "pos", "date", F.lead("date").over(series).alias("target_date"), "simple_return")
+    rows = rows.withColumn("origin", ((F.col("pos") >= window - 1) & period_of(F.col("target_date"), periods).isNotNull()).cast("long"))
+    rows = rows.withColumn("before", F.sum("origin").over(series.rowsBetween(Window.unboundedPreceding, 0)) - F.col("origin"))
+    all_ = F.sum("origin").over(Window.partitionBy("series_id"))
+    rows = rows.withColumn("upto", F.coalesce(F.lead("before", window).over(series), all_))
+    own = F.when(F.col("origin") == 1, F.floor(F.col("before") / every))
+    low, high = F.ceil(F.col("before") / every), F.floor((F.col("upto") - 1) / every)
+    seen = high >= low  # some fit's window holds the position
+    rows = rows.withColumn("low", F.least(own, F.when(seen, low))).withColumn("high", F.greatest(own, F.when(seen, high)))
+    chunk = F.explode(F.sequence(F.floor(F.col("low") / fits), F.floor(F.col("high") / fits)))
+    rows = rows.where("low IS NOT NULL").withColumn("chunk", chunk)
+    return rows.select("series_id", "chunk", "pos", "date", "target_date", "simple_return", F.when(F.col("origin") == 1, F.col("before")).otherwise(-1).alias("at"))
+
+
 def realizations(panel: DataFrame, first_origin: int, periods: Periods) -> DataFrame:
     """What happened on each target date whose origin is at position first_origin or later."""
     series = Window.partitionBy("series_id").orderBy("pos")

@@ -6,12 +6,15 @@ both sides, since sums run in different orders.
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.errors import RiskError
 from riskloom.functions import ids, scoring
-from riskloom.functions.special import Z_01, Z_05, student_t_quantiles
+from riskloom.functions.special import Z_01, Z_05, standardised_quantiles, student_t_quantiles
 from riskloom.operators import evaluation, garch, models, panel, reporting, windows
 from riskloom.plans import panels, runner
 from riskloom.plans.panels import PROFILE, PROXY, WEIGHTS, lineitem_panel
@@ -322,6 +325,29 @@ def garch_forecasts(spark, d):
     return runner.garch_candidates(lineitem_panel(spark, d), PROFILE, CHECKSUM).forecasts
 
 
+#: Parameters of the stored fits: of both models, and the degrees of freedom of one.
+STORED = garch.Parameters(0.05, 0.05, 0.90)
+STORED_TAIL = 8.0
+
+
+def _stored(scaled, start):
+    return replace(STORED, degrees_of_freedom=start.degrees_of_freedom and STORED_TAIL), True, "stored"
+
+
+def garch_stored_forecasts(spark, d):
+    """Forecasts of both models whose every fit gives the stored parameters: refit windows, the
+    variances of a window, the state, its advance and the quantiles."""
+    rows = runner.garch_candidates(lineitem_panel(spark, d), PROFILE, CHECKSUM, _stored).forecasts
+    return rounded(rows.select("series_id", "model_id", "forecast_origin", "target_date", *runner.VALUES, "status", "error_code"))
+
+
+def garch_stored_likelihoods(spark, d):
+    """Log-likelihoods of the stored parameters over every refit window, for both densities."""
+    g = PROFILE.garch
+    rows = windows.refit_chunks(lineitem_panel(spark, d), g.estimation_window, g.refit_every_origins, P, garch.CHUNK_FITS)
+    return rounded(garch.likelihoods_by_window(rows, g, [STORED, replace(STORED, degrees_of_freedom=STORED_TAIL)]))
+
+
 def quantiles_of_t(spark, d):
     rows = spark.read.parquet(f"{d}/supplier.parquet").select((F.pmod("s_suppkey", F.lit(60)) / 2 + 2.5).alias("degrees_of_freedom")).distinct()
     return rounded(rows.withColumn("q", student_t_quantiles("degrees_of_freedom")).select("degrees_of_freedom", "q.q05", "q.q01"))
@@ -397,6 +423,8 @@ QUERIES = {
     "parameter_checks": parameter_checks,
     "garch_fits": garch_fits,
     "garch_forecasts": garch_forecasts,
+    "garch_stored_forecasts": garch_stored_forecasts,
+    "garch_stored_likelihoods": garch_stored_likelihoods,
     "student_t_quantiles": quantiles_of_t,
     "synthetic_fixture": synthetic_fixture,
     "score_functions": variance_gauntlet,
@@ -638,3 +666,29 @@ SQL["artifact_faults"] = _sql(
 SQL["parameter_checks"] = """SELECT s_suppkey, CASE WHEN omega <= 0 OR (student AND df IS NULL) THEN 'MODEL_FIT_FAILED' WHEN alpha + beta >= 1 - 1e-8 THEN 'NONSTATIONARY_PARAMETERS'
   WHEN student AND df <= 2 OR NOT student AND df IS NOT NULL THEN 'INVALID_STUDENT_T_DOF' ELSE 'ok' END AS code
 FROM (SELECT s_suppkey::BIGINT AS s_suppkey, (s_suppkey % 5) / 10.0::DOUBLE AS omega, (s_suppkey % 4) / 5.0::DOUBLE AS alpha, (s_suppkey % 7) / 8.0::DOUBLE AS beta, CASE WHEN s_suppkey % 3 > 0 THEN (s_suppkey % 6)::DOUBLE END AS df, s_suppkey % 2 = 0 AS student FROM supplier)"""
+
+_W, _S = _g.estimation_window, PROFILE.garch.input_scale
+_NEXT = f"{STORED.omega}::DOUBLE + {STORED.alpha}::DOUBLE * {{0}} + {STORED.beta}::DOUBLE * {{1}}"
+#: Origins numbered by series, the fit of each, its window's squares (j from 0) with those of the
+#: later origins of its block behind them, the variance before its first return, and the path.
+_CHAIN = f"""nth AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pos) - 1 AS nr FROM eligible WHERE pos >= {_W - 1}),
+fits AS (SELECT series_id, nr // {_g.refit_every_origins} AS block, pos AS f FROM nth WHERE nr % {_g.refit_every_origins} = 0),
+seq AS (
+  SELECT t.series_id, t.block, p.pos - t.f + {_W - 1} AS j, (p.r * {_S}::DOUBLE) * (p.r * {_S}::DOUBLE) AS s FROM fits t JOIN panel p ON p.series_id = t.series_id AND p.pos BETWEEN t.f - {_W - 1} AND t.f
+  UNION ALL SELECT series_id, nr // {_g.refit_every_origins}, {_W - 1} + nr % {_g.refit_every_origins}, (r * {_S}::DOUBLE) * (r * {_S}::DOUBLE) FROM nth WHERE nr % {_g.refit_every_origins} > 0),
+begun AS (SELECT series_id, block, sum(s * pow({garch.BACKCAST_DECAY}::DOUBLE, j)) / sum(pow({garch.BACKCAST_DECAY}::DOUBLE, j)) AS v FROM seq WHERE j < {min(_W, garch.BACKCAST_TERMS)} GROUP BY ALL),
+chain AS (
+  SELECT series_id, block, 0::BIGINT AS j, {_NEXT.format("v", "v")} AS v FROM begun
+  UNION ALL SELECT c.series_id, c.block, c.j + 1, {_NEXT.format("q.s", "c.v")} FROM chain c JOIN seq q ON q.series_id = c.series_id AND q.block = c.block AND q.j = c.j)"""
+_QUANTILES = {models.GARCH_GAUSSIAN: (Z_05, Z_01), models.GARCH_STUDENT_T: standardised_quantiles(STORED_TAIL)}
+_KINDS = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in _QUANTILES.items())
+SQL["garch_stored_forecasts"] = _sql(f""", {_CHAIN}
+SELECT n.series_id, model_id, forecast_origin, target_date, round(v / {_S**2}, 9) AS variance, round(sqrt(v / {_S**2}), 9) AS volatility,
+  round(sqrt(v / {_S**2}) * z05, 9) AS return_quantile_0_05, round(greatest(0.0, -(sqrt(v / {_S**2}) * z05)), 9) AS var_0_95,
+  round(sqrt(v / {_S**2}) * z01, 9) AS return_quantile_0_01, round(greatest(0.0, -(sqrt(v / {_S**2}) * z01)), 9) AS var_0_99, 'ok' AS status, NULL::VARCHAR AS error_code
+FROM nth n JOIN chain c ON c.series_id = n.series_id AND c.block = n.nr // {_g.refit_every_origins} AND c.j = {_W} + n.nr % {_g.refit_every_origins}, (VALUES {_KINDS}) k(model_id, z05, z01)""")
+_FRONT = math.lgamma((STORED_TAIL + 1) / 2) - math.lgamma(STORED_TAIL / 2) - 0.5 * math.log(math.pi * (STORED_TAIL - 2))
+SQL["garch_stored_likelihoods"] = _sql(f""", {_CHAIN}
+SELECT c.series_id, c.block::INTEGER AS fit_block, d.degrees_of_freedom, round(sum(CASE WHEN d.degrees_of_freedom IS NULL THEN -0.5 * (ln(2 * pi()) + ln(v) + s / v)
+  ELSE {_FRONT}::DOUBLE - 0.5 * ln(v) - {(STORED_TAIL + 1) / 2} * ln(1 + s / (v * {STORED_TAIL - 2})) END), 9) AS log_likelihood
+FROM chain c JOIN seq q ON q.series_id = c.series_id AND q.block = c.block AND q.j = c.j, (VALUES (NULL::DOUBLE), ({STORED_TAIL}::DOUBLE)) d(degrees_of_freedom) WHERE c.j < {_W} GROUP BY ALL""")

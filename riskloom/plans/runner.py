@@ -109,7 +109,7 @@ def ewma(panel: DataFrame, config: Config, checksum: str = "") -> Artifacts:
     return Artifacts(_table(grid), realizations(panel, config), finished(rows, config), fits)
 
 
-def garch_candidates(panel: DataFrame, config: Config, checksum: str = "", optimiser=garch.maximise) -> Artifacts:
+def garch_candidates(panel: DataFrame, config: Config, checksum: str = "", optimiser=None) -> Artifacts:
     g = config.garch
     grid = windows.refit_windows(panel, g.estimation_window, g.refit_every_origins, config.periods, list(garch.MODELS))
     fitted = garch.garch_rows(panel, g, config.periods, optimiser).cache()  # read for forecasts and diagnostics
@@ -128,7 +128,7 @@ def benchmarks_and_ewma(panel: DataFrame, config: Config, checksum: str = "") ->
     return union([historical(panel, config, checksum), ewma(panel, config, checksum)])
 
 
-def available_models(panel: DataFrame, config: Config, checksum: str = "", optimiser=garch.maximise) -> Artifacts:
+def available_models(panel: DataFrame, config: Config, checksum: str = "", optimiser=None) -> Artifacts:
     return union([historical(panel, config, checksum), ewma(panel, config, checksum), garch_candidates(panel, config, checksum, optimiser)])
 
 

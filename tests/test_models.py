@@ -6,10 +6,10 @@ import pandas as pd
 import pytest
 from helpers import business_days
 
-from riskloom.config import Garch
+from riskloom.config import Garch, Periods
 from riskloom.errors import BY_CODE
 from riskloom.functions import special
-from riskloom.operators import garch, models
+from riskloom.operators import garch, models, recursions, windows
 
 
 def panel_of(spark, series: dict[str, list[float]]):
@@ -136,32 +136,137 @@ def test_outcomes_of_failures():
         garch.fit(r[:-1], CONFIG, False)
 
 
-def block(n: int, bad_at: int | None = None) -> pd.DataFrame:
-    returns = [0.01] * n
+def chunk(n: int, bad_at: int | None = None) -> pd.DataFrame:
+    """A window of 200 returns, the last of which is the first of n origins."""
+    returns = [*simulated(200).tolist(), *[0.01] * (n - 1)]
     if bad_at is not None:
-        returns[bad_at] = math.nan
-    return pd.DataFrame({"series_id": "A", "model_id": garch.GARCH_GAUSSIAN, "fit_block": 0, "forecast_origin": business_days(date(2020, 1, 1), n), "target_date": business_days(date(2020, 1, 2), n), "train_start": date(2019, 1, 1), "origin_return": returns, "history": [simulated(200).tolist()] + [None] * (n - 1)})
+        returns[199 + bad_at] = math.nan
+    days = business_days(date(2020, 1, 1), len(returns) + 1)
+    rows = pd.DataFrame({"series_id": "A", "chunk": 0, "pos": np.arange(len(returns)), "date": days[:-1], "target_date": days[1:], "simple_return": returns, "at": [-1] * 199 + list(range(n))})
+    return rows.sample(frac=1, random_state=1)
 
 
 def fixed(scaled, start):
-    return garch.Parameters(0.05, 0.05, 0.90), True, "fixed"
+    return garch.Parameters(0.05, 0.05, 0.90, start.degrees_of_freedom), True, "fixed"
 
 
 def test_the_origin_return_is_applied_once():
-    got = garch.run_block(block(3), CONFIG, fixed)
-    v = garch.variances(simulated(200) * 100, garch.Parameters(0.05, 0.05, 0.90))[-1]
-    for row in got.itertuples():
-        v = 0.05 + 0.05 * 1.0 + 0.90 * v
-        assert math.isclose(row.variance, v / 1e4, rel_tol=1e-12) and row.status == "ok"
+    got = garch.run_chunk(chunk(3), CONFIG, fixed)
+    assert sorted(set(got["model_id"])) == sorted(garch.MODELS) and got["fit_start"].nunique() == 1
+    for model in garch.MODELS:
+        r = simulated(200) * 100
+        v = garch.variances(r, garch.Parameters(0.05, 0.05, 0.90))[-1]
+        for row, x in zip(got[got["model_id"] == model].itertuples(), [r[-1], 1.0, 1.0], strict=True):
+            v = 0.05 + 0.05 * x * x + 0.90 * v
+            assert math.isclose(row.variance, v / 1e4, rel_tol=1e-12) and row.status == "ok"
 
 
 def test_a_failure_lasts_to_the_end_of_its_block():
-    got = garch.run_block(block(4, bad_at=1), CONFIG, fixed)
+    got = garch.run_chunk(chunk(4, bad_at=1), CONFIG, fixed)
+    got = got[got["model_id"] == garch.GARCH_GAUSSIAN]
     assert got["status"].tolist() == ["ok", "failed", "failed", "failed"]
     assert got["error_code"].tolist() == [None, *["INPUT_VALUE_INVALID"] * 3]
     assert got["variance"].isna().tolist() == [False, True, True, True]
 
 
+def by_blocks(panel: pd.DataFrame, config: Garch, eligible: set[int], model: str) -> dict:
+    """Variances by origin, one fit at a time."""
+    out, origins = {}, sorted(eligible)
+    r = panel["simple_return"].to_numpy()
+    for a in range(0, len(origins), config.refit_every_origins):
+        f = origins[a]
+        found = garch.fit(r[f - config.estimation_window + 1 : f + 1], config, model == garch.GARCH_STUDENT_T, fixed)
+        v = found.state.variance_scaled
+        for at in origins[a : a + config.refit_every_origins]:
+            v = 0.05 + 0.05 * (100 * r[at]) ** 2 + 0.90 * v
+            out[at] = v / 1e4
+    return out
+
+
+def test_chunks_equal_fits_one_at_a_time(spark):
+    """Two series, a gap between the periods, chunks of three fits."""
+    n, config = 230, Garch(30, 7)
+    days = business_days(date(2020, 1, 1), n)
+    periods = Periods(days[0], days[80], days[81], days[120], days[150], days[-1])
+    rng = np.random.default_rng(4)
+    panel = panel_of(spark, {"A": rng.normal(0, 0.01, n).tolist(), "B": rng.normal(0, 0.02, 100).tolist()})
+    given = (garch.Parameters(0.05, 0.05, 0.90), garch.Parameters(0.05, 0.05, 0.90, 8.0))
+    rows = garch.garch_rows(panel, config, periods, lambda scaled, start: (given[start.degrees_of_freedom is not None], True, "given"), fits=3)
+    assert "collect_list" not in rows._jdf.queryExecution().toString()
+    got = {(r.series_id, r.model_id, days.index(r.forecast_origin)): r for r in rows.collect()}
+    want = {}
+    for name, size in (("A", n), ("B", 100)):
+        eligible = {p for p in range(29, size - 1) if any(a <= days[p + 1] <= b for _, a, b in periods.ranges())}
+        for model in garch.MODELS:
+            series = pd.DataFrame({"simple_return": [r.simple_return for r in panel.where(f"series_id = '{name}'").orderBy("pos").collect()]})
+            want |= {(name, model, at): v for at, v in by_blocks(series, config, eligible, model).items()}
+    assert set(got) == set(want) and all(math.isclose(got[k].variance, want[k], rel_tol=1e-12) for k in want)
+    chunks = windows.refit_chunks(panel, 30, 7, periods, 3)
+    assert chunks.groupBy("series_id", "chunk", "pos").count().where("count > 1").count() == 0
+
+
+@pytest.mark.parametrize("tail", [(), (6.0,), (3000.0,)])
+def test_slopes_equal_differences(tail):
+    r = np.stack([simulated(300, s) * 100 for s in (1, 2)])
+    x = np.stack([garch._pack(garch.Parameters(0.05, 0.08, 0.9, *tail)), garch._pack(garch.Parameters(0.4, 0.01, 0.3, *tail))])
+    value, g = garch.losses(r, x)
+    for i in range(x.shape[1]):
+        step = np.zeros(x.shape[1])
+        step[i] = 1e-5
+        want = (garch.losses(r, x + step)[0] - garch.losses(r, x - step)[0]) / 2e-5
+        assert np.allclose(g[:, i], want, rtol=1e-6, atol=1e-9)
+    one = [garch.log_likelihood(a, garch._unpack(p)) for a, p in zip(r, x, strict=True)]
+    assert np.allclose(-value * 300, one, rtol=1e-12)
+
+
+def test_student_likelihood_by_hand():
+    r, p = simulated(50) * 100, garch.Parameters(0.05, 0.08, 0.9, 5.0)
+    v = garch.variances(r, p)
+    density = [math.lgamma(3.0) - math.lgamma(2.5) - 0.5 * math.log(math.pi * 3.0 * s) - 3.0 * math.log(1 + x * x / (3.0 * s)) for x, s in zip(r, v, strict=True)]
+    assert math.isclose(garch.log_likelihood(r, p), sum(density), rel_tol=1e-12)
+
+
+def test_windows_fitted_together_and_alone_agree():
+    r = simulated(400)
+    together = garch.fit_all(np.stack([r[a : a + 200] for a in range(0, 200, 40)]), CONFIG, True)
+    alone = [garch.fit(r[a : a + 200], CONFIG, True) for a in range(0, 200, 40)]
+    for a, b in zip(together, alone, strict=True):
+        assert a.optimizer_status == b.optimizer_status and math.isclose(a.parameters.beta, b.parameters.beta, rel_tol=1e-6)
+
+
+def test_normal_tails_have_no_bound():
+    """White noise has no finite degrees of freedom: the search ends where the slope does."""
+    p = garch.Parameters(0.9, 0.01, 0.1, 1e9)
+    assert math.isclose(garch._unpack(garch._pack(p)).degrees_of_freedom, 1e9, rel_tol=1e-6)
+    r = np.random.default_rng(0).normal(0, 1, 1250)
+    assert math.isclose(garch.log_likelihood(r, p), garch.log_likelihood(r, garch.Parameters(0.9, 0.01, 0.1)), rel_tol=1e-9)
+
+
+def test_a_series_in_blocks_equals_the_recursion(spark):
+    r = np.random.default_rng(1).normal(0, 0.01, 20_000)
+    df = panel_of(spark, {"A": r.tolist(), "short": r[:59].tolist(), "just": r[:60].tolist()}).repartition(5)
+    for decay in (0.94, 0.1):
+        got = path(models.ewma_path(df, decay, 60))
+        v = float(np.var(r[:60], ddof=1))
+        want = {59: v}
+        for p in range(60, len(r)):
+            v = models.ewma_step(v, r[p], decay)
+            want[p] = v
+        assert set(got) == {("A", p) for p in want} | {("just", 59)}
+        assert all(math.isclose(got["A", p], want[p], rel_tol=1e-12) for p in want)
+    got = path(models.garch_filter_path(df, 60, 0.05, 0.05, 0.0))
+    assert all(math.isclose(got["A", p], (0.05 + 0.05 * (100 * r[p]) ** 2) / 1e4, rel_tol=1e-12) for p in range(60, len(r)))
+    assert 1 <= recursions.block_length(1e-300) < recursions.block_length(0.94) <= recursions.block_length(0.9999) == recursions.BLOCK
+
+
+def test_blocks_of_one_series_are_many_tasks(spark):
+    df = panel_of(spark, {"A": [0.01, -0.01] * 20_000})
+    plan = models.with_ewma(df, 0.94, 60)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(series_id" in plan and "_block" in plan and "FlatMapGroupsInPandas" in plan
+    with pytest.raises(Exception, match="NONPOSITIVE_VARIANCE"):
+        models.ewma_path(panel_of(spark, {"A": [0.0] * 100}), 0.94, 60).collect()
+
+
 def test_state_round_trip():
     s = garch.State(garch.Parameters(0.1, 0.2, 0.3, 5.0), 1.5)
     assert garch.State.from_dict(s.to_dict()) == s
@@ -176,22 +281,21 @@ def test_a_search_that_fails_on_a_slope_is_not_converged(monkeypatch):
     r, start = simulated(200) * 100, garch.Parameters(0.05, 0.05, 0.9)
     at = garch._pack(start)
 
-    def cliff(r, p):
-        d = garch._pack(p) - at
-        near = np.abs(d).max() < 1e-4 and np.count_nonzero(np.abs(d) > 1e-12) <= 1
-        return 10.0 * len(r) * d.sum() if near else -math.inf
+    def cliff(returns, x):
+        d = x - at
+        near = (np.abs(d).max(axis=1) < 1e-4) & ((np.abs(d) > 1e-12).sum(axis=1) <= 1)
+        return np.where(near, -10.0 * d.sum(axis=1), 1e9), np.full_like(x, -10.0)
 
-    monkeypatch.setattr(garch, "log_likelihood", cliff)
+    monkeypatch.setattr(garch, "losses", cliff)
     found, converged, status = garch.maximise(r, start)
     assert not converged and status.startswith("stopped") and math.isclose(found.alpha, start.alpha, rel_tol=1e-6)
-    monkeypatch.setattr(garch, "log_likelihood", lambda r, p: cliff(r, p) if math.isfinite(cliff(r, p)) else -1e9 * len(r))
     out = garch.fit(simulated(200), CONFIG, False, lambda r, _: garch.maximise(r, start))
     assert out.state is None and out.retry_used and out.error_code == "MODEL_FIT_FAILED"
 
 
 def test_a_flat_likelihood_converges_where_it_starts(monkeypatch):
     start = garch.Parameters(0.05, 0.05, 0.9)
-    monkeypatch.setattr(garch, "log_likelihood", lambda r, p: 1.0)
+    monkeypatch.setattr(garch, "losses", lambda r, x: (np.ones(len(x)), np.zeros_like(x)))
     found, converged, _ = garch.maximise(simulated(100), start)
     assert converged and math.isclose(found.beta, start.beta, rel_tol=1e-9)
 
