@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -109,20 +110,43 @@ def score_table(observations: DataFrame, experiment_id: str, extra: tuple[str, .
     return table.withColumn("experiment_id", F.lit(experiment_id)).select(*RESULT, *extra)
 
 
+#: Days whose exceptions one group folds.
+FOLD_DAYS = 256
+_COUNTED = ("n", "x", "n00", "n01", "n10", "n11", "lead", "tail", "best")
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """What two neighbouring stretches of exceptions tell together: counts, transitions, the
+    runs of exceptions at both ends and the longest one. Associative, with an empty stretch as
+    its neutral element."""
+    step = lambda i, j: F.coalesce(((a["last"] == i) & (b["first"] == j)).cast("bigint"), F.lit(0).cast("bigint"))
+    parts = {k: a[k] + b[k] for k in ("n", "x")} | {f"n{i}{j}": a[f"n{i}{j}"] + b[f"n{i}{j}"] + step(i, j) for i in (0, 1) for j in (0, 1)}
+    parts["lead"] = F.when(a["x"] == a["n"], a["n"] + b["lead"]).otherwise(a["lead"])
+    parts["tail"] = F.when(b["x"] == b["n"], b["n"] + a["tail"]).otherwise(b["tail"])
+    parts["best"] = F.greatest(a["best"], b["best"], a["tail"] + b["lead"])
+    ends = {"first": F.coalesce(a["first"], b["first"]), "last": F.coalesce(b["last"], a["last"])}
+    return F.struct(*[v.alias(k) for k, v in (parts | ends).items()])
+
+
+def _stretch(now: Column | None) -> Column:
+    """The stretch of one observation (1: an exception), or the empty one."""
+    one = {k: now if k in ("x", "lead", "tail", "best") else F.lit(1) if k == "n" else F.lit(0) for k in _COUNTED} if now is not None else {k: F.lit(0) for k in _COUNTED}
+    ends = {k: F.lit(None) if now is None else now for k in ("first", "last")}
+    return F.struct(*[v.cast("bigint").alias(k) for k, v in (one | ends).items()])
+
+
 def exception_counts(observations: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: observations, exceptions, transitions between successive observations (in the
-    order of target dates) and the longest run of exceptions."""
-    order = Window.partitionBy(*keys).orderBy("target_date")
-    now = F.col("exception").cast("int")
-    rows = observations.withColumn("now", now).withColumn("before", F.lag("now").over(order)).withColumn("island", F.sum(1 - F.col("now")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("run", F.sum("now").over(Window.partitionBy(*keys, "island")))
-    step = lambda a, b: F.sum(((F.col("before") == a) & (F.col("now") == b)).cast("bigint"))
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("observation_count"),
-        F.sum("now").cast("bigint").alias("exception_count"),
-        *[F.coalesce(step(a, b), F.lit(0).cast("bigint")).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)],
-        F.max("run").cast("bigint").alias("longest_exception_cluster"),
-    )
+    order of target dates) and the longest run of exceptions. Stretches of FOLD_DAYS days are
+    folded apart and then merged in order, so a long series is spread over tasks."""
+    day = F.unix_date("target_date")
+    rows = observations.select(*keys, F.floor(day / FOLD_DAYS).alias("_stretch"), F.struct(day.alias("day"), F.col("exception").cast("bigint").alias("now")).alias("row"))
+    stretches = rows.groupBy(*keys, "_stretch").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    folded = stretches.select(*keys, F.struct("_stretch", F.aggregate("rows", _stretch(None), lambda a, r: _merged(a, _stretch(r["now"]))).alias("told")).alias("part"))
+    whole = folded.groupBy(*keys).agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    told = whole.select(*keys, F.aggregate("parts", _stretch(None), lambda a, p: _merged(a, p["told"])).alias("t"))
+    names = {"observation_count": "n", "exception_count": "x", **{f"n{i}{j}": f"n{i}{j}" for i in (0, 1) for j in (0, 1)}, "longest_exception_cluster": "best"}
+    return told.select(*keys, *[F.col(f"t.{v}").alias(k) for k, v in names.items()])
 
 
 def coverage_wide(counts: DataFrame) -> DataFrame:
@@ -181,18 +205,28 @@ def resampled_sums(values: np.ndarray, block: int, resamples: int, rng: np.rando
         raise fail("WINDOW_ALIGNMENT_ERROR", "The bootstrap needs non-empty groups and positive controls.")
     if not np.isfinite(values).all():
         raise fail("WINDOW_ALIGNMENT_ERROR", "A difference is not finite.")
-    b, sums = min(block, n), np.empty(resamples)
-    starts = drawn_starts(n, block, resamples, rng)
-    for at in range(0, resamples, 256):  # bounds the memory of the index
-        index = (starts[at : at + 256, :, None] + np.arange(b)).reshape(len(starts[at : at + 256]), -1)[:, :n]
-        sums[at : at + 256] = values[index].sum(axis=1)
+    b, sums, at = min(block, n), np.empty(resamples), 0
+    before = np.concatenate([[0.0], np.cumsum(values)])  # a block's sum is a difference of two
+    for starts in drawn_starts(n, block, resamples, rng):
+        ends = starts + b
+        ends[:, -1] -= starts.shape[1] * b - n
+        sums[at : at + len(starts)] = (before[ends] - before[starts]).sum(axis=1)
+        at += len(starts)
     return sums
 
 
-def drawn_starts(n: int, block: int, resamples: int, rng: np.random.Generator) -> np.ndarray:
-    """First positions of the blocks of each resample. They depend on the length only."""
+#: Block positions drawn at once.
+DRAWN = 1 << 20
+
+
+def drawn_starts(n: int, block: int, resamples: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """First positions of the blocks of each resample, some resamples at a time. They depend on
+    the length only; the stream does not depend on how many are drawn at once."""
     b = min(block, n)
-    return rng.integers(0, n - b + 1, size=(resamples, math.ceil(n / b)))
+    blocks = math.ceil(n / b)
+    step = max(1, DRAWN // blocks)
+    for at in range(0, resamples, step):
+        yield rng.integers(0, n - b + 1, size=(min(step, resamples - at), blocks))
 
 
 def block_means(groups: list[np.ndarray], block: int, resamples: int, seed: int) -> np.ndarray:
@@ -208,7 +242,8 @@ def resamples_by_series(pairs: DataFrame, config: Config) -> DataFrame:
     resample `at` of n differences, for each series with its own stream and, under ALL, for the
     same series as its part of the pooled stream. A task has one series of one comparison. The
     pooled stream runs over the series in name order; where it stands before each of them
-    follows from the lengths alone, so it is found on a table of a row a series."""
+    follows from the lengths alone, so it is found on a table of a row a series, once for all
+    comparisons of the same lengths."""
     importable(pairs.sparkSession)
     e, seed = config.evaluation, config.experiment.random_seed
     kind = ["period", "model_id", "benchmark_model_id", "metric"]
@@ -217,7 +252,8 @@ def resamples_by_series(pairs: DataFrame, config: Config) -> DataFrame:
         rows, rng, out = rows.sort_values("series_id", kind="stable"), np.random.default_rng(seed), []
         for n in rows["n"]:
             out.append(json.dumps(rng.bit_generator.state))
-            drawn_starts(int(n), e.bootstrap_block_length, e.bootstrap_resamples, rng)
+            for _ in drawn_starts(int(n), e.bootstrap_block_length, e.bootstrap_resamples, rng):
+                pass
         return rows.assign(state=out)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -232,7 +268,11 @@ def resamples_by_series(pairs: DataFrame, config: Config) -> DataFrame:
 
     text = ", ".join(f"{k} string" for k in [*kind, "series_id"])
     sizes = pairs.groupBy(*kind, "series_id").agg(F.count(F.lit(1)).alias("n"))
-    known = sizes.groupBy(*kind).applyInPandas(states, f"{text}, n bigint, state string").drop("n")
+    # Comparisons over the same series with the same lengths share one stream: it is run once.
+    alike = F.concat_ws(":", F.count(F.lit(1)), *[F.sum(F.xxhash64("series_id", "n", F.lit(i)).cast("decimal(38,0)")) for i in (0, 1)])
+    sizes = sizes.join(sizes.groupBy(*kind).agg(alike.alias("lengths")), kind)
+    runs = sizes.select("lengths", "series_id", "n").distinct().groupBy("lengths").applyInPandas(states, "lengths string, series_id string, n bigint, state string").drop("n")
+    known = sizes.select(*kind, "series_id", "lengths").join(runs, ["lengths", "series_id"]).drop("lengths")
     rows = pairs.select(*kind, "series_id", "target_date", "difference").join(known, [*kind, "series_id"])
     return rows.groupBy(*kind, "series_id").applyInPandas(one, f"{text}, at int, total double, n bigint")
 

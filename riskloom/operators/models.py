@@ -1,24 +1,29 @@
 """Variance and quantile models over a panel.
 
 Each path has a row for every position that has a forecast: (series_id, pos, ...). Historical
-models are window functions. The recursive models are scans of affine maps (recursions), whose
+variances are window functions, historical quantiles a sorted window in blocks. The recursive models are scans of affine maps (recursions), whose
 blocks are the unit of parallelism.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.errors import fail
 from riskloom.functions.scoring import loss_quantile
 from riskloom.functions.special import Z_01, Z_05
 from riskloom.operators.panel import PANEL
 from riskloom.operators.recursions import affine_scan
+from riskloom.session import importable
 
 # Model names.
 HISTORICAL_VARIANCE = "historical_variance"
@@ -47,23 +52,34 @@ def variance_path(panel: DataFrame, window: int) -> DataFrame:
     return with_variance(panel, window).where(F.col("pos") >= window - 1).select("series_id", "pos", "variance", "volatility")
 
 
-def _quantiles(window: int, method: str) -> dict[str, Column]:
-    """The 5 % and 1 % quantiles of the last `window` returns, the sorted window serving both.
-    With h = p * (window - 1): linear interpolates, lower and higher take the neighbours,
-    midpoint their mean, nearest the closer (even on a tie). Uses `sorted_returns`, which
-    with_simulation adds, for all but linear."""
-    out = {}
-    for name, p in (("return_quantile_0_05", 0.05), ("return_quantile_0_01", 0.01)):
-        h = p * (window - 1)
-        low, high = math.floor(h), math.ceil(h)
-        at = {"linear": (low, high), "lower": (low, low), "higher": (high, high), "midpoint": (low, high), "nearest": (round(h), round(h))}.get(method)
-        if at is None:
-            raise fail("CONFIG_INVALID", f"There is no quantile method {method}.")
-        if method == "linear":
-            out[name] = F.percentile("simple_return", F.lit(p)).over(_trailing(window))
-        else:
-            a, b = (F.get("sorted_returns", F.lit(i)) for i in at)
-            out[name] = a if at[0] == at[1] else (a + b) / 2
+#: Positions of a block of the sorted window at least; with its overlap a block is a group.
+SORTED_BLOCK = 4096
+TAILS = {"return_quantile_0_05": 0.05, "return_quantile_0_01": 0.01}
+
+
+def quantile_places(window: int, method: str, p: float) -> tuple[int, int, float]:
+    """Places (low, high) in a sorted window and the weight of high. With h = p * (window - 1):
+    linear interpolates, lower and higher take the neighbours, midpoint their mean, nearest the
+    closer (even on a tie)."""
+    h = p * (window - 1)
+    low, high = math.floor(h), math.ceil(h)
+    places = {"linear": (low, high, h - low), "lower": (low, low, 0.0), "higher": (high, high, 0.0), "midpoint": (low, high, 0.5), "nearest": (round(h), round(h), 0.0)}
+    if method not in places:
+        raise fail("CONFIG_INVALID", f"There is no quantile method {method}.")
+    return places[method]
+
+
+def rolling_quantiles(returns: list[float], window: int, places: list[tuple[int, int, float]]) -> list[list[float | None]]:
+    """For each place its value over the last `window` returns, null before. The window is kept
+    sorted: each step puts one value in and takes one out."""
+    held: list[float] = []
+    out: list[list[float | None]] = [[] for _ in places]
+    for i, x in enumerate(returns):
+        insort(held, x)
+        if i >= window:
+            del held[bisect_left(held, returns[i - window])]
+        for column, (low, high, weight) in zip(out, places, strict=True):
+            column.append(held[low] + (held[high] - held[low]) * weight if i >= window - 1 else None)
     return out
 
 
@@ -72,10 +88,25 @@ QUANTILE_COLUMNS = ("return_quantile_0_05", "var_0_95", "return_quantile_0_01",
 
 def with_simulation(panel: DataFrame, window: int, method: str = "linear") -> DataFrame:
     """The panel with 5 % and 1 % quantiles of the last `window` returns and the losses they
-    imply, null before."""
-    columns, full = _quantiles(window, method), F.col("pos") >= window - 1
-    path = panel if method == "linear" else panel.withColumn("sorted_returns", F.sort_array(F.collect_list("simple_return").over(_trailing(window))))
-    return with_losses(path.withColumns({k: F.when(full, v) for k, v in columns.items()}).drop("sorted_returns"))
+    imply, null before. Series are cut into blocks; the last window - 1 rows of a block go to
+    the next one too, so blocks are independent tasks."""
+    _trailing(window)
+    places = [quantile_places(window, method, p) for p in TAILS.values()]
+    size = max(SORTED_BLOCK, 4 * window)
+    own = F.floor(F.col("pos") / size)
+    rows = panel.withColumn("_block", F.explode(F.when(F.col("pos") % size > size - window, F.array(own, own + 1)).otherwise(F.array(own))))
+
+    def block(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pos")
+        found = rolling_quantiles(rows["simple_return"].to_pylist(), window, places)
+        whole = rows.append_column("_first", pa.array(found[0], pa.float64())).append_column("_second", pa.array(found[1], pa.float64()))
+        mine = pc.equal(pc.cast(pc.floor(pc.divide(pc.cast(rows["pos"], pa.float64()), float(size))), pa.int64()), rows["_block"])
+        return whole.filter(mine).drop_columns(["_block"]).rename_columns([*panel_names, *TAILS])
+
+    panel_names = panel.columns
+    importable(panel.sparkSession)
+    schema = T.StructType([*panel.schema.fields, *[T.StructField(c, T.DoubleType()) for c in TAILS]])
+    return with_losses(rows.groupBy("series_id", "_block").applyInArrow(block, schema))
 
 
 def simulation_path(panel: DataFrame, window: int, method: str = "linear") -> DataFrame:

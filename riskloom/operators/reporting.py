@@ -95,14 +95,12 @@ def rolling_advantage(differences: DataFrame, window: int, periods: tuple[str, .
     difference), averaged over series each day. A day counts only where all series of the
     candidate's benchmark have it; a window with a missing day has no value."""
     rows = differences.where(F.col("period").isin(*periods))
-    expected = rows.agg(F.countDistinct("series_id")).first()[0]
-    if not expected:
-        return rows.select("model_id", "metric", "target_date", F.col("difference").alias("rolling_difference"))
-    daily = rows.groupBy("model_id", "metric", "target_date").agg(F.countDistinct("series_id").alias("n"), F.avg("difference").alias("difference")).where(F.col("n") == expected)
-    kinds = rows.select("model_id", "metric").distinct().collect()  # a few models
-    each = F.array(*[F.struct(F.lit(k.model_id).alias("model_id"), F.lit(k.metric).alias("metric")) for k in kinds])
-    calendar = rows.select("target_date").distinct().select("target_date", F.explode(each).alias("kind")).select("target_date", "kind.*")
-    full = calendar.join(daily.drop("n"), ["model_id", "metric", "target_date"], "left")
+    kind = F.struct("model_id", "metric")
+    told = rows.agg(F.countDistinct("series_id").alias("expected"), F.collect_set(kind).alias("kinds"))  # one row: a few models
+    daily = rows.groupBy("model_id", "metric", "target_date").agg(F.countDistinct("series_id").alias("n"), F.avg("difference").alias("difference"))
+    days = rows.select("target_date").distinct().withColumn("all", F.lit(1)).join(F.broadcast(told.withColumn("all", F.lit(1))), "all")
+    calendar = days.select("target_date", "expected", F.explode("kinds").alias("kind")).select("target_date", "expected", "kind.*")
+    full = calendar.join(daily, ["model_id", "metric", "target_date"], "left").withColumn("difference", F.when(F.col("n") == F.col("expected"), F.col("difference")))
     frame = Window.partitionBy("model_id", "metric").orderBy("target_date").rowsBetween(1 - window, 0)
     return full.select("model_id", "metric", "target_date", F.when(F.count("difference").over(frame) == window, F.avg("difference").over(frame)).alias("rolling_difference"))
 
