@@ -10,6 +10,12 @@ _HOMES = {
     "load_config": "riskloom.config",
     "InputRun": "riskloom.sources.run",
     "load_run": "riskloom.sources.run",
+    "CoverageRequirements": "riskloom.sources.run",
+    "coverage_requirements": "riskloom.sources.run",
+    "Dataset": "riskloom.sources.run",
+    "build_dataset": "riskloom.sources.run",
+    "write_dataset_manifest": "riskloom.sources.run",
+    "Config": "riskloom.config",
     "research_panel": "riskloom.sources.run",
     "dataset_manifest": "riskloom.sources.run",
     "available_models": "riskloom.plans.runner",

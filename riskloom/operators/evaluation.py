@@ -269,8 +269,8 @@ def resamples_by_series(pairs: DataFrame, config: Config) -> DataFrame:
     text = ", ".join(f"{k} string" for k in [*kind, "series_id"])
     sizes = pairs.groupBy(*kind, "series_id").agg(F.count(F.lit(1)).alias("n"))
     # Comparisons over the same series with the same lengths share one stream: it is run once.
-    alike = F.concat_ws(":", F.count(F.lit(1)), *[F.sum(F.xxhash64("series_id", "n", F.lit(i)).cast("decimal(38,0)")) for i in (0, 1)])
-    sizes = sizes.join(sizes.groupBy(*kind).agg(alike.alias("lengths")), kind)
+    alike = [F.count(F.lit(1)), *[F.sum(F.xxhash64("series_id", "n", F.lit(i)).cast("decimal(38,0)")) for i in (0, 1)]]
+    sizes = sizes.withColumn("lengths", F.concat_ws(":", *[c.over(Window.partitionBy(*kind)) for c in alike]))
     runs = sizes.select("lengths", "series_id", "n").distinct().groupBy("lengths").applyInPandas(states, "lengths string, series_id string, n bigint, state string").drop("n")
     known = sizes.select(*kind, "series_id", "lengths").join(runs, ["lengths", "series_id"]).drop("lengths")
     rows = pairs.select(*kind, "series_id", "target_date", "difference").join(known, [*kind, "series_id"])
@@ -307,9 +307,14 @@ def comparisons(variance: DataFrame, quantile: DataFrame, config: Config) -> Dat
     return rows.withColumn("confidence_level", F.lit(e.bootstrap_confidence)).select(*COMPARISONS)
 
 
+def test_years(config: Config) -> list[int]:
+    """The years of the test period: those that have a breakdown."""
+    return [*range(config.periods.test_start.year, config.periods.test_end.year + 1)]
+
+
 def breakdowns(rows: DataFrame, variance: DataFrame, quantile: DataFrame, config: Config) -> DataFrame:
     """Counts, mean scores and exception rates of each year of the test period."""
-    years = [*range(config.periods.test_start.year, config.periods.test_end.year + 1)]
+    years = test_years(config)
 
     def yearly(table: DataFrame) -> DataFrame:
         return table.where(F.col("period") == "test").withColumn("year", F.year("target_date")).where(F.col("year").isin(*years))

@@ -26,13 +26,31 @@ def with_proxy(wide: DataFrame, weights: dict[str, float], name: str) -> DataFra
     """wide (date and a column per instrument) with the weighted sum as a further column; the
     sum runs from 0 in the order of the columns."""
     names = [c for c in wide.columns if c != "date"]
+    check_weights(names, weights, name)
+    return wide.withColumn(name, reduce(lambda total, c: total + F.col(c) * F.lit(weights[c]), names, F.lit(0.0)))
+
+
+def check_weights(names: list[str], weights: dict[str, float], name: str) -> None:
     if names != list(weights):
         raise fail("CONFIG_INVALID", "The weights must name the panel's instruments in their order.")
     if abs(sum(weights.values()) - 1) > 1e-12:
         raise fail("CONFIG_INVALID", "The weights must sum to one.")
     if name in names:
         raise fail("CONFIG_INVALID", "The proxy's name is the name of an instrument.")
-    return wide.withColumn(name, reduce(lambda total, c: total + F.col(c) * F.lit(weights[c]), names, F.lit(0.0)))
+
+
+def with_long_proxy(panel: DataFrame, weights: dict[str, float], name: str) -> DataFrame:
+    """A panel with the weighted sum of its series as a further series, the last one. No column
+    stands for a series, so there may be thousands: the returns of a date are put in the order
+    of the weights and summed from 0. A date that lacks a series has no sum. Weights are a
+    table of the configuration, a row an instrument."""
+    check_weights(list(weights), weights, name)
+    spark = panel.sparkSession
+    table = spark.createDataFrame([(k, i, float(w)) for i, (k, w) in enumerate(weights.items())], "series_id string, _place int, _weight double")
+    weighed = panel.join(F.broadcast(table), "series_id").groupBy("date").agg(F.sort_array(F.collect_list(F.struct("_place", "_weight", "simple_return"))).alias("parts"))
+    total = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["simple_return"] * p["_weight"])
+    proxy = weighed.where(F.size("parts") == len(weights)).select(F.lit(name).alias("series_id"), F.lit(len(weights)).alias("series_pos"), "date", total.alias("simple_return"))
+    return panel.select(*PANEL).unionByName(with_positions(proxy))
 
 
 def to_long(wide: DataFrame, names: list[str] | None = None) -> DataFrame:

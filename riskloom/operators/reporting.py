@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.errors import fail
 from riskloom.functions import scoring
+from riskloom.operators import evaluation
 from riskloom.operators import models as m
 from riskloom.operators.evaluation import ALL, KEY
 
@@ -14,6 +18,17 @@ RMS_WINDOW, RMS_LEAST = 21, 5
 COVERAGE_COLUMNS = ["expected_exception_probability", "exception_count", "exception_rate", "longest_exception_cluster", "kupiec_p_value", "christoffersen_independence_p_value", "conditional_coverage_p_value"]
 
 
+#: Columns of the evaluation tables.
+SCHEMAS = {
+    "forecast_availability": evaluation.RESULT,
+    "variance_scores": evaluation.RESULT,
+    "quantile_scores": evaluation.QUANTILE_SCORES,
+    "coverage_tests": evaluation.COVERAGE,
+    "bootstrap_comparisons": evaluation.COMPARISONS,
+    "period_breakdowns": evaluation.BREAKDOWNS,
+}
+
+
 def comparison_rows(comparisons: DataFrame, period: str, metric: str) -> DataFrame:
     """Comparisons over all series for one metric, candidates in name order."""
     chosen = (F.col("period") == period) & (F.col("series_id") == ALL) & (F.col("metric") == metric) & F.col("model_id").isin(*m.CANDIDATES)
@@ -25,6 +40,11 @@ def series_comparisons(comparisons: DataFrame) -> DataFrame:
     return comparisons.where((F.col("period") == "test") & (F.col("series_id") != ALL) & F.col("metric").isin("qlike", "pinball_loss_0_05"))
 
 
+def verdict(lower: Column, upper: Column) -> Column:
+    """Who is better when a whole interval of the difference lies on one side of zero."""
+    return F.when(upper < 0, "candidate_better").when(lower > 0, "benchmark_better").otherwise("open")
+
+
 def directions(comparisons: DataFrame, period: str, metric: str) -> DataFrame:
     """Candidates whose mean difference and whole interval lie below zero."""
     return comparison_rows(comparisons, period, metric).where("paired_count > 0 AND value < 0 AND interval_upper < 0").select("model_id")
@@ -105,6 +125,23 @@ def rolling_advantage(differences: DataFrame, window: int, periods: tuple[str, .
     return full.select("model_id", "metric", "target_date", F.when(F.count("difference").over(frame) == window, F.avg("difference").over(frame)).alias("rolling_difference"))
 
 
+#: Columns of a figure's width.
+PIXELS = 720
+
+
+def pixel_columns(points: DataFrame, keys: list[str], width: int = PIXELS) -> DataFrame:
+    """points (keys, x, y) reduced to what a figure of `width` columns shows of them: of each
+    key and column the first, last, lowest and highest point. Columns are of one scale over all
+    keys. At most 4 * width rows a key are left, whatever there was."""
+    span = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("all", F.lit(1))
+    placed = points.withColumn("all", F.lit(1)).join(F.broadcast(span), "all")
+    column = F.floor((F.col("x") - F.col("x0")) * width / (F.col("x1") - F.col("x0") + 1))
+    point = F.struct("x", "y")
+    ends = [F.min(point), F.max(point), F.min_by(point, F.struct("y", "x")), F.max_by(point, F.struct("y", "x"))]
+    kept = placed.where("y IS NOT NULL").groupBy(*keys, column.alias("_column")).agg(F.array_distinct(F.array(*ends)).alias("kept"))
+    return kept.select(*keys, F.explode("kept").alias("p")).select(*keys, "p.x", "p.y")
+
+
 def calibration_points(coverage: DataFrame) -> DataFrame:
     """Exception rate of the test period per series, model and level against the nominal one."""
     rows = coverage.where((F.col("period") == "test") & (F.col("metric") == "exception_rate"))
@@ -120,30 +157,41 @@ def period_context(realizations: DataFrame) -> DataFrame:
     return days.groupBy("period").agg(F.min("target_date").alias("first_date"), F.max("target_date").alias("last_date"))
 
 
-def reconciliation(tables: dict[str, DataFrame]) -> DataFrame:
-    """Faults between the evaluation tables: rows (fault, n), none if they agree."""
+def reconciliation(tables: dict[str, DataFrame], years: Iterable[int] | None = None) -> DataFrame:
+    """Faults between the evaluation tables: rows (fault, n), none if they agree. years: those
+    of the test period, which alone may have a breakdown."""
     a, q, c, b = (tables[k] for k in ("forecast_availability", "quantile_scores", "coverage_tests", "bootstrap_comparisons"))
     v = tables["variance_scores"]
-    group = ["period", "series_id", "model_id"]
+    group = ["experiment_id", "period", "series_id", "model_id"]
     wide = a.groupBy(*group).pivot("metric", ["total_eligible_target_dates", "valid_forecast_count", "failed_forecast_count", "unavailable_forecast_count"]).agg(F.first("value"))
-    uneven = wide.where("total_eligible_target_dates <> valid_forecast_count + failed_forecast_count + unavailable_forecast_count")
+    uneven = wide.where("NOT (total_eligible_target_dates <=> valid_forecast_count + failed_forecast_count + unavailable_forecast_count)")
     scores = v.select(*group, "metric", "observation_count").unionByName(q.select(*group, "metric", "observation_count"))
     off = scores.join(wide, group, "left").where("valid_forecast_count IS NULL OR observation_count <> valid_forecast_count")
-    candidate = scores.select("period", "series_id", "model_id", "metric", F.col("observation_count").alias("have"))
-    base = scores.select("period", "series_id", F.col("model_id").alias("benchmark_model_id"), "metric", F.col("observation_count").alias("base"))
-    pairs = b.join(candidate, ["period", "series_id", "model_id", "metric"], "left").join(base, ["period", "series_id", "benchmark_model_id", "metric"], "left")
+    candidate = scores.select(*group, "metric", F.col("observation_count").alias("have"))
+    base = scores.select("experiment_id", "period", "series_id", F.col("model_id").alias("benchmark_model_id"), "metric", F.col("observation_count").alias("base"))
+    pairs = b.join(candidate, [*group, "metric"], "left").join(base, ["experiment_id", "period", "series_id", "benchmark_model_id", "metric"], "left")
     over = pairs.where("paired_count > least(coalesce(have, 0), coalesce(base, 0))")
-    mixed = c.join(q.select(*group, "confidence_level", F.col("observation_count").alias("scored")), [*group, "confidence_level"], "left").where("scored IS NULL OR scored <> observation_count")
-    named = {"counts do not add up": uneven, "scores do not match valid forecasts": off, "pairs exceed scores": over, "coverage does not match scores": mixed}
-    parts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("fault"), "n") for k, rows in named.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where("n > 0")
-
-
-def check_reconciled(tables: dict[str, DataFrame]) -> None:
-    """Raises if the evaluation tables do not agree with each other."""
-    found = reconciliation(tables).collect()  # a row a kind of fault
+    tails = F.create_map(*[F.lit(x) for t in scoring.TAILS for x in (t[4], t[0])])
+    scored = q.select(*group, F.col("metric").alias("score_metric"), "confidence_level", "tail_probability", F.col("observation_count").alias("scored"))
+    mixed = c.withColumn("score_metric", tails[F.col("tail_probability")]).join(scored, [*group, "score_metric", "confidence_level", "tail_probability"], "left").where("scored IS NULL OR scored <> observation_count")
+    named = {
+        "counts do not add up": uneven,
+        "scores do not match valid forecasts": off,
+        "pairs exceed scores": over,
+        "coverage does not match scores": mixed,
+        "a comparison counts other observations than pairs": b.where("NOT (observation_count <=> paired_count)"),
+        "a period is neither validation nor test": reduce(DataFrame.unionByName, [t.select("period") for t in (a, v, q, c, b)]).where(~F.coalesce(F.col("period").isin("validation", "test"), F.lit(False))),
+    }
+    if years is not None:
+        named["a breakdown is of no declared year"] = tables["period_breakdowns"].where(~F.coalesce(F.col("period").isin(*[f"test_{y}" for y in years]), F.lit(False)))
+    return reduce(DataFrame.unionByName, [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("fault"), "n") for k, rows in named.items()]).where("n > 0")
+
+
+def check_reconciled(tables: dict[str, DataFrame], years: Iterable[int] | None = None) -> None:
+    """Raises if an evaluation table lacks its columns or the tables do not agree."""
+    for name, columns in SCHEMAS.items():
+        if tuple(tables[name].columns) != columns:
+            raise fail("WINDOW_ALIGNMENT_ERROR", f"{name} does not have its columns.")
+    found = reconciliation(tables, years).collect()  # a row a kind of fault
     if found:
         raise fail("ARTIFACT_RECONCILIATION_FAILED", "; ".join(f"{r.fault} ({r.n})" for r in sorted(found)) + ".")

@@ -130,7 +130,7 @@ def execute(spark: SparkSession, config: Config, source: run.InputRun | None = N
         runner.check_artifacts(saved)
         tables = evaluation.evaluate(saved.forecasts, saved.realizations, config)
         artifacts.write_tables(tables, part)
-        reporting.check_reconciled({k: artifacts.read_table(spark, part, k) for k in tables})
+        reporting.check_reconciled({k: artifacts.read_table(spark, part, k) for k in tables}, evaluation.test_years(config))
         panel.unpersist()
         (part / INPUT_MANIFEST).write_bytes((source.folder / run.MANIFEST).read_bytes())
         (part / INPUT_QUALITY).write_bytes((source.folder / run.QUALITY).read_bytes())

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.config import Config, Evaluation, Ewma, Experiment, Garch, Historical, Periods, Proxy, Upstream
@@ -41,4 +41,16 @@ def wide_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineitem_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel of the three series and their weighted proxy. It has a row a series and day,
     feeds every model, and is kept, so the line items are scanned once."""
-    return panel.to_long(panel.with_proxy(wide_returns(spark, sf_dir), WEIGHTS, PROXY)).cache()
+    place = (F.array_position(F.array(*map(F.lit, NAMES)), F.col("series_id")) - 1).cast("int")
+    long = panel.with_positions(instrument_returns(spark, sf_dir).withColumn("series_pos", place))
+    return panel.with_long_proxy(long, WEIGHTS, PROXY).cache()
+
+
+def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A panel that grows with the tables: a series a supplier, level = logarithm of the mean
+    extended price of a week, on the weeks that the supplier has."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("int").alias("key"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
+    levels = rows.groupBy("key", "date").agg(F.ln(F.sum("price").cast("double") / F.count(F.lit(1))).alias("level"))
+    before = F.lag("level").over(Window.partitionBy("key").orderBy("date"))
+    returns = levels.select("key", "date", (F.col("level") / before - 1).alias("simple_return")).where("simple_return IS NOT NULL")
+    return panel.with_positions(returns.select(F.concat(F.lit("S"), F.col("key").cast("string")).alias("series_id"), F.col("key").alias("series_pos"), "date", "simple_return")).cache()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -292,7 +293,7 @@ LACKING = "series_id = 'A' AND period = 'validation'"
 def artifact_faults(spark, d):
     """Faults of artifacts that lack one series' realizations of a period and all diagnostics."""
     found = _benchmarks(spark, d)
-    return runner.artifact_faults(runner.Artifacts(found.experiment_windows, found.realizations.where(f"NOT ({LACKING})"), found.forecasts, found.fit_diagnostics.limit(0)))
+    return runner.artifact_faults(runner.Artifacts(found.experiment_windows, found.realizations.where(f"NOT ({LACKING})"), found.forecasts.cache(), found.fit_diagnostics.limit(0)))
 
 
 def parameter_checks(spark, d):
@@ -369,7 +370,109 @@ def canonical_ids(spark, d):
     return rows.select("n_name", ids.id_column("x_", {"name": F.col("n_name"), "day": ids.midnight(F.col("day"))}).alias("id"))
 
 
+# -- a panel with a series a supplier: it grows with the tables -----------------------------
+
+
+def _suppliers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    found = runner.benchmarks_and_ewma(panels.supplier_panel(spark, d), PROFILE, CHECKSUM)
+    return found.forecasts, found.realizations
+
+
+def supplier_panel(spark, d):
+    return rounded(panels.supplier_panel(spark, d).drop("series_pos"))
+
+
+def supplier_variance_scores(spark, d):
+    return rounded(evaluation.score_table(evaluation.variance_observations(evaluation.joined(*_suppliers(spark, d))), _name()))
+
+
+def supplier_quantile_scores(spark, d):
+    return rounded(evaluation.score_table(evaluation.quantile_observations(evaluation.joined(*_suppliers(spark, d))), _name(), ("confidence_level", "tail_probability")))
+
+
+def supplier_exception_counts(spark, d):
+    return evaluation.exception_counts(evaluation.quantile_observations(evaluation.joined(*_suppliers(spark, d))), _GROUP)
+
+
+def _supplier_pairs(spark, d) -> DataFrame:
+    rows = evaluation.joined(*_suppliers(spark, d))
+    return evaluation.all_pairs(evaluation.variance_observations(rows), evaluation.quantile_observations(rows))
+
+
+def supplier_point_estimates(spark, d):
+    return rounded(evaluation.point_estimates(_supplier_pairs(spark, d)))
+
+
+def supplier_directions(spark, d):
+    """For each supplier, candidate, period and metric: the mean difference and its normal
+    bounds, and which side both bounds are on."""
+    mean, n = F.avg("difference"), F.count(F.lit(1))
+    half = 1.96 * F.stddev_samp("difference") / F.sqrt(n)
+    rows = _supplier_pairs(spark, d).groupBy("period", "series_id", "model_id", "benchmark_model_id", "metric").agg(n.alias("paired_count"), mean.alias("value"), (mean - half).alias("interval_lower"), (mean + half).alias("interval_upper"))
+    return rounded(rows.withColumn("verdict", reporting.verdict(F.col("interval_lower"), F.col("interval_upper"))))
+
+
+def supplier_stored_forecasts(spark, d):
+    rows = runner.garch_candidates(panels.supplier_panel(spark, d), PROFILE, CHECKSUM, _stored).forecasts
+    return rounded(rows.select("series_id", "model_id", "forecast_origin", "target_date", *runner.VALUES, "status", "error_code"))
+
+
+def supplier_pixels(spark, d):
+    """What a figure shows of every supplier's weighted volatility."""
+    path = models.with_ewma(panels.supplier_panel(spark, d), PROFILE.ewma.lambda_, PROFILE.ewma.initialization_window)
+    points = path.where("variance IS NOT NULL").select("series_id", F.unix_date("date").alias("x"), F.round("volatility", DIGITS).alias("y"))
+    return reporting.pixel_columns(points, ["series_id"], 40)
+
+
+def _planted(series: str, year: int) -> str:
+    return f"series_id = '{series}' AND model_id = '{models.EWMA}' AND year(target_date) = {year}"
+
+
+def every_artifact_fault(spark, d):
+    """Every fault of the artifacts, planted in places of its own."""
+    found = _benchmarks(spark, d)
+    f, r, w, t = found.forecasts.cache(), found.realizations, found.experiment_windows, found.fit_diagnostics  # read by each fault
+    f = f.withColumn("forecast_origin", F.when(F.expr(_planted("A", 1999)), F.date_add("target_date", 1)).otherwise(F.col("forecast_origin")))
+    w = w.withColumn("train_end", F.when(F.expr(_planted("N", 1999)), F.date_add("target_date", 1)).otherwise(F.col("train_end")))
+    w = w.where(f"NOT ({_planted('R', 1999)})")
+    f = f.where(f"NOT ({_planted('A', 2000)})")
+    f = f.withColumn("forecast_id", F.when(F.expr(_planted("N", 2000)), "same").otherwise(F.col("forecast_id")))
+    f = f.unionByName(f.where(_planted("R", 2000)).withColumn("forecast_id", F.concat(F.lit("again"), "forecast_id")))
+    r = r.unionByName(r.where(f"series_id = '{PROXY}' AND period = 'validation'")).where("NOT (series_id = 'N' AND period = 'validation')")
+    t = t.where("series_id <> 'A'").unionByName(t.where("series_id = 'N'")).unionByName(t.where("series_id = 'R'").withColumn("fit_id", F.lit("other")))
+    return runner.artifact_faults(runner.Artifacts(w, r, f, t))
+
+
+def every_reconciliation_fault(spark, d):
+    """Every fault of the evaluation tables, planted in places of its own."""
+    rows = _joined(spark, d).cache()
+    variance, quantile = evaluation.variance_observations(rows), evaluation.quantile_observations(rows)
+    pairs = evaluation.point_estimates(evaluation.all_pairs(variance, quantile)).withColumns({"experiment_id": F.lit(_name()), "observation_count": F.col("paired_count")})
+    more = lambda column, place: F.when(F.expr(place), F.col(column) + 1).otherwise(F.col(column))
+    place = lambda series, period, model=models.EWMA: f"series_id = '{series}' AND period = '{period}' AND model_id = '{model}'"
+    pairs = pairs.withColumn("paired_count", more("paired_count", place("R", "test"))).withColumn("observation_count", more("observation_count", f"{place('R', 'test')} OR {place('R', 'validation')}"))
+    tables = {
+        "forecast_availability": evaluation.availability(rows, _name()).withColumn("value", more("value", f"metric = 'failed_forecast_count' AND {place('A', 'validation')}")),
+        "variance_scores": evaluation.score_table(variance, _name()).withColumn("observation_count", more("observation_count", place("N", "validation", models.HISTORICAL_VARIANCE))),
+        "quantile_scores": evaluation.score_table(quantile, _name(), ("confidence_level", "tail_probability")),
+        "coverage_tests": evaluation.coverage_table(quantile, _name()).withColumn("observation_count", more("observation_count", place(PROXY, "test", models.HISTORICAL_SIMULATION))),
+        "bootstrap_comparisons": pairs.withColumn("period", F.when(F.expr(place("N", "test")), "development").otherwise(F.col("period"))),
+        "period_breakdowns": evaluation.breakdowns(rows, variance, quantile, PROFILE).withColumn("period", F.regexp_replace("period", "test_2001", "test_2002")),
+    }
+    return reporting.reconciliation(tables, evaluation.test_years(PROFILE))
+
+
 QUERIES = {
+    "supplier_panel": supplier_panel,
+    "supplier_variance_scores": supplier_variance_scores,
+    "supplier_quantile_scores": supplier_quantile_scores,
+    "supplier_exception_counts": supplier_exception_counts,
+    "supplier_point_estimates": supplier_point_estimates,
+    "supplier_directions": supplier_directions,
+    "supplier_stored_forecasts": supplier_stored_forecasts,
+    "supplier_pixels": supplier_pixels,
+    "every_artifact_fault": every_artifact_fault,
+    "every_reconciliation_fault": every_reconciliation_fault,
     "panel_returns": panel_returns,
     "proxy_series": proxy_series,
     "index_faults": index_faults,
@@ -692,3 +795,41 @@ SQL["garch_stored_likelihoods"] = _sql(f""", {_CHAIN}
 SELECT c.series_id, c.block::INTEGER AS fit_block, d.degrees_of_freedom, round(sum(CASE WHEN d.degrees_of_freedom IS NULL THEN -0.5 * (ln(2 * pi()) + ln(v) + s / v)
   ELSE {_FRONT}::DOUBLE - 0.5 * ln(v) - {(STORED_TAIL + 1) / 2} * ln(1 + s / (v * {STORED_TAIL - 2})) END), 9) AS log_likelihood
 FROM chain c JOIN seq q ON q.series_id = c.series_id AND q.block = c.block AND q.j = c.j, (VALUES (NULL::DOUBLE), ({STORED_TAIL}::DOUBLE)) d(degrees_of_freedom) WHERE c.j < {_W} GROUP BY ALL""")
+
+_SUPPLIERS = """SELECT 'S' || key AS series_id, date, (row_number() OVER (PARTITION BY key ORDER BY date) - 1)::INTEGER AS pos, r FROM (
+  SELECT key, date, level / lag(level) OVER (PARTITION BY key ORDER BY date) - 1 AS r FROM (
+    SELECT l_suppkey::INTEGER AS key, date_trunc('week', l_shipdate)::DATE AS date, ln(sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / count(*)) AS level FROM lineitem GROUP BY 1, 2)) WHERE r IS NOT NULL"""
+
+
+def _of_suppliers(sql: str) -> str:
+    """The same query over the panel of suppliers."""
+    return sql.replace(f"panel AS ({_CTE['panel']})", f"panel AS ({_SUPPLIERS})")
+
+
+SQL |= {f"supplier_{k}": _of_suppliers(SQL[v]) for k, v in (("variance_scores", "variance_scores"), ("quantile_scores", "quantile_scores"), ("exception_counts", "exception_counts"), ("point_estimates", "bootstrap_point_estimates"), ("stored_forecasts", "garch_stored_forecasts"))}
+SQL["supplier_panel"] = _of_suppliers(_sql("SELECT series_id, date, pos, round(r, 9) AS simple_return FROM panel"))
+SQL["supplier_directions"] = _of_suppliers(_sql(
+    """SELECT period, series_id, model_id, benchmark_model_id, metric, paired_count, round(value, 9) AS value, round(value - half, 9) AS interval_lower, round(value + half, 9) AS interval_upper,
+  CASE WHEN value + half < 0 THEN 'candidate_better' WHEN value - half > 0 THEN 'benchmark_better' ELSE 'open' END AS verdict
+FROM (SELECT period, series_id, model_id, benchmark_model_id, metric, count(*) AS paired_count, avg(difference) AS value, 1.96 * stddev_samp(difference) / sqrt(count(*)) AS half FROM pairs GROUP BY ALL)"""
+))
+SQL["supplier_pixels"] = _of_suppliers(_sql(
+    """, points AS (SELECT e.series_id, date - DATE '1970-01-01' AS x, round(sqrt(variance), 9) AS y FROM ew e JOIN panel p ON p.series_id = e.series_id AND p.pos = e.pos),
+placed AS (SELECT *, (x - min(x) OVER ()) * 40 // (max(x) OVER () - min(x) OVER () + 1) AS col FROM points)
+SELECT DISTINCT series_id, x::INTEGER AS x, y FROM placed QUALIFY row_number() OVER (PARTITION BY series_id, col ORDER BY x, y) = 1 OR row_number() OVER (PARTITION BY series_id, col ORDER BY x DESC, y DESC) = 1
+  OR row_number() OVER (PARTITION BY series_id, col ORDER BY y, x) = 1 OR row_number() OVER (PARTITION BY series_id, col ORDER BY y DESC, x DESC) = 1"""
+))
+_FORECASTS_AT = lambda *place: f"(SELECT count(*) FROM forecasts WHERE {_planted(*place)})"
+SQL["every_artifact_fault"] = _sql(f"""SELECT fault, n FROM (VALUES
+  ('an origin is not before its target', {_FORECASTS_AT("A", 1999)}), ('a window does not end at its origin', {_FORECASTS_AT("N", 1999)}),
+  ('a forecast has no window', {_FORECASTS_AT("A", 1999)} + {_FORECASTS_AT("R", 1999)}), ('a window has no forecast', {_FORECASTS_AT("A", 1999)} + {_FORECASTS_AT("A", 2000)}),
+  ('a forecast id repeats', 1), ('a forecast key repeats', {_FORECASTS_AT("R", 2000)}), ('a realization key repeats', (SELECT count(*) FROM real WHERE series_id = '{PROXY}' AND period = 'validation')),
+  ('a forecast has no realization', {_FORECASTS_AT("A", 1999)} + (SELECT count(*) FROM forecasts JOIN real USING (series_id, forecast_origin, target_date) WHERE series_id = 'N' AND period = 'validation')),
+  ('a candidate''s fit has no diagnostics', 1), ('a fit''s diagnostics repeat', 1), ('a fit has no forecasts', 1)) t(fault, n)""")
+_ROWS_AT = lambda key, place: f"(SELECT count(*) FROM ({SQL[key]}) WHERE {place})"
+_PAIRS_AT = lambda series, period: _ROWS_AT("bootstrap_point_estimates", f"series_id = '{series}' AND period = '{period}' AND model_id = '{models.EWMA}'")
+SQL["every_reconciliation_fault"] = f"""SELECT fault, n FROM (VALUES
+  ('counts do not add up', 1), ('scores do not match valid forecasts', {_ROWS_AT("variance_scores", f"series_id = 'N' AND period = 'validation' AND model_id = '{models.HISTORICAL_VARIANCE}'")}),
+  ('pairs exceed scores', {_PAIRS_AT("R", "test")} + {_PAIRS_AT("N", "test")}), ('coverage does not match scores', {_ROWS_AT("coverage_tests", f"series_id = '{PROXY}' AND period = 'test' AND model_id = '{models.HISTORICAL_SIMULATION}'")}),
+  ('a comparison counts other observations than pairs', {_PAIRS_AT("R", "validation")}), ('a period is neither validation nor test', {_PAIRS_AT("N", "test")}),
+  ('a breakdown is of no declared year', {_ROWS_AT("period_breakdowns", "period = 'test_2001'")})) t(fault, n) WHERE n > 0"""

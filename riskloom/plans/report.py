@@ -94,14 +94,14 @@ def _drawn(name: str, data: DataFrame, series: list[str]) -> str:
     title = name.replace("_", " ").capitalize()
     if name in ("volatility_history", "exception_history"):
         value = "volatility" if name == "volatility_history" else "loss"
-        panels = []
-        for one in series:  # read a series at a time: a few thousand days
-            rows = data.where(F.col("series_id") == one).select("model_id", F.unix_date("target_date").alias("x"), F.col(value).alias("y")).collect()
-            keys = sorted({r.model_id for r in rows})
-            panels.append(figures.lines(f"{title}: {one}", {k: [(r.x, r.y) for r in rows if r.model_id == k] for k in keys}, points=name == "exception_history"))
-        return figures.stacked(panels)
+        points = data.select("series_id", "model_id", F.unix_date("target_date").alias("x"), F.col(value).alias("y"))
+        lines: dict[str, dict[str, list]] = {one: {} for one in series}
+        for r in reporting.pixel_columns(points, ["series_id", "model_id"]).orderBy("series_id", "model_id", "x", "y").collect():
+            lines.setdefault(r.series_id, {}).setdefault(r.model_id, []).append((r.x, r.y))
+        return figures.stacked([figures.lines(f"{title}: {one}", lines[one], points=name == "exception_history") for one in series])
     if name == "rolling_advantage":
-        rows = data.where("metric = 'qlike'").select("model_id", F.unix_date("target_date").alias("x"), F.col("rolling_difference").alias("y")).collect()
+        points = data.where("metric = 'qlike'").select("model_id", F.unix_date("target_date").alias("x"), F.col("rolling_difference").alias("y"))
+        rows = reporting.pixel_columns(points, ["model_id"]).orderBy("model_id", "x", "y").collect()
         return figures.lines(title, {k: [(r.x, r.y) for r in rows if r.model_id == k] for k in sorted({r.model_id for r in rows})})
     rows = data.collect()
     if name == "availability":

@@ -153,6 +153,7 @@ def artifact_faults(found: Artifacts) -> DataFrame:
         "a realization key repeats": r.groupBy(*key).count().where("count > 1"),
         "a forecast has no realization": f.join(r, key, "left_anti"),
         "a candidate's fit has no diagnostics": fitted.join(d, "fit_id", "left_anti"),
+        "a fit's diagnostics repeat": d.groupBy("fit_id").count().where("count > 1"),
         "a fit has no forecasts": d.join(fitted, "fit_id", "left_anti"),
     }
     return reduce(DataFrame.unionByName, [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("fault"), "n") for k, rows in faults.items()]).where("n > 0")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.errors import fail
-from riskloom.operators import evaluation, windows
+from riskloom.operators import evaluation, reporting, windows
 from riskloom.sources.store import Place, load_json, place_of
 
 # Names of the saved tables.
@@ -33,15 +33,7 @@ ORDER = {"experiment_windows": ["series_id", "model_id", "forecast_origin"], "fo
 _BAD = "ARTIFACT_RECONCILIATION_FAILED"
 _WHOLE = {"observation_count", "paired_count", "bootstrap_resamples", "block_length", "random_seed", "train_observation_count"}
 _TEXT = {"experiment_id", "period", "series_id", "model_id", "metric", "status", "benchmark_model_id", "effect_direction", "period_start", "period_end"}
-_COLUMNS = {
-    "experiment_windows": windows.WINDOWS,
-    "forecast_availability": evaluation.RESULT,
-    "variance_scores": evaluation.RESULT,
-    "quantile_scores": evaluation.QUANTILE_SCORES,
-    "coverage_tests": evaluation.COVERAGE,
-    "bootstrap_comparisons": evaluation.COMPARISONS,
-    "period_breakdowns": evaluation.BREAKDOWNS,
-}
+_COLUMNS = {"experiment_windows": windows.WINDOWS} | reporting.SCHEMAS
 
 
 def hashed(spark: SparkSession, folders: list[Place]) -> dict[str, dict[str, Any]]:

@@ -37,6 +37,31 @@ class InputRun:
     version: str
 
 
+@dataclass(frozen=True)
+class CoverageRequirements:
+    """What the common history of an input must cover."""
+
+    least_common_dates: int
+    first_date_not_after: date
+    last_date_not_before: date
+    largest_window: int
+    periods: tuple[tuple[str, date, date], ...]
+
+
+def coverage_requirements(config: Config) -> CoverageRequirements:
+    """The requirements that follow from the periods and the largest window of a configuration."""
+    p, window = config.periods, config.largest_window()
+    return CoverageRequirements(window + 2, p.development_end, p.test_start, window, tuple(p.ranges()))
+
+
+@dataclass(frozen=True)
+class Dataset:
+    """The panel that models run on, and the evidence of where it came from."""
+
+    panel: DataFrame
+    manifest: dict[str, Any]
+
+
 def _part(raw: dict, key: str, code: str) -> dict:
     if not isinstance(raw.get(key), dict):
         raise fail(code, f"{key} must be an object.")
@@ -78,18 +103,18 @@ def check_manifest(manifest: dict[str, Any], config: Config) -> None:
         raise fail("UPSTREAM_QUALITY_GATE_FAILED", "The run must declare forward_fill as false.")
 
 
-def check_quality(quality: dict[str, Any], config: Config) -> None:
+def check_quality(quality: dict[str, Any], config: Config, coverage: CoverageRequirements) -> None:
     bad, want = "UPSTREAM_QUALITY_GATE_FAILED", config.upstream.instruments
     if _names(quality.get("requested_instruments"), "requested_instruments", bad) != want:
         raise fail(bad, "The quality report is for other instruments.")
     absent = set(want) - set(_names(quality.get("returned_instruments"), "returned_instruments", bad))
     if absent:
         raise fail(bad, f"The input lacks {', '.join(sorted(absent))}.")
-    if _count(quality.get("common_date_count_after_alignment"), "common_date_count_after_alignment") < config.largest_window() + 2:
+    if _count(quality.get("common_date_count_after_alignment"), "common_date_count_after_alignment") < coverage.least_common_dates:
         raise fail(bad, "The common history is shorter than the largest window needs.")
-    if _day(quality.get("first_common_date"), "first_common_date") > config.periods.development_end:
+    if _day(quality.get("first_common_date"), "first_common_date") > coverage.first_date_not_after:
         raise fail(bad, "The common history begins after the development period.")
-    if _day(quality.get("last_common_date"), "last_common_date") < config.periods.test_start:
+    if _day(quality.get("last_common_date"), "last_common_date") < coverage.last_date_not_before:
         raise fail(bad, "The common history ends before the test period.")
 
 
@@ -107,13 +132,13 @@ def read_returns(spark: SparkSession, path: Place, names: tuple[str, ...]) -> Da
     return panel.numbered(rows, "pos")
 
 
-def check_returns(rows: DataFrame, quality: dict[str, Any], config: Config) -> DataFrame:
+def check_returns(rows: DataFrame, quality: dict[str, Any], config: Config, coverage: CoverageRequirements) -> DataFrame:
     names = config.upstream.instruments
     typed = rows.select("pos", F.expr("try_cast(date AS date)").alias("date"), *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in names])
     broken = F.col("date").isNull()
     for c in names:
         broken |= F.col(c).isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
-    inside = (F.col("pos") >= config.largest_window()) & F.col("period").isNotNull()
+    inside = (F.col("pos") >= coverage.largest_window) & F.col("period").isNotNull()
     placed = typed.withColumn("period", period_of(F.col("date"), config.periods))
     if placed.where(broken).limit(1).count():
         raise fail("INPUT_VALUE_INVALID", f"{RETURNS} holds a value that is not a finite number or a date.")
@@ -124,15 +149,17 @@ def check_returns(rows: DataFrame, quality: dict[str, Any], config: Config) -> D
         raise fail(bad, "The number of returns does not fit the number of common dates.")
     if told.first <= _day(quality["first_common_date"], "first_common_date") or told.last != _day(quality["last_common_date"], "last_common_date"):
         raise fail(bad, "The dates of the returns do not fit the quality report.")
-    lacking = {name for name, _, _ in config.periods.ranges()} - set(told.periods)
+    lacking = {name for name, _, _ in coverage.periods} - set(told.periods)
     if lacking:
         raise fail("INSUFFICIENT_HISTORY", f"No target with enough history lies in: {', '.join(sorted(lacking))}.")
     return placed.select("date", *names)
 
 
-def load_run(spark: SparkSession, config: Config, installed: Callable[[], str | None] | None = None) -> InputRun:
+def load_run(spark: SparkSession, config: Config, installed: Callable[[], str | None] | None = None, coverage: CoverageRequirements | None = None) -> InputRun:
     """Validates and loads the configured input run. `installed` gives the version of the
-    package that made it, where one must be present (None: missing)."""
+    package that made it, where one must be present (None: missing). coverage: requirements
+    other than the configuration's own."""
+    coverage = coverage or coverage_requirements(config)
     folder = place_of(config.experiment.input_run_dir, spark)
     absent = [f for f in FILES if not (folder / f).is_file()]
     if absent:
@@ -144,18 +171,18 @@ def load_run(spark: SparkSession, config: Config, installed: Callable[[], str |
         raise fail("UPSTREAM_VERSION_INCOMPATIBLE", "Another version of the package that made the run is installed.")
     manifest, quality = (load_json(folder / f, "UPSTREAM_MANIFEST_INVALID") for f in (MANIFEST, QUALITY))
     check_manifest(manifest, config)
-    check_quality(quality, config)
+    check_quality(quality, config, coverage)
     rows = read_returns(spark, folder / RETURNS, config.upstream.instruments)
-    returns = check_returns(rows, quality, config)
+    returns = check_returns(rows, quality, config, coverage)
     return InputRun(folder, returns, manifest, quality, {f: (folder / f).sha256() for f in FILES}, version)
 
 
 def research_panel(run: InputRun, config: Config) -> DataFrame:
     """The long panel of the instruments and, where it is enabled, the proxy."""
-    wide = run.returns
+    long = panel.to_long(run.returns, list(config.upstream.instruments))
     if config.portfolio_proxy.enabled:
-        wide = panel.with_proxy(wide, dict(config.portfolio_proxy.weights), config.portfolio_proxy.series_id)
-    return panel.to_long(wide, list(config.series()))
+        return panel.with_long_proxy(long, dict(config.portfolio_proxy.weights), config.portfolio_proxy.series_id)
+    return long
 
 
 def dataset_manifest(run: InputRun, config: Config) -> dict[str, Any]:
@@ -171,3 +198,16 @@ def dataset_manifest(run: InputRun, config: Config) -> dict[str, Any]:
         "series_order": list(config.series()),
         "portfolio_proxy": config.as_dict()["portfolio_proxy"],
     }
+
+
+def build_dataset(run: InputRun, config: Config) -> Dataset:
+    return Dataset(research_panel(run, config), dataset_manifest(run, config))
+
+
+def write_dataset_manifest(dataset: Dataset, path: Any) -> Place:
+    """The evidence as JSON at a path of any file system; a file that is there is not replaced."""
+    place = place_of(path, dataset.panel.sparkSession)
+    if place.exists():
+        raise fail("OUTPUT_COLLISION", f"{place.name} exists already.")
+    place.write_json(dataset.manifest)
+    return place
