@@ -11,19 +11,24 @@ A person is the name without its title. Its surrogate is a given name of the gen
 corpus' titles tell (neutral where they tell none or both) and the surrogate of its family
 name, both in the name's script, so all mentions of a person or a family stay joined.
 Surrogates are checked over the whole corpus: no two entities may share one, and none may be
-an entity that occurs; losers are derived again with the next round number. What still
-collides after ROUNDS rounds is dealt in a ring: each takes the next one's form (see ringed).
+an entity that occurs; losers are derived again with the next round number. From round WIDEN
+on a form grows by a character a round, so there is room for any number of entities: a full
+form is left, and no entity's own form is ever given to another.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from secrets import token_hex
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import ascii_lower, documents, salted_lookup, text_of, written
 
-KEY = "riskloom-demo-key"
-ROUNDS = 40
+#: The session setting that holds the secret key of the query.
+KEY_SETTING = "riskloom.pii.key"
+#: The round from which on a form that collides grows.
+WIDEN = 8
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -131,20 +136,22 @@ def _pick(stream: Column, at: int, options: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), index + 1)
 
 
-def derived(kind: Column, canon: Column, gender: Column, family: Column, round_: Column, key: str) -> Column:
+def derived(kind: Column, canon: Column, gender: Column, family: Column, round_: Column, key: str, widen: int = WIDEN) -> Column:
     """The canonical form of the surrogate of an entity, for a round. Names have more room in
-    later rounds."""
+    later rounds, all forms from round `widen` on: a digit, letter or group of digits a round."""
+    more = F.greatest(F.lit(0), round_ - widen + 1)
     stream = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, round_.cast("string")), 256)
     digits = F.translate(stream, "abcdef", "314159")
-    refill = lambda first: F.concat(F.substr(canon, F.lit(1), first), F.substr(digits, F.lit(1), F.length(canon) - first))
-    card = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(digits, F.lit(1), F.length(canon) - 2))
+    digits = F.concat(digits, F.translate(F.sha2(stream, 512), "abcdef", "271828"))
+    refill = lambda first: F.concat(F.substr(canon, F.lit(1), first), F.substr(digits, F.lit(1), F.length(canon) - first + more))
+    card = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(digits, F.lit(1), F.length(canon) - 2 + more))
     check = (10 - _luhn(F.concat(card, F.lit("0"))) % 10) % 10
     octet = lambda at: (F.conv(F.substring(stream, at, 4), 16, 10).cast("int") % 254 + 1).cast("string")
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     letters = F.translate(F.substr(F.concat(stream, F.sha2(stream, 256)), F.lit(1), F.least(F.length(local), F.lit(64))), "0123456789", "ghijklmnop")
     shaped = F.array_join(F.zip_with(F.split(local, ""), F.split(letters, ""), lambda a, b: F.when(a.rlike("[0-9]"), (F.ascii(b) % 10).cast("string")).when(a.rlike("[a-z]"), b).otherwise(a)), "")
     host = F.concat(F.lit("h"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256), 1, 8), F.lit(".example"))
-    spread = F.when(round_ > 2, F.translate(F.substring(stream, 33, 8), "0123456789abcdef", "aeiouaeiouaeioua")).otherwise("")
+    spread = F.when(round_ > 2, F.translate(F.substr(F.concat(F.substring(stream, 33, 8), F.sha2(stream, 512)), F.lit(1), 8 + more), "0123456789abcdef", "aeiouaeiouaeioua")).otherwise("")
     script = lambda of: F.when(canon.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
     def surname(script_: str) -> Column:
@@ -156,8 +163,8 @@ def derived(kind: Column, canon: Column, gender: Column, family: Column, round_:
         return F.when(round_ < 2, by(1)).when(round_ < 4, F.concat(by(1), F.lit("-"), by(5))).otherwise(F.concat(by(1), F.lit("-"), made))
 
     return (
-        F.when(kind == "email", F.concat(shaped, F.when(round_ > 2, F.substring(stream, 1, 6)).otherwise(""), F.lit("@"), host))
-        .when(kind == "ip", F.concat_ws(".", octet(1), octet(5), octet(9), octet(13)))
+        F.when(kind == "email", F.concat(shaped, F.when(round_ > 2, F.substr(stream, F.lit(1), 6 + more)).otherwise(""), F.lit("@"), host))
+        .when(kind == "ip", F.concat(F.concat_ws(".", octet(1), octet(5), octet(9), octet(13)), F.when(more > 0, F.concat(F.lit("."), F.substr(digits, F.lit(1), more))).otherwise("")))
         .when(kind == "card", F.concat(card, check.cast("string")))
         .when(kind == "phone", refill(F.when(canon.startswith("+"), F.lit(2)).otherwise(F.lit(0))))
         .when(kind == "family", script(surname))
@@ -166,42 +173,25 @@ def derived(kind: Column, canon: Column, gender: Column, family: Column, round_:
     )
 
 
-def ringed(left: DataFrame) -> DataFrame:
-    """left(kind, canon, ...): entities without a surrogate, when a form has no room left. Each
-    takes the next one's own form, by kind and length in order, the last the first one's. No
-    other surrogate is such a form, since none is an entity that occurs; so they stay distinct.
-    One that is alone in its kind and length gets an x for each letter and digit."""
-    ring = Window.partitionBy("kind", F.length("canon"))
-    following = F.coalesce(F.lead("canon").over(ring.orderBy("canon")), F.first("canon").over(ring.orderBy("canon")))
-    hidden = F.regexp_replace("canon", r"[\p{L}\p{N}]", "x")
-    return left.withColumn("surrogate", F.when(F.count(F.lit(1)).over(ring) > 1, following).otherwise(hidden))
-
-
-def assigned(entities: DataFrame, key: str = KEY, rounds: int | None = None) -> DataFrame:
+def assigned(entities: DataFrame, key: str, widen: int = WIDEN) -> DataFrame:
     """entities(kind, canon, gender, family), distinct by kind and canon, to (kind, canon,
-    surrogate) without collisions."""
-    rounds = ROUNDS if rounds is None else rounds
-    form = lambda round_: derived(F.col("kind"), F.col("canon"), F.col("gender"), F.col("family"), round_, key)
+    surrogate) without collisions. Rounds go on until none is left."""
+    form = lambda round_: derived(F.col("kind"), F.col("canon"), F.col("gender"), F.col("family"), round_, key, widen)
     columns = ["kind", "canon", "gender", "family"]
     settled = written(entities.select(*columns, F.lit(0).alias("round"), form(F.lit(0)).alias("surrogate")), "surrogates")
-    for turn in range(rounds + 1):
+    while True:
         uses = settled.select("kind", F.col("surrogate").alias("form"), F.col("canon").alias("owner")).unionByName(settled.select("kind", F.col("canon").alias("form"), F.lit(None).cast("string").alias("owner")))
         held = uses.groupBy("kind", "form").agg(F.min("owner").alias("first"), F.count("owner").alias("n"), F.count(F.lit(1)).alias("all"))
         bad = written(held.where("n > 1 OR (n = 1 AND all > 1)").select("kind", F.col("form").alias("surrogate"), F.when(F.col("all") > F.col("n"), F.lit(None).cast("string")).otherwise(F.col("first")).alias("keeps")), "collisions")
         if bad.limit(1).count() == 0:
-            break
+            return settled.select("kind", "canon", "surrogate")
         marked = settled.join(bad.withColumn("bad", F.lit(True)), ["kind", "surrogate"], "left")
         again = F.coalesce("bad", F.lit(False)) & ~F.col("canon").eqNullSafe(F.col("keeps"))
-        if turn == rounds:
-            marked = marked.withColumn("again", again)
-            fine = marked.where("NOT again").select("kind", "canon", "surrogate")
-            return written(fine.unionByName(ringed(marked.where("again").select("kind", "canon")).select("kind", "canon", "surrogate")), "surrogates")
         settled = marked.select(*columns, F.when(again, F.col("round") + 1).otherwise(F.col("round")).alias("round"), F.when(again, form(F.col("round") + 1)).otherwise(F.col("surrogate")).alias("surrogate"))
         settled = written(settled, "surrogates")
-    return settled.select("kind", "canon", "surrogate")
 
 
-def surrogates_of(entities: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates_of(entities: DataFrame, key: str) -> DataFrame:
     """entities(kind, canon, gender), distinct by kind and canon, to (kind, canon, surrogate).
     Family names are settled first; a whole name has its family name's surrogate in it."""
     family = F.substring_index("canon", " ", -1)
@@ -227,7 +217,8 @@ def in_format(kind: Column, match: Column, surrogate: Column, given: Column) ->
         digit = c.rlike("[0-9]")
         return F.struct((acc["at"] + digit.cast("int")).alias("at"), F.concat(acc["out"], F.when(digit, F.element_at(acc["digits"], acc["at"] + 1)).otherwise(c)).alias("out"), acc["digits"].alias("digits"))
 
-    filled = F.aggregate(chars, start, step, lambda acc: acc["out"])
+    rest = lambda acc: F.array_join(F.slice(acc["digits"], acc["at"] + 1, F.greatest(F.size(acc["digits"]) - acc["at"], F.lit(0))), "")
+    filled = F.aggregate(chars, start, step, lambda acc: F.concat(acc["out"], rest(acc)))
     named = F.concat(F.regexp_extract(match, rf"^({_TITLE} )", 1), F.when(given, F.substring_index(surrogate, " ", 1)).otherwise(surrogate))
     loud = match.rlike("[A-Z]") & ~match.rlike("[a-z]")
     return F.when(kind.isin("email", "ip"), F.when((kind == "email") & loud, F.upper(surrogate)).otherwise(surrogate)).when(kind.isin("name", "family"), named).otherwise(filled)
@@ -283,12 +274,13 @@ def marked_rows(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.when(F.col("parts").isNull(), F.col("marked")).otherwise(template).alias("template"), hits.alias("hits"))
 
 
-def surrogates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def surrogates(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_entities, text with surrogates.
 
     A text without entities stays as it is; a null text counts as empty. Rows that repeat an id
     are handled each. Ids may be null. An empty table gives an empty result. Other columns are
-    not read. Keep the key secret: with it, surrogates can be linked to guesses.
+    not read. Keep the key secret: with it, surrogates can be linked to guesses. A given name
+    that two people of a text share stands for the first of them in the text.
     """
     rows = marked_rows(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "marked")  # row numbers are fixed by the file
@@ -310,4 +302,5 @@ def surrogates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
 
 def op10_pii_surrogates(spark, sf_dir: str) -> DataFrame:
-    return surrogates(documents(spark, sf_dir))
+    """The key is the session's secret (KEY_SETTING); without one, a key of this call alone."""
+    return surrogates(documents(spark, sf_dir), spark.conf.get(KEY_SETTING, None) or token_hex(32))

@@ -131,7 +131,7 @@ def test_surrogates(spark, messy, pairs, empty):
         "Mrs. Jane Doe met Mr John Smith and Frau Müller; господин Иван Петров; Mrs. Jane Doe left.",
         "nothing here, 12.5 or 2020-01-01",
     ]
-    rows = {r.doc_id: r for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    rows = {r.doc_id: r for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
     assert rows[3].text == texts[3] and rows[3].n_entities == 0
     for secret in ("anna.b-1@", "ANNA", "555-0188", "555-0199", "4111 1111 1111 1111", "4111-1111-1111-1111", "10.2.3.4", "Jane Doe", "John Smith", "Müller", "Петров"):
         assert all(secret not in r.text for r in rows.values()), secret
@@ -146,13 +146,13 @@ def test_surrogates(spark, messy, pairs, empty):
     women = re.findall(r"Mrs\. (\w+) (\w+)", rows[2].text)
     assert women[0] == women[1] and women[0][0] in pii.GIVEN["latin"]["f"]
     assert re.search(r"Mr (\w+) ", rows[2].text)[1] in pii.GIVEN["latin"]["m"] and re.search(r"господин (\w+) ", rows[2].text)[1] in pii.GIVEN["cyrillic"]["m"]
-    assert pii.surrogates(messy).count() == len(pairs) and pii.surrogates(empty).count() == 0
-    again = {r.doc_id: r.text for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="other").collect()}
+    assert pii.surrogates(messy, "key").count() == len(pairs) and pii.surrogates(empty, "key").count() == 0
+    again = {r.doc_id: r.text for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "other").collect()}
     assert again[0] != rows[0].text
 
 
 def replaced(spark, texts):
-    return [r.text for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    return [r.text for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
 
 
 def test_entities_inside_a_long_run_of_digits(spark):
@@ -183,7 +183,7 @@ def test_usual_forms_of_phones_and_names(spark):
 def test_surrogates_are_distinct_and_collide_with_nothing(spark):
     """A narrow form (four free digits) forces collisions in the first rounds."""
     canon = [f"{i:04d}" for i in range(0, 3000)]
-    got = pii.assigned(entities_of(spark, canon)).collect()
+    got = pii.assigned(entities_of(spark, canon), "key").collect()
     made = [r.surrogate for r in got]
     assert len(set(made)) == len(made) == 3000 and not set(made) & set(canon)
 
@@ -194,8 +194,20 @@ def entities_of(spark, canon):
 
 def test_a_form_that_is_full_still_gets_distinct_surrogates(spark):
     for canon in ([f"{i:02d}" for i in range(100)], [f"{i:02d}" for i in range(99)], ["7"]):
-        got = {r.canon: r.surrogate for r in pii.assigned(entities_of(spark, canon), rounds=2).collect()}
-        assert len(got) == len(set(got.values())) == len(canon) and all(k != v for k, v in got.items())
+        got = {r.canon: r.surrogate for r in pii.assigned(entities_of(spark, canon), "key", widen=2).collect()}
+        assert len(got) == len(set(got.values())) == len(canon) and not set(got.values()) & set(canon)
+
+
+def test_forms_that_grow_stay_whole_in_a_text(spark):
+    """A longer surrogate's further digits stand behind those of the mention."""
+    rows = spark.createDataFrame([("phone", "555-01", "987654321"), ("ssn", "123-45-6789", "9876543210"), ("ip", "1.2.3.4", "9.9.9.9.71")], "kind string, text string, made string")
+    got = [r[0] for r in rows.select(pii.in_format(F.col("kind"), F.col("text"), F.col("made"), F.lit(False))).collect()]
+    assert got == ["987-654321", "987-65-43210", "9.9.9.9.71"]
+
+
+def test_the_query_takes_the_sessions_key(spark):
+    known = spark.createDataFrame([(1, "Mail a.b@mail.org")], "doc_id long, text string")
+    assert pii.surrogates(known, "k1").first().text == pii.surrogates(known, "k1").first().text != pii.surrogates(known, "k2").first().text
 
 
 def test_mentions_of_a_person_stay_one_person(spark):
@@ -217,7 +229,7 @@ def test_surrogates_against_brute_force(spark):
     make = [lambda: f"u{rng.randrange(99)}.x@m{rng.randrange(9)}.org", lambda: f"{rng.randrange(1, 255)}.{rng.randrange(255)}.3.4", lambda: f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", lambda: f"+1 (212) 555-{rng.randrange(1000, 9999)}"]
     for i in range(60):
         texts.append(" | ".join(rng.choice(make)() if rng.random() < 0.3 else rng.choice(["word", "12.5", "the\n", "naïve,"]) for _ in range(rng.choice([0, 5, 40, 1000 if i == 7 else 60]))))
-    rows = pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    rows = pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()
     pattern, known = regex.compile(pii.ENTITY), {}
     for r in rows:
         old = texts[r.doc_id]
