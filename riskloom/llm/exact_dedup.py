@@ -8,7 +8,8 @@ The rows of one text meet in three stages, each of which compares whole texts:
 3. the winners of the salts (at most `salts` rows for a digest) meet in one window, where the
    smallest and largest text must be the same.
 
-The rows then learn their group through a join on digest and salt, which carries no text.
+The rows then learn their group through a join on digest and salt, which carries no text. Rows
+without an id have a salt of their own there, each dealt to one of SPREAD copies of it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import SPACE_CLASS, documents, salt_of, text_of
 
 SALTS = 16
+#: Copies of the group that rows without an id look up.
+SPREAD = 64
 
 
 def normalised(text: str = "text") -> Column:
@@ -36,7 +39,7 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Other columns are not read.
     """
     rows = df.select(F.col(id_col).alias("id"), normalised(text_col).alias("body"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("body", 256))).withColumn("salt", salt_of(salts, "id"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("body", 256))).withColumn("salt", F.when(F.col("id").isNull(), -1).otherwise(salt_of(salts, "id")))
     winners = rows.groupBy("digest", "salt", "body").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     group = Window.partitionBy("digest")
     same = F.min("body").over(group) == F.max("body").over(group)
@@ -46,7 +49,11 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.min("id").over(group).alias("keep_id"),
         F.when(same, F.sum("n").over(group)).otherwise(F.raise_error(F.lit("different texts have one digest")).cast("long")).alias("group_size"),
     )
-    return rows.select("id", "digest", "salt").join(found, ["digest", "salt"]).select(
+    # Any copy will do for a row without an id, so its number need not be the same in every attempt.
+    dealt = F.when(F.col("salt") < 0, -1 - F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")).otherwise(F.col("salt"))
+    copies = F.explode(F.when(F.col("salt") < 0, F.sequence(F.lit(-SPREAD), F.lit(-1))).otherwise(F.array("salt")))
+    rows = rows.select("id", "digest", dealt.alias("salt"))
+    return rows.join(found.withColumn("salt", copies), ["digest", "salt"]).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",

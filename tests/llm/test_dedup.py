@@ -31,6 +31,15 @@ def test_exact_groups(messy, pairs):
     assert collected(exact_dedup.duplicate_groups(messy, salts=1)) == want
 
 
+def test_many_null_ids_are_spread(spark):
+    """10,000 rows without id and with one text: the lookup's keys share them out."""
+    df = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    got = exact_dedup.duplicate_groups(df)
+    assert got.groupBy("keep_id", "group_size", "kept").count().collect()[0]["count"] == 10_000
+    salts = df.select(F.pmod(F.monotonically_increasing_id(), F.lit(exact_dedup.SPREAD)).alias("s")).groupBy("s").count()
+    assert salts.count() == exact_dedup.SPREAD and salts.agg(F.max("count")).first()[0] < 2 * 10_000 / exact_dedup.SPREAD
+
+
 def test_exact_rows(messy, pairs, empty):
     kept = exact_dedup.drop_duplicates(messy)
     assert kept.columns == messy.columns
