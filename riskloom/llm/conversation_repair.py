@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ RULES = (("C", ""), ("C", "sQ"), ("C", "uB"), ("Q", "uB"), ("B", "aE"), ("E", ""
 GIVEN = {"u": "user", "a": "assistant"}
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Item:
     """A dotted rule in a column. cost and (rank, since) order all ways to the items of one
     column: rank is that of the audit up to the last row read, since the letters after it. No
@@ -116,6 +117,15 @@ def repair(rows: Iterable[tuple[str, str | None]]) -> tuple[int, list[tuple[str,
     return best.cost, edits[::-1]
 
 
+#: Conversations of so many rows at most are parsed once for all of the same initials and faults.
+SHORT = 32
+
+
+@lru_cache(maxsize=1 << 16)
+def _known(shape: tuple) -> tuple[int, list[tuple[str, str | None]]]:
+    return repair(shape)
+
+
 def faults_of(rows: list[tuple[str, str]]) -> list[str | None]:
     """The first fault of each (role, text)."""
     out, seen = [], set()
@@ -133,7 +143,8 @@ def report(rows: list[tuple[int | None, str, str]]) -> tuple:
     said = [r[1:] for r in rows]
     faults = faults_of(said)
     initials = [role[:1] for role, _ in said]
-    cost, edits = repair(zip(initials, faults, strict=True))
+    shape = tuple(zip(initials, faults, strict=True))
+    cost, edits = _known(shape) if len(shape) <= SHORT else repair(shape)
     left, lines = iter(said), []
     for letter, given in edits:
         role, text = ("", "") if letter == "I" else next(left)
