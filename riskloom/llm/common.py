@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -61,10 +62,12 @@ def salted_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, spre
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a
-    temporary folder where that is unset (local mode and tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or in local
+    mode (tests) a temporary folder where that is unset. A cluster must name one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         set_by_us = spark.conf.get("riskloom.shared.dir", None)
         if set_by_us:
             return set_by_us
