@@ -177,10 +177,11 @@ def coverage_table(observations: DataFrame, experiment_id: str) -> DataFrame:
 
 
 def paired_differences(observations: DataFrame, benchmark: str) -> DataFrame:
-    """Candidate score less benchmark score on the dates that both have (pair by pair)."""
-    on = [*KEY, "period", "metric"]
-    base = observations.where(F.col("model_id") == benchmark).select(*on, F.col("score").alias("benchmark_score"))
-    rows = observations.where(F.col("model_id").isin(*m.CANDIDATES)).join(base, on)
+    """Candidate score less benchmark score on the dates that both have (pair by pair). The
+    models of one date meet in one window, so the observations are dealt out once."""
+    date_ = Window.partitionBy(*KEY, "period", "metric")
+    base = F.max(F.when(F.col("model_id") == benchmark, F.col("score"))).over(date_)
+    rows = observations.withColumn("benchmark_score", base).where(F.col("model_id").isin(*m.CANDIDATES) & F.col("benchmark_score").isNotNull())
     return rows.select("period", "model_id", F.lit(benchmark).alias("benchmark_model_id"), "metric", *KEY, (F.col("score") - F.col("benchmark_score")).alias("difference"))
 
 
@@ -192,10 +193,33 @@ def direction(mean: Column) -> Column:
     return F.when(mean.isNull(), "unavailable").when(mean < 0, "candidate_better").when(mean > 0, "benchmark_better").otherwise("tie")
 
 
+#: Accuracy of the sketch that brackets a median: one rank in so many.
+SKETCH = 10_000
+
+
+def exact_medians(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, n, mean, median): exact medians without a buffer of all values. A mergeable sketch
+    gives two values that hold the middle ranks between them, some n / SKETCH ranks apart; then
+    those between are counted by value and those below by number. Keys are few: the brackets
+    are broadcast."""
+    x, off = F.col(column), 2 / SKETCH
+    told = rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile_approx(x, [0.5 - off, 0.5 + off], SKETCH).alias("between"))
+    told = F.broadcast(told)  # the same table both times, so it is made once
+    placed = rows.join(told, keys).where(x <= F.col("between")[1])
+    counts = placed.groupBy(*keys, F.when(x >= F.col("between")[0], x).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first()))
+    ranked = counts.withColumn("upto", upto).join(told, keys)
+    holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
+    middle = [F.max(F.when(holds(F.expr(e)), F.col("value"))) for e in ("(n - 1) div 2", "n div 2")]
+    return ranked.groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), ((middle[0] + middle[1]) / 2).alias("median"))
+
+
 def point_estimates(pairs: DataFrame) -> DataFrame:
     """Count, mean, median and direction of the differences, by series and pooled."""
-    out = with_all(pairs, ["period", "model_id", "benchmark_model_id", "metric"], [F.count(F.lit(1)).alias("paired_count"), F.avg("difference").alias("value"), F.median("difference").alias("median_difference")])
-    return out.withColumn("effect_direction", direction(F.col("value")))
+    keys = ["period", "model_id", "benchmark_model_id", "metric"]
+    single = pairs.groupBy("series_id", *keys).agg(F.count(F.lit(1)).alias("paired_count"), F.avg("difference").alias("value"), F.median("difference").alias("median_difference"))
+    pooled = exact_medians(pairs, keys, "difference").select(F.lit(ALL).alias("series_id"), *keys, F.col("n").alias("paired_count"), F.col("mean").alias("value"), F.col("median").alias("median_difference"))
+    return single.unionByName(pooled).withColumn("effect_direction", direction(F.col("value")))
 
 
 def resampled_sums(values: np.ndarray, block: int, resamples: int, rng: np.random.Generator) -> np.ndarray:

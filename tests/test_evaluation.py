@@ -3,13 +3,15 @@ from dataclasses import replace
 from datetime import date, datetime
 
 import numpy as np
+import pandas as pd
 import pytest
+from helpers import business_days
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.errors import BY_CODE
 from riskloom.functions import ids, scoring
-from riskloom.operators import evaluation, reporting
+from riskloom.operators import evaluation, panel, reporting
 from riskloom.plans.panels import PROFILE
 
 CONFIG = replace(PROFILE, evaluation=replace(PROFILE.evaluation, bootstrap_block_length=2, bootstrap_resamples=100), periods=replace(PROFILE.periods, test_start=date(2020, 1, 1), test_end=date(2020, 12, 31)))
@@ -177,3 +179,98 @@ def test_overlapping_periods(spark):
     df = spark.createDataFrame([("test", date(2020, 1, 1)), ("validation", date(2020, 1, 1))], "period string, target_date date")
     with pytest.raises(BY_CODE["ARTIFACT_RECONCILIATION_FAILED"]):
         reporting.period_context(df)
+
+
+def test_pooled_medians_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    groups = {"many": rng.standard_cauchy(60_000), "ties": rng.integers(0, 3, 30_001).astype(float), "two": np.array([1.0, 4.0]), "one": np.array([-2.5]), "same": np.zeros(9)}
+    rows = spark.createDataFrame(pd.DataFrame([(k, x) for k, v in groups.items() for x in v], columns=["k", "x"])).repartition(7)
+    got = {r.k: r for r in evaluation.exact_medians(rows, ["k"], "x").collect()}
+    assert set(got) == set(groups)
+    assert all(got[k].median == np.median(v) and got[k].n == len(v) and math.isclose(got[k].mean, v.mean(), rel_tol=1e-9, abs_tol=1e-12) for k, v in groups.items())
+
+
+def by_hand(flags):
+    """Counts of a sequence of exceptions."""
+    pairs = list(zip(flags, flags[1:], strict=False))
+    runs = "".join(map(str, flags)).split("0")
+    return (len(flags), sum(flags), *[pairs.count((i, j)) for i in (0, 1) for j in (0, 1)], max(map(len, runs)))
+
+
+def test_exceptions_over_many_stretches(spark):
+    """Runs that cross the borders of stretches, series of every kind."""
+    rng = np.random.default_rng(5)
+    days = business_days(date(1990, 1, 1), 2000)
+    series = {"none": [0] * 2000, "all": [1] * 2000, "long": [0] * 100 + [1] * 900 + [0] * 1000, "one": [1], "mixed": rng.integers(0, 2, 2000).tolist(), "rare": (rng.random(1500) < 0.03).astype(int).tolist()}
+    rows = [(k, d, bool(x)) for k, v in series.items() for d, x in zip(days, v, strict=False)]
+    df = spark.createDataFrame(rows, "k string, target_date date, exception boolean").repartition(6)
+    got = {r.k: tuple(r)[1:] for r in evaluation.exception_counts(df, ["k"]).collect()}
+    assert got == {k: by_hand(v) for k, v in series.items()}
+
+
+def test_block_sums_equal_the_blocks(spark):
+    values = np.random.default_rng(1).normal(size=57)
+    for block in (1, 5, 20, 57, 90):
+        got = evaluation.resampled_sums(values, block, 40, np.random.default_rng(7))
+        b = min(block, 57)
+        starts = np.random.default_rng(7).integers(0, 57 - b + 1, size=(40, math.ceil(57 / b)))
+        want = [np.concatenate([values[s : s + b] for s in row])[:57].sum() for row in starts]
+        assert np.allclose(got, want, rtol=1e-12, atol=1e-12)
+
+
+def test_draws_do_not_depend_on_how_many_are_drawn_at_once(monkeypatch):
+    whole = np.concatenate(list(evaluation.drawn_starts(1000, 7, 300, np.random.default_rng(3))))
+    monkeypatch.setattr(evaluation, "DRAWN", 999)
+    assert (np.concatenate(list(evaluation.drawn_starts(1000, 7, 300, np.random.default_rng(3)))) == whole).all()
+
+
+def test_figures_show_every_extreme(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, int(x), float(rng.normal())) for s in "AB" for x in range(1000, 4000)]
+    df = spark.createDataFrame(rows, "s string, x int, y double")
+    got = reporting.pixel_columns(df, ["s"], 50).collect()
+    assert len(got) <= 2 * 4 * 50
+    for s in "AB":
+        own, shown = [r[1:] for r in rows if r[0] == s], {(r.x, r.y) for r in got if r.s == s}
+        for c in range(50):
+            column = [p for p in own if (p[0] - 1000) * 50 // 3000 == c]
+            assert {min(column), max(column), min(column, key=lambda p: p[1]), max(column, key=lambda p: p[1])} <= shown
+
+
+def test_a_proxy_of_many_series(spark):
+    """Five hundred series; one date lacks one of them."""
+    rng = np.random.default_rng(4)
+    names, days = [f"s{i}" for i in range(500)], business_days(date(2020, 1, 1), 4)
+    values = rng.normal(0, 0.01, (4, 500))
+    rows = [(k, i, d, t, float(values[t, i])) for t, d in enumerate(days) for i, k in enumerate(names) if (t, i) != (2, 7)]
+    df = spark.createDataFrame(rows, "series_id string, series_pos int, date date, pos int, simple_return double")
+    weights = dict.fromkeys(names, 1 / 500)
+    got = {r.date: r for r in panel.with_long_proxy(df, weights, "MIX").where("series_id = 'MIX'").collect()}
+    assert [days.index(d) for d in sorted(got)] == [0, 1, 3] and [got[d].pos for d in sorted(got)] == [0, 1, 2]
+    for t in (0, 1, 3):
+        total = 0.0
+        for i in range(500):
+            total = total + values[t, i] * weights[names[i]]
+        assert got[days[t]].simple_return == total and got[days[t]].series_pos == 500
+    with pytest.raises(BY_CODE["CONFIG_INVALID"]):
+        panel.with_long_proxy(df, {"s0": 0.5}, "MIX")
+
+
+@pytest.mark.parametrize(
+    ("table", "change", "fault"),
+    [
+        ("forecast_availability", lambda t: t.withColumn("value", F.when(F.col("metric") == "failed_forecast_count", F.col("value") + 1).otherwise(F.col("value"))), "counts do not add up"),
+        ("bootstrap_comparisons", lambda t: t.withColumn("observation_count", F.col("observation_count") + 1), "a comparison counts other observations than pairs"),
+        ("coverage_tests", lambda t: t.withColumn("period", F.lit("development")), "a period is neither validation nor test"),
+        ("period_breakdowns", lambda t: t.withColumn("period", F.lit("test_1900")), "a breakdown is of no declared year"),
+    ],
+)
+def test_each_gate_names_its_fault(tables, table, change, fault):
+    years = evaluation.test_years(CONFIG)
+    reporting.check_reconciled(tables, years)
+    off = tables | {table: change(tables[table])}
+    assert fault in {r.fault for r in reporting.reconciliation(off, years).collect()}
+    with pytest.raises(BY_CODE["ARTIFACT_RECONCILIATION_FAILED"], match=fault):
+        reporting.check_reconciled(off, years)
+    with pytest.raises(BY_CODE["WINDOW_ALIGNMENT_ERROR"]):
+        reporting.check_reconciled(tables | {table: tables[table].drop("period")}, years)

@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import subprocess
 import sys
@@ -219,3 +220,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["run", "--config", str(path)]) == 2
     assert capsys.readouterr().err.startswith("CONFIG_INVALID: ")
     assert issubclass(BY_CODE["CONFIG_INVALID"], RiskError)
+
+
+def test_requirements_and_the_dataset_manifest(spark, tmp_path):
+    write_run(tmp_path)
+    config = build_config(config_raw(tmp_path))
+    needs = run.coverage_requirements(config)
+    assert (needs.least_common_dates, needs.largest_window) == (62, 60) and needs.first_date_not_after == config.periods.development_end
+    loaded = run.load_run(spark, config)
+    data = run.build_dataset(loaded, config)
+    path = run.write_dataset_manifest(data, tmp_path / "dataset.json")
+    assert json.loads((tmp_path / "dataset.json").read_text()) == data.manifest and path.name == "dataset.json"
+    assert data.manifest["observation_count"] * 3 == data.panel.count()
+    with pytest.raises(BY_CODE["OUTPUT_COLLISION"]):
+        run.write_dataset_manifest(data, tmp_path / "dataset.json")
+    with pytest.raises(BY_CODE["UPSTREAM_QUALITY_GATE_FAILED"]):
+        run.load_run(spark, config, coverage=dataclasses.replace(needs, least_common_dates=10_000))
