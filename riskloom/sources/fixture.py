@@ -11,9 +11,13 @@ SHAPES = {"SPY": (1, 17, 8, 1000.0), "IEF": (3, 19, 9, 2000.0), "GLD": (5, 23, 1
 PROXY, WEIGHTS = "FIXTURE_PROXY", {"SPY": 0.60, "IEF": 0.30, "GLD": 0.10}
 
 
+def shaped(rows: DataFrame, position: str) -> DataFrame:
+    """The rows with a column of returns per instrument, from their position on the calendar."""
+    return rows.withColumns({k: (F.pmod(F.col(position) * f, F.lit(m)) - s) / d for k, (f, m, s, d) in SHAPES.items()})
+
+
 def returns(spark: SparkSession) -> DataFrame:
     """date and a column per instrument; the first business day has a price but no return."""
     days = spark.sql(f"SELECT explode(sequence(date'{FIRST_PRICE}', date'{LAST}')) AS date").where("weekday(date) < 5")
     rows = days.withColumn("p", F.row_number().over(Window.orderBy("date")) - 2).where("p >= 0")  # a few thousand days
-    shaped = [((F.pmod(F.col("p") * f, F.lit(m)) - s) / d).alias(k) for k, (f, m, s, d) in SHAPES.items()]
-    return rows.select("date", *shaped)
+    return shaped(rows, "p").select("date", *SHAPES)
