@@ -190,6 +190,8 @@ PAGES = {
     "<article><table><tr><td>a<td>b<tr><td>c</table><ul><li>d<li>e</ul></article": "a b c d e",
     "<article><p>1 &lt; 2 &amp; &#x41;&#66; &unknown; &am": "1 < 2 & AB &unknown; &am",
     "<article><p>a < b and c<d>e</d></p></article><p title=\"unclosed>x": "a < b and ce",
+    "<ARTICLE CLASS='post commentary'><P>Upper<OL id=commentlist><LI>So true</OL><aside>x</aside><div class='newsletterBox'>y</div><p>case</ARTICLE><div class=article-comments><article>z</article></div>": "Upper case",
+    "<article>a<![CDATA[b]]><p/>c<br/>d<svg/><svg><text>no</text></svg><img alt='>'>e<hr>f</p>g": "a c d e f g",
     "no markup at all": "no markup at all",
     "<script>only": "",
     "": "",
