@@ -202,7 +202,7 @@ def exact_medians(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     gives two values that hold the middle ranks between them, some n / SKETCH ranks apart; then
     those between are counted by value and those below by number. Keys are few: the brackets
     are broadcast."""
-    x, off = F.col(column), 2 / SKETCH
+    x, off = F.col(column), 5 / SKETCH
     told = rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile_approx(x, [0.5 - off, 0.5 + off], SKETCH).alias("between"))
     told = F.broadcast(told)  # the same table both times, so it is made once
     placed = rows.join(told, keys).where(x <= F.col("between")[1])
@@ -211,7 +211,8 @@ def exact_medians(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     ranked = counts.withColumn("upto", upto).join(told, keys)
     holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
     middle = [F.max(F.when(holds(F.expr(e)), F.col("value"))) for e in ("(n - 1) div 2", "n div 2")]
-    return ranked.groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), ((middle[0] + middle[1]) / 2).alias("median"))
+    found = ranked.groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), ((middle[0] + middle[1]) / 2).alias("median"))
+    return found.withColumn("median", F.coalesce("median", F.raise_error(F.lit("a bracket misses its median")).cast("double")))
 
 
 def point_estimates(pairs: DataFrame) -> DataFrame:
