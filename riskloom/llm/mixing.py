@@ -7,8 +7,11 @@ to that subtree's siblings. All amounts are integers. A leaf with T tokens and b
 A div T whole epochs, and of the next epoch the documents whose running token count, in that
 epoch's seeded order, stays within the rest.
 
-The running count is taken in buckets of the order (the leading hex digits of the order's
-hash), so a leaf that holds a third of all rows is spread over BUCKETS tasks.
+Only numbers move. A row's place in the order is a hash of its id; token sums of buckets of that
+hash (its leading hex digits, as many as the leaf's size asks for) tell in which bucket the
+budget ends, and the rows of that one bucket are sorted for the last place that is taken. The
+whole rows then compare their own places with their leaf's last one: texts are read twice and
+neither shuffled nor sorted, whatever a leaf holds.
 """
 
 from __future__ import annotations
@@ -29,7 +32,10 @@ SOURCE = 1
 SHARE_PERCENT = 80
 EPOCHS = 2
 SEED = 17
-DIGITS = 2  # 256 buckets
+#: A leaf's order is cut into buckets of about so many rows or fewer, by leading hex digits.
+BUCKET_ROWS = 4096
+#: The plan (a row a leaf) is broadcast up to so many leaves; beyond them leaves are salted.
+BROADCAST_LEAVES = 20_000
 SALTS = 64
 _LEAF = ["domain", "language", "origin"]
 
@@ -95,39 +101,60 @@ def budgets(leaves: DataFrame, percent: int, epochs: int, targets: Targets | Non
     return _dealt(lowest, ["domain", "language"], "origin").select(*_LEAF, "tokens", F.col("share").alias("budget"))
 
 
+def _planned(rows: DataFrame, plan: DataFrame, few: bool, seed: int, prefix: str = "") -> DataFrame:
+    """rows with the plan of their leaf, their spot in its order and the spot's bucket; all
+    names, the plan's too, begin with the prefix."""
+    at = lambda c: f"{prefix}{c}"
+    plan, leaf = plan.select(*[F.col(c).alias(at(c)) for c in plan.columns]), [at(c) for c in _LEAF]
+    if few:
+        rows = rows.join(F.broadcast(plan), leaf)
+    else:
+        salted = rows.withColumn(at("salt"), salt_of(SALTS, at("unit"), at("print")))
+        rows = salted.join(plan.withColumn(at("salt"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*leaf, at("salt")])
+    spot = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(at("whole")).cast("string"), F.col(at("unit"))).cast("binary"))
+    return rows.withColumn(at("spot"), spot).withColumn(at("bucket"), F.substring(at("spot"), F.lit(1), F.col(at("digits"))))
+
+
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", percent: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED, prefix: str = "mix_", targets: Targets | None = None, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
     """The selected rows of df, each once, with mix_domain, mix_tokens, mix_copies (epochs in
     which it is taken), mix_leaf_tokens and mix_leaf_budget.
 
     Null languages and sources form leaves of their own, named unknown. Rows without tokens
-    (empty or null texts) are never selected. Rows that repeat an id are rows of their own,
-    next to each other in the order (by text). Ids may be null. An empty table gives an empty
-    result. All columns of df pass through as they are; if one of them begins with the prefix,
+    (empty or null texts) are never selected. Rows that repeat an id with other texts are rows
+    of their own, next to each other in the order (by a hash of the text). Rows equal in id and
+    text are taken together: in the last epoch all of them or none. Rows with a null id are
+    ordered by a hash of their texts. An empty table gives an empty result. All columns of df pass through as they are; if one of them begins with the prefix,
     underscores are put before the prefix until none does. `targets` are the weights of the
     tree, `domain` makes the domain from a source's name.
     """
     prefix = free_name(df, prefix)
+    at = lambda c: f"{prefix}{c}"
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    key = {f"{prefix}domain": domain(named(source_col)), f"{prefix}language": named(lang_col), f"{prefix}origin": named(source_col), f"{prefix}tokens": token_count(F.col(text_col))}
-    leaf = [f"{prefix}{c}" for c in _LEAF]
-    rows = df.withColumns(key).where(F.col(f"{prefix}tokens") > 0).withColumn(f"{prefix}salt", salt_of(SALTS, F.col(id_col)))
-    narrow = written(rows.select(*[F.col(c).alias(c.removeprefix(prefix)) for c in leaf], F.col(f"{prefix}tokens").alias("tokens"), F.col(f"{prefix}salt").alias("salt"), F.col(id_col).cast("string").alias("id")), "narrow")
-    leaves = written(narrow.groupBy(*_LEAF).agg(F.sum("tokens").alias("tokens")), "leaves")
-    dealt = written(budgets(leaves, percent, epochs, targets), "budgets")
-    # Every key is salted on both sides, so no leaf is one key of a join.
-    plan = dealt.select(*_LEAF, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("tokens").alias("leaf_tokens"), F.col("budget").alias("leaf_budget"), F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest"))
-    spot = lambda id_, whole: F.md5(F.concat_ws("|", F.lit(str(seed)), whole.cast("string"), F.coalesce(id_, F.lit(""))).cast("binary"))
-    counted = narrow.join(plan, [*_LEAF, "salt"]).withColumn("bucket", F.substring(spot(F.col("id"), F.col("whole")), 1, DIGITS)).groupBy(*_LEAF, "bucket").agg(F.sum("tokens").alias("sum"))
+    text = F.col(text_col).cast("string")
+    unit = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("|"), F.xxhash64(text).cast("string")))
+    rows = df.withColumns({at("domain"): domain(named(source_col)), at("language"): named(lang_col), at("origin"): named(source_col), at("tokens"): token_count(text), at("unit"): unit, at("print"): F.xxhash64(text)}).where(F.col(at("tokens")) > 0)
+    narrow = written(rows.select(*[F.col(at(c)).alias(c) for c in (*_LEAF, "tokens", "unit", "print")]), "narrow")
+    leaves = written(narrow.groupBy(*_LEAF).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "leaves")
+    few = leaves.count() <= BROADCAST_LEAVES
+
+    plan = budgets(leaves, percent, epochs, targets).join(leaves.select(*_LEAF, "rows"), _LEAF)
+    digits = F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("rows") / BUCKET_ROWS))).cast("int")
+    plan = written(plan.select(*_LEAF, F.col("tokens").alias("leaf_tokens"), F.col("budget").alias("leaf_budget"), F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest"), digits.alias("digits")), "plan")
+    # In a leaf's order of spots one bucket holds the end of the budget; only its rows are sorted.
+    sums = _planned(narrow, plan, few, seed).groupBy(*_LEAF, "rest", "bucket").agg(F.sum("tokens").alias("sum"))
     ahead = Window.partitionBy(*_LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counted.select(*_LEAF, "bucket", F.coalesce(F.sum("sum").over(ahead), F.lit(0).cast("long")).alias("base"))
-    base = written(base, "buckets").select(*[F.col(c).alias(f"{prefix}{c}") for c in [*_LEAF, "bucket", "base"]])
-    plan = plan.select(*[F.col(c).alias(f"{prefix}{c}") for c in plan.columns])
-    placed = rows.join(plan, [*leaf, f"{prefix}salt"]).withColumn(f"{prefix}spot", spot(F.col(id_col).cast("string"), F.col(f"{prefix}whole")))
-    placed = placed.withColumn(f"{prefix}bucket", F.substring(f"{prefix}spot", 1, DIGITS)).join(base, [*leaf, f"{prefix}bucket"])
-    order = Window.partitionBy(*leaf, f"{prefix}bucket").orderBy(f"{prefix}spot", id_col, text_col).rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.col(f"{prefix}base") + F.sum(f"{prefix}tokens").over(order)
-    copies = F.col(f"{prefix}whole") + (reach <= F.col(f"{prefix}rest")).cast("long")
-    return placed.withColumn(f"{prefix}copies", copies).where(F.col(f"{prefix}copies") > 0).select(*df.columns, *[f"{prefix}{c}" for c in ("domain", "tokens", "copies", "leaf_tokens", "leaf_budget")])
+    ends = sums.withColumn("base", F.coalesce(F.sum("sum").over(ahead), F.lit(0).cast("long"))).where("base <= rest AND rest < base + sum")
+    plan = written(plan.join(ends.select(*_LEAF, F.col("bucket").alias("end"), "base"), _LEAF), "ends")
+    units = _planned(narrow, plan, few, seed).where("bucket = end").groupBy(*_LEAF, "base", "rest", "spot", "unit", "print").agg(F.sum("tokens").alias("sum"))
+    upto = Window.partitionBy(*_LEAF).orderBy("spot", "unit", "print").rowsBetween(Window.unboundedPreceding, 0)
+    last = units.withColumn("reach", F.col("base") + F.sum("sum").over(upto)).where("reach <= rest").groupBy(*_LEAF).agg(F.max(F.struct("spot", "unit", "print")).alias("last"))
+    plan = written(plan.join(last, _LEAF, "left").drop("base", "rest"), "cuts")
+
+    placed = _planned(rows, plan, few, seed, prefix)
+    spot = F.struct(F.col(at("spot")).alias("spot"), F.col(at("unit")).alias("unit"), F.col(at("print")).alias("print"))
+    taken = (F.col(at("bucket")) < F.col(at("end"))) | F.coalesce(spot <= F.col(at("last")), F.lit(False))
+    placed = placed.withColumn(at("copies"), F.col(at("whole")) + taken.cast("long")).where(F.col(at("copies")) > 0)
+    return placed.select(*df.columns, *[at(c) for c in ("domain", "tokens", "copies", "leaf_tokens", "leaf_budget")])
 
 
 def epochs_of(df: DataFrame, **options) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 import re
+from collections import Counter
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -61,6 +63,50 @@ def test_mixing(messy, pairs, empty):
     assert mixing.mixed(empty).count() == 0 == mixing.epochs_of(empty).count()
 
 
+@pytest.mark.parametrize(("leaves", "bucket"), [(20_000, 4096), (0, 2)])
+def test_mixing_against_brute_force(spark, monkeypatch, leaves, bucket):
+    """Null and repeated ids, repeated rows, one leaf with most rows; both ways of the join."""
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", leaves)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
+    rng = random.Random(bucket)
+    rows = [(rng.choice([None, i, i, i, i % 7]), "w " * rng.randrange(1, 30) + str(rng.randrange(40)), rng.choice(["en", "en", None]), rng.choice(["s1", "s1", "s1", "s2", "s3", None])) for i in range(600)]
+    rows += rows[:50] * 2 + [(None, "a hot text", "en", "s1")] * 90
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
+    prints = {r.text: r.p for r in df.select("text", F.xxhash64("text").alias("p")).distinct().collect()}
+    got = Counter()
+    for r in mixing.mixed(df).collect():
+        got[r.doc_id, r.text, r.lang, r.source, r.mix_copies] += 1
+
+    domain = {"s1": "forum", "s2": "reference", "s3": "web", None: "other"}
+    by_leaf: dict[tuple, list] = {}
+    for r in rows:
+        by_leaf.setdefault((domain[r[3]], r[2] or "unknown", r[3] or "unknown"), []).append(r)
+    sizes = {k: sum(len(r[1].split()) for r in v) for k, v in by_leaf.items()}
+    want = Counter()
+    for key, budget in tree_by_hand(sizes, mixing.SHARE_PERCENT, mixing.EPOCHS).items():
+        whole, rest = divmod(budget, sizes[key])
+        place = lambda r: (lambda unit: (md5(f"{mixing.SEED}|{whole}|{unit}".encode()).hexdigest(), unit, prints[r[1]]))(f"|{prints[r[1]]}" if r[0] is None else str(r[0]))  # noqa: B023, E731
+        units: dict[tuple, list] = {}
+        for r in by_leaf[key]:
+            units.setdefault(place(r), []).append(r)
+        reach = 0
+        for at in sorted(units):
+            reach += sum(len(r[1].split()) for r in units[at])
+            copies = whole + (reach <= rest)
+            for r in units[at]:
+                want[(*r, copies)] += copies > 0
+    assert got == +want and len({k[4] for k in got}) == 2
+
+
+def test_mixing_moves_no_text(spark):
+    """Rows keep the partitions they came in, those without ids too: no shuffle of texts."""
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit("s1").alias("source"))
+    out = mixing.mixed(df)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert len(sizes) == df.rdd.getNumPartitions() and max(sizes) < 2 * min(sizes)
+
+
 def quality_rows(n=900):
     rng = random.Random(8)
     words = [f"{a}{b}" for a in ("ba", "re", "li", "mo", "tu", "se") for b in ("n", "rk", "st", "la", "", "ming")]
