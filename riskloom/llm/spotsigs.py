@@ -146,11 +146,13 @@ def similar_classes(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
     keyed = ranked.select("class", "n", part.alias("part"), F.explode(F.slice("heads", F.lit(1), keep)).alias("x")).select("class", "n", "part", "x.head", "x.df").where("df > 1")
     blocks = F.expr(f"(df + {BLOCK - 1}) div {BLOCK}").cast("int")
     keyed = written(keyed.withColumn("blocks", blocks), "keyed")
-    # The longer set lies in one block of its signature; the shorter one asks all of them.
-    right = keyed.select(F.col("class").alias("class_b"), F.col("n").alias("nb"), "head", "part", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"))
-    left = keyed.select(F.col("class").alias("class_a"), F.col("n").alias("na"), "head", F.explode(F.array("part", F.col("part") + 1)).alias("part"), "blocks")
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    met = left.join(right, ["part", "head", "block"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("class_a") < F.col("class_b"))))
+    # Both sides of a signature are cut: a set lies in one block of its side and goes to each
+    # block of the other side, so a task's key holds about BLOCK sets of either side.
+    own, other = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    right = keyed.select(F.col("class").alias("class_b"), F.col("n").alias("nb"), "head", "part", own.alias("block"), other.alias("side"))
+    left = keyed.select(F.col("class").alias("class_a"), F.col("n").alias("na"), "head", F.explode(F.array("part", F.col("part") + 1)).alias("part"), own.alias("side"), "blocks")
+    left = left.select("class_a", "na", "head", "part", "side", other.alias("block"))
+    met = left.join(right, ["part", "head", "block", "side"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("class_a") < F.col("class_b"))))
     met = met.where(F.col("na") >= F.col("nb") * threshold - 1e-9).select("class_a", "class_b").distinct()
     whole = sets.select("class", "s")
     both = met.join(whole.select(F.col("class").alias("class_a"), F.col("s").alias("sa")), "class_a").join(whole.select(F.col("class").alias("class_b"), F.col("s").alias("sb")), "class_b")
@@ -177,13 +179,20 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return salted_lookup(members, written(named, "named"), "class", "rows", [id_col]).drop("class")
 
 
+def _nameless(text: Column) -> Column:
+    """A bucket below those of all ids, in the order of the texts: their first 7 bytes."""
+    head = F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0")
+    return F.conv(head, 16, 10).cast("long") - F.lit(1 << 62)
+
+
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """df(id, text) with signatures, next_text and next_signatures of the next row by ascending
     id (ties by text, null ids first; after the last row comes the first). Rows are dealt by the
     high bits of their ids, so neighbours lie in one partition and texts move once; only the
-    first row of each bucket is sent to the bucket before."""
+    first row of each bucket is sent to the bucket before. Rows without an id are dealt by the
+    first bytes of their texts."""
     rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("bucket", F.coalesce(F.shiftright(F.col("id").cast("long"), BUCKET_BITS), F.lit(-(1 << 62))))
+    rows = rows.withColumn("bucket", F.coalesce(F.shiftright(F.col("id").cast("long"), BUCKET_BITS), _nameless(F.col("text"))))
     order = Window.partitionBy("bucket").orderBy("id", "text")
     firsts = rows.withColumn("rank", F.row_number().over(order)).where("rank = 1").select(F.col("bucket").alias("next"), F.col("text").alias("first_text"))
     after = next_keys(rows.select(F.col("bucket").alias("key")).distinct())

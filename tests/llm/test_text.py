@@ -105,6 +105,18 @@ def test_next_document(spark, messy, pairs, empty):
     assert spotsigs.with_next(messy, "doc_id", "text").count() == len(pairs) and spotsigs.with_next(empty, "doc_id", "text").count() == 0
 
 
+def test_next_document_without_ids(spark):
+    """Null ids come first, by text, and are spread over many buckets; the last id's row meets the first text."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abé\u4e2d \x00") for _ in range(rng.randrange(12))) for _ in range(400)]
+    rows = [(None, t) for t in texts] + [(-(1 << 63), "least"), (-1, "z"), (3, "three"), ((1 << 63) - 1, "most")]
+    got = Counter((r.id, r.text, r.next_text) for r in spotsigs.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect())
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    assert got == Counter((*a, b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    heads = spark.createDataFrame([(t,) for t in texts], "text string").select(spotsigs._nameless(F.col("text")).alias("b"))
+    assert heads.distinct().count() > 100 and heads.where("b >= -(1L << 57)").count() == 0
+
+
 def test_next_keys(spark, monkeypatch):
     monkeypatch.setattr(ordering, "TOP", 3)
     keys = [-5, 0, 1, 255, 256, 70_000, 70_001, 1 << 40, (1 << 60) + 5]
