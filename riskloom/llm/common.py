@@ -10,10 +10,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.session import importable
+
 #: The white space of every text contract here: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Texts go to Python workers in Arrow batches of about so many bytes, unless the session says otherwise.
+ARROW_BYTES = 8 << 20
+_ARROW_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +30,15 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def workers_ready(spark: SparkSession) -> SparkSession:
+    """Python workers find this package and get small Arrow batches: an executor holds
+    a batch once outside its heap (in a buffer of up to twice its size) and once in the worker
+    for each of its cores. A size that the session names is left as it is."""
+    if spark.conf.get(_ARROW_KEY, None) is None:
+        spark.conf.set(_ARROW_KEY, str(ARROW_BYTES))
+    return importable(spark)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, UPPER.lower())

@@ -35,10 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import HOT_KEYS, documents, salt_of, salted_lookup, written
+from riskloom.llm.common import HOT_KEYS, documents, salt_of, salted_lookup, workers_ready, written
 from riskloom.llm.components import connected_components
 from riskloom.llm.shingles import mix, sets_of
-from riskloom.session import importable
 
 BLOCK = 128
 CHUNK = 128
@@ -314,7 +313,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    importable(df.sparkSession)
+    workers_ready(df.sparkSession)
     edge = int(min(0.49, 1.75 * (1 - percent / 100) + 0.005) * 2**64)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.select("id", F.xxhash64("text").alias("print"), "text")

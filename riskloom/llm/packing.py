@@ -15,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import documents
+from riskloom.llm.common import documents, workers_ready
 from riskloom.llm.tokens import encoded_batches, vocabulary_path
-from riskloom.session import importable
 
 LONGEST = 4096
 END_ID = 2
@@ -57,7 +56,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest:
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    importable(df.sparkSession)
+    workers_ready(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = rows.mapInArrow(partial(_pieces, path=path or vocabulary_path(), drops_space=drops_space, end_id=end_id, longest=longest), _PIECES)
     return pieces.select(

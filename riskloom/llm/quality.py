@@ -20,8 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import documents
-from riskloom.session import importable
+from riskloom.llm.common import documents, workers_ready
 
 #: The bound of the sample that the model is fitted on: so many positives and as many unlabelled texts.
 SAMPLE = 10_000
@@ -173,7 +172,7 @@ def fold_of(id_col: str) -> Column:
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Model, float]:
     """Fits on at most `sample` positives and `sample` unlabelled rows outside fold 0, taken in
     the order of a hash of their ids. Only ids and quality = 1 are read from labels."""
-    importable(docs.sparkSession)
+    workers_ready(docs.sparkSession)
 
     def some(ids: DataFrame) -> DataFrame:
         return ids.where(F.col("id").isNotNull()).distinct().orderBy(F.xxhash64(F.col("id"), F.lit(SEED)), "id").limit(sample)
@@ -196,7 +195,7 @@ def with_score(df: DataFrame, model: Model, name: str, text_col: str = "text", l
     and empty texts are scored like any other; rows with null or repeated ids are rows like
     any other; an empty table gives an empty result. Other columns pass through as they are;
     the name must be new (common.free_name finds one)."""
-    importable(df.sparkSession)
+    workers_ready(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
     return df.mapInArrow(partial(_scores, model=model, text=df.columns.index(text_col), names=schema.names, least=least), schema)
 

@@ -20,9 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm import rans
-from riskloom.llm.common import documents, removed_at_exit, shared_dir, written
+from riskloom.llm.common import documents, removed_at_exit, shared_dir, workers_ready, written
 from riskloom.llm.tokens import encoded_batches, encoder, vocabulary_path
-from riskloom.session import importable
 
 END_ID = 1
 FILE_TOKENS = 4_000_000
@@ -154,7 +153,7 @@ def write_store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     each other, in the order of their ids' bytes. Rows with a null id come first. An empty
     table gives a store without files. Other columns are not read.
     """
-    importable(df.sparkSession)
+    workers_ready(df.sparkSession)
     path = path or vocabulary_path()
     coder = encoder(path, drops_space)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -174,7 +173,7 @@ def write_store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
 
 def read_store(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     """One row per document: id, start (ids of all documents before), n_tokens, ids (binary)."""
-    importable(spark)
+    workers_ready(spark)
     order = Window.orderBy("first_id", "path").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     listed = files.select("path", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("before"))
     parts = max(1, files.count())

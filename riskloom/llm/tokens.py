@@ -247,7 +247,7 @@ def encoder(path: str, drops_space: bool = True) -> Encoder:
     return Encoder(path, drops_space)
 
 
-def encoded_batches(batches, path: str, drops_space: bool, rows: int = 4096, most_bytes: int = 6 << 20):
+def encoded_batches(batches, path: str, drops_space: bool, rows: int = 4096, most_bytes: int = 2 << 20):
     """(column 0, ids of all rows, number of ids of each row) for slices of batches (id, text)."""
     coder = encoder(path, drops_space)
     for batch in batches:
