@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from riskloom.llm import packing, rans, token_store, tokens
+from riskloom.llm import common, packing, rans, token_store, tokens
 
 ODD = [
     "Hello World's don't DON'T it's ''s <|endoftext|> <|ENDOFTEXT|> abc<|endoftext|>",
@@ -123,3 +123,28 @@ def test_packing(spark, messy, pairs, empty, library):
     assert packing.pack(empty).count() == 0
     with pytest.raises(ValueError, match="power"):
         packing.pack(empty, longest=100)
+
+
+def test_workers_get_small_batches_unless_the_session_names_a_size(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    rows = spark.range(64, numPartitions=1).selectExpr("id", "repeat('long text ', 1000) AS text")
+
+    def largest(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    def sizes():
+        return [r.n for r in rows.mapInArrow(largest, "n bigint").collect()]
+
+    try:
+        spark.conf.unset(key)
+        monkeypatch.setattr(common, "ARROW_BYTES", 100_000)
+        common.workers_ready(spark)
+        small = sizes()
+        assert sum(small) == 64 and max(small) <= 12
+        spark.conf.set(key, "64m")
+        common.workers_ready(spark)
+        assert sizes() == [64]
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
