@@ -355,9 +355,9 @@ def quantiles_of_t(spark, d):
 
 
 def synthetic_fixture(spark, d):
-    """The fixture's returns over all orders, their keys as positions on its calendar."""
+    """The fixture's whole calendar with its returns, and all orders, their keys as positions on it."""
     rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"))
-    return rounded(fixture.shaped(rows, "o_orderkey"))
+    return rounded(fixture.returns_at(rows, "o_orderkey"))
 
 
 def variance_gauntlet(spark, d):
@@ -734,7 +734,11 @@ SELECT model_id, metric, target_date, round(CASE WHEN count(difference) OVER w =
     ),
     "exception_history": _sql("SELECT f.series_id, f.forecast_origin, f.target_date, model_id, round(var_0_95, 9) AS var_0_95, round(loss, 9) AS loss FROM forecasts f JOIN real r ON f.series_id = r.series_id AND f.forecast_origin = r.forecast_origin AND f.target_date = r.target_date WHERE loss > var_0_95"),
     "period_context": _sql("SELECT period, min(target_date) AS first_date, max(target_date) AS last_date FROM real GROUP BY period"),
-    "synthetic_fixture": """SELECT o_orderkey::BIGINT AS o_orderkey, round((o_orderkey % 17 - 8) / 1000.0::DOUBLE, 9) AS "SPY", round((o_orderkey * 3 % 19 - 9) / 2000.0::DOUBLE, 9) AS "IEF", round((o_orderkey * 5 % 23 - 11) / 1500.0::DOUBLE, 9) AS "GLD" FROM orders""",
+    "synthetic_fixture": """WITH days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p FROM (SELECT unnest(generate_series(DATE '2007-01-02', DATE '2025-12-31', INTERVAL 1 DAY))::DATE AS date) WHERE isodow(date) < 6),
+keyed AS (SELECT o_orderkey::BIGINT AS o_orderkey FROM orders),
+placed AS (SELECT o_orderkey, date, o_orderkey AS p FROM keyed LEFT JOIN days ON p = o_orderkey % (SELECT count(*) FROM days)
+  UNION ALL SELECT NULL, date, p FROM days WHERE p NOT IN (SELECT o_orderkey FROM keyed WHERE o_orderkey IS NOT NULL))
+SELECT o_orderkey, date, round((p % 17 - 8) / 1000.0::DOUBLE, 9) AS "SPY", round((p * 3 % 19 - 9) / 2000.0::DOUBLE, 9) AS "IEF", round((p * 5 % 23 - 11) / 1500.0::DOUBLE, 9) AS "GLD" FROM placed""",
     "score_functions": _sql("SELECT series_id, pos, round(ln(0.04::DOUBLE) + r * r / 0.04::DOUBLE, 9) AS qlike, round((0.05::DOUBLE - CASE WHEN r < -0.03::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * (r - -0.03::DOUBLE), 9) AS pinball, -r > 0.03::DOUBLE AS exception FROM panel"),
     "canonical_ids": f"SELECT n_name, {_id('x_', {'name': 'n_name', 'day': _DAY.format('day')})} AS id FROM (SELECT n_name, DATE '2020-01-01' + n_nationkey::INTEGER AS day FROM nation)",
 }

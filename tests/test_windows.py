@@ -83,3 +83,15 @@ def test_alignment_keeps_common_dates_only(spark):
     levels = [("A", days[0], 1.0), ("A", days[1], 2.0), ("A", days[2], 3.0), ("B", days[0], 10.0), ("B", days[2], 5.0)]
     got = {r.series_id: (r.date, r.simple_return) for r in panel.aligned_returns(spark.createDataFrame(levels, "series_id string, date date, level double"), ["A", "B"]).collect()}
     assert got == {"A": (days[2], 2.0), "B": (days[2], -0.5)}
+
+
+def test_fixture_query_keeps_the_whole_calendar(spark):
+    """All business days stay, whatever orders there are, and orders past the end run on."""
+    n = 4957
+    keys = spark.createDataFrame([(0,), (3,), (n,), (n + 18,), (None,)], "k bigint")
+    got = {(r.k, r.date): tuple(r)[2:] for r in fixture.returns_at(keys, "k").collect()}
+    days = {r.date: tuple(r)[1:] for r in fixture.returns(spark).collect()}
+    firsts = sorted(days)
+    assert len(days) == n and {d for _, d in got if d} == set(days) and len(got) == n + 3
+    assert all(v == days[d] for (k, d), v in got.items() if d and (k is None or k < n))
+    assert got[0, firsts[0]] == days[firsts[0]] and got[n + 18, firsts[18]][0] == ((n + 18) % 17 - 8) / 1000.0 and got[None, None] == (None, None, None)
