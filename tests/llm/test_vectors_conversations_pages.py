@@ -236,6 +236,27 @@ def test_repeats_of_a_host_go_and_unique_runs_stay(spark):
         assert got[300] == got[301] == " ".join(f"s{j}" for j in range(40))
 
 
+def test_a_run_on_two_pages_of_a_large_host_goes(spark):
+    """Wherever its two pages are dealt: the groups of a host tell each other their runs."""
+    rows, want = [], {}
+    for i in range(80):
+        own = " ".join(f"p{i}w{j}" for j in range(20))
+        pair = " ".join(f"pair{i // 2}of{j}" for j in range(hx.LEAST))
+        rows.append((i, f"https://big.example/{i}", f"<div>{pair}</div><p>{own}</p>"))
+        want[i] = own
+    once = " ".join(f"once{j}" for j in range(hx.LEAST))
+    rows += [(i, "https://big.example/same", f"<p>{once}</p>") for i in (100, 101, 102, 103)]  # one text
+    rows += [(200, None, f"<p>{once}</p>"), (201, "https://big.example/a", f"<article>{rows[0][2]}<p>more</p></article>"), (202, "https://other.example/", rows[2][2])]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    for group in (512, 8):
+        got = {r.page_id: r.text for r in hx.main_text(df, group=group).collect()}
+        assert len(got) == len(rows)
+        want[0] = ""  # its own text is on the page with the article too
+        assert {i: got[i] for i in want} == want
+        assert {got[i] for i in (100, 101, 102, 103, 200)} == {once}
+        assert got[201].endswith("p0w19 more") and got[202].startswith("pair1of0") and got[202].endswith("p2w19")
+
+
 def test_covered_tokens_equal_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(30):
