@@ -189,6 +189,29 @@ def all_pairs(variance: DataFrame, quantile: DataFrame) -> DataFrame:
     return paired_differences(variance, m.HISTORICAL_VARIANCE).unionByName(paired_differences(quantile.select(*variance.columns), m.HISTORICAL_SIMULATION))
 
 
+MODELS_BY_DATE = (m.HISTORICAL_VARIANCE, m.HISTORICAL_SIMULATION, m.EWMA)
+
+
+def rows_of(dates: DataFrame) -> DataFrame:
+    """The rows of `joined` from a row a date (runner.by_date), without ids."""
+    told = F.explode(F.array(*[F.struct(F.lit(k).alias("model_id"), F.col(k).alias("v")) for k in MODELS_BY_DATE]))
+    return dates.select(*KEY, "period", "simple_return", "squared_return", "loss", told.alias("x")).where("x.v IS NOT NULL").select(*KEY, "period", "simple_return", "squared_return", "loss", "x.model_id", "x.v.*")
+
+
+def pairs_of(dates: DataFrame, candidate: str = m.EWMA) -> DataFrame:
+    """all_pairs of the candidate from a row a date (runner.by_date): both models of a pair are
+    in the row, so nothing is dealt out."""
+    r2, r = F.col("squared_return"), F.col("simple_return")
+    scores = {"qlike": scoring.qlike, "squared_error": scoring.squared_error, "absolute_error": scoring.absolute_error}
+    checked = lambda k: F.when(F.col(f"{k}.status") == "ok", F.col(f"{k}.variance"))
+    valid = lambda k, c: F.when(F.col(f"{k}.status") == "ok", F.col(f"{k}.{c}"))
+    kinds = [(k, m.HISTORICAL_VARIANCE, f(checked(candidate), r2) - f(checked(m.HISTORICAL_VARIANCE), r2)) for k, f in scores.items()]
+    kinds += [(k, m.HISTORICAL_SIMULATION, scoring.pinball(valid(candidate, q), r, tail) - scoring.pinball(valid(m.HISTORICAL_SIMULATION, q), r, tail)) for k, q, _, _, tail in scoring.TAILS]
+    items = F.explode(F.array(*[F.struct(F.lit(b).alias("benchmark_model_id"), F.lit(k).alias("metric"), d.alias("difference")) for k, b, d in kinds]))
+    pairs = dates.select("period", F.lit(candidate).alias("model_id"), *KEY, items.alias("x")).where("x.difference IS NOT NULL")
+    return pairs.select("period", "model_id", "x.benchmark_model_id", "x.metric", *KEY, "x.difference")
+
+
 def direction(mean: Column) -> Column:
     return F.when(mean.isNull(), "unavailable").when(mean < 0, "candidate_better").when(mean > 0, "benchmark_better").otherwise("tie")
 

@@ -147,7 +147,7 @@ def with_ewma(panel: DataFrame, decay: float, first: int) -> DataFrame:
     if not 0 < decay < 1 or first < 2:
         raise fail("CONFIG_INVALID", "The decay must lie between 0 and 1 and the start needs two returns.")
     r = F.col("simple_return")
-    rows = affine_scan(panel.select(*PANEL), "variance", decay, (1 - decay) * (r * r), F.var_samp(r), first)
+    rows = affine_scan(panel, "variance", decay, (1 - decay) * (r * r), F.var_samp(r), first)
     return with_normal_quantiles(rows.withColumn("variance", guarded(F.col("variance"))))
 
 

@@ -49,8 +49,9 @@ def lineitem_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A panel that grows with the tables: a series a supplier, level = logarithm of the mean
     extended price of a week, on the weeks that the supplier has."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("int").alias("key"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
-    levels = rows.groupBy("key", "date").agg(F.ln(F.sum("price").cast("double") / F.count(F.lit(1))).alias("level"))
-    before = F.lag("level").over(Window.partitionBy("key").orderBy("date"))
-    returns = levels.select("key", "date", (F.col("level") / before - 1).alias("simple_return")).where("simple_return IS NOT NULL")
-    return panel.with_positions(returns.select(F.concat(F.lit("S"), F.col("key").cast("string")).alias("series_id"), F.col("key").alias("series_pos"), "date", "simple_return")).cache()
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("int").alias("series_pos"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
+    levels = rows.groupBy("series_pos", "date").agg(F.ln(F.sum("price").cast("double") / F.count(F.lit(1))).alias("level"))
+    levels = levels.withColumn("series_id", F.concat(F.lit("S"), F.col("series_pos").cast("string")))
+    before = F.lag("level").over(Window.partitionBy("series_id").orderBy("date"))  # dealt once, by series
+    returns = levels.withColumn("simple_return", F.col("level") / before - 1).where("simple_return IS NOT NULL")
+    return panel.with_positions(returns.select("series_id", "series_pos", "date", "simple_return")).cache()

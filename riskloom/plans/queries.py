@@ -375,9 +375,12 @@ def canonical_ids(spark, d):
 # -- a panel with a series a supplier: it grows with the tables -----------------------------
 
 
-def _suppliers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    found = runner.benchmarks_and_ewma(panels.supplier_panel(spark, d), PROFILE, CHECKSUM)
-    return found.forecasts, found.realizations
+def _supplier_dates(spark: SparkSession, d: str) -> DataFrame:
+    return runner.by_date(panels.supplier_panel(spark, d), PROFILE)
+
+
+def _supplier_rows(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.rows_of(_supplier_dates(spark, d))
 
 
 def supplier_panel(spark, d):
@@ -385,24 +388,25 @@ def supplier_panel(spark, d):
 
 
 def supplier_variance_scores(spark, d):
-    return rounded(evaluation.score_table(evaluation.variance_observations(evaluation.joined(*_suppliers(spark, d))), _name()))
+    return rounded(evaluation.score_table(evaluation.variance_observations(_supplier_rows(spark, d)), _name()))
 
 
 def supplier_quantile_scores(spark, d):
-    return rounded(evaluation.score_table(evaluation.quantile_observations(evaluation.joined(*_suppliers(spark, d))), _name(), ("confidence_level", "tail_probability")))
+    return rounded(evaluation.score_table(evaluation.quantile_observations(_supplier_rows(spark, d)), _name(), ("confidence_level", "tail_probability")))
 
 
 def supplier_exception_counts(spark, d):
-    return evaluation.exception_counts(evaluation.quantile_observations(evaluation.joined(*_suppliers(spark, d))), _GROUP)
+    return evaluation.exception_counts(evaluation.quantile_observations(_supplier_rows(spark, d)), _GROUP)
 
 
 def _supplier_pairs(spark, d) -> DataFrame:
-    rows = evaluation.joined(*_suppliers(spark, d))
-    return evaluation.all_pairs(evaluation.variance_observations(rows), evaluation.quantile_observations(rows))
+    return evaluation.pairs_of(_supplier_dates(spark, d))
 
 
 def supplier_point_estimates(spark, d):
-    return rounded(evaluation.point_estimates(_supplier_pairs(spark, d)))
+    # The pairs are read three times: for the series, the brackets and what lies in them.
+    pairs = _supplier_pairs(spark, d).select("period", "series_id", "model_id", "benchmark_model_id", "metric", "difference").cache()
+    return rounded(evaluation.point_estimates(pairs))
 
 
 def supplier_directions(spark, d):

@@ -13,6 +13,7 @@ from riskloom.config import Config
 from riskloom.errors import fail
 from riskloom.functions import ids
 from riskloom.operators import evaluation, garch, models, windows
+from riskloom.operators.panel import PANEL
 
 # Columns of the forecasts and fit diagnostics tables.
 FORECASTS = ("experiment_id", "forecast_id", "series_id", "model_id", "model_version", "fit_id", "forecast_origin", "target_date", "variance", "volatility", "return_quantile_0_05", "var_0_95", "return_quantile_0_01", "var_0_99", "status", "error_code", "warning_codes")
@@ -128,6 +129,36 @@ def benchmarks_and_ewma(panel: DataFrame, config: Config, checksum: str = "") ->
     return union([historical(panel, config, checksum), ewma(panel, config, checksum)])
 
 
+def by_date(panel: DataFrame, config: Config) -> DataFrame:
+    """A row a target date: (KEY, period, simple_return, squared_return, loss) and for each
+    model of benchmarks_and_ewma a struct of VALUES, status and error_code, null where its
+    window has no forecast. What happened is the next row of the series, so a panel dealt by
+    series meets no join with realizations: evaluation.rows_of gives the rows that
+    evaluation.joined gives."""
+    h, e = config.historical, config.ewma
+    series = Window.partitionBy("series_id").orderBy("pos")
+    none = F.lit(None).cast("double")
+
+    def model(least: int, columns: tuple[str, ...]) -> Column:
+        values = {c: F.col(c) if c in columns else none for c in VALUES}
+        error = _variance_error(values["variance"])
+        told = [F.when(error.isNull(), v).alias(c) for c, v in values.items()]
+        return F.when(F.col("pos") >= least - 1, F.struct(*told, F.when(error.isNull(), "ok").otherwise("failed").alias("status"), error.alias("error_code")))
+
+    # Only variances go through the sorted windows, which come last, so nothing runs twice.
+    rows = models.with_ewma(panel.select(*PANEL), e.lambda_, e.initialization_window).withColumnRenamed("variance", "_ewma").select(*PANEL, "_ewma")
+    rows = models.with_variance(rows, h.variance_window).withColumnRenamed("variance", "_historical").drop("volatility")
+    rows = rows.withColumns({"_target": F.lead("date").over(series), "_realized": F.lead("simple_return").over(series)})
+    rows = models.with_simulation(rows, h.var_window, h.quantile_method)
+    rows = rows.withColumn("period", windows.period_of(F.col("_target"), config.periods)).where(F.col("period").isin(*evaluation.PERIODS))
+    rows = rows.withColumn(models.HISTORICAL_SIMULATION, model(h.var_window, models.QUANTILE_COLUMNS))
+    rows = models.with_normal_quantiles(rows.withColumn("variance", F.col("_historical"))).withColumn(models.HISTORICAL_VARIANCE, model(h.variance_window, ("variance", "volatility")))
+    rows = models.with_normal_quantiles(rows.withColumn("variance", F.col("_ewma"))).withColumn(models.EWMA, model(e.initialization_window, models.NORMAL_COLUMNS))
+    rows = rows.select("series_id", F.col("date").alias("forecast_origin"), F.col("_target").alias("target_date"), "period", F.col("_realized").alias("simple_return"), *evaluation.MODELS_BY_DATE)
+    r = F.col("simple_return")
+    return rows.withColumns({"squared_return": r * r, "loss": -r})
+
+
 def available_models(panel: DataFrame, config: Config, checksum: str = "", optimiser=None) -> Artifacts:
     return union([historical(panel, config, checksum), ewma(panel, config, checksum), garch_candidates(panel, config, checksum, optimiser)])
 

@@ -7,6 +7,7 @@ from datetime import date
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_models import panel_of
 
 import __spark_entry__ as entry
@@ -64,3 +65,27 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {(r.series_id, dates[r.series_id, r.pos]): r.variance for r in models.ewma_path(panel, 0.94, 20).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
     assert date(2020, 1, 28) in {d for _, d in got}
+
+
+def test_a_row_a_date_equals_the_join(spark):
+    """Forecasts with what happened from one pass over the panel: the rows and pairs of the
+    join, without a join by date and with the sorted windows computed once."""
+    from riskloom.operators import evaluation
+    from riskloom.plans import runner
+    from riskloom.plans.panels import PROFILE
+
+    values = {"A": 1700, "SHORT": 80, "TINY": 30, "LATE": 150}
+    panel = panel_of(spark, {k: [0.01 * math.sin(i * (1 + j)) + 0.001 * (i % 7) for i in range(n)] for j, (k, n) in enumerate(values.items())})
+    flat = panel_of(spark, {"FLAT": [0.02 * (i < 20) for i in range(1700)]})  # its trailing variance comes to nothing
+    panel = panel.unionByName(flat).withColumn("date", F.date_add(F.lit("1996-01-01").cast("date"), F.col("pos"))).cache()
+    found = runner.benchmarks_and_ewma(panel, PROFILE, "0")
+    rows, dates = evaluation.joined(found.forecasts, found.realizations), runner.by_date(panel, PROFILE)
+    columns = [*evaluation.KEY, "model_id", "period", "simple_return", "squared_return", "loss", *runner.VALUES, "status", "error_code"]
+    told = lambda df, names: sorted(map(repr, df.select(*[F.round(c, 12).alias(c) if t == "double" else c for c, t in df.select(*names).dtypes]).collect()))
+    got, want = told(evaluation.rows_of(dates), columns), told(rows, columns)
+    assert got == want and any("'failed'" in r for r in got)
+    pairs = evaluation.pairs_of(dates)
+    wide = evaluation.all_pairs(evaluation.variance_observations(rows), evaluation.quantile_observations(rows))
+    assert told(pairs, wide.columns) == told(wide, wide.columns) and pairs.count() > 0
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "target_date" not in "".join(line for line in plan.splitlines() if "Join " in line)
