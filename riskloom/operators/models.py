@@ -140,14 +140,14 @@ def guarded(v: Column) -> Column:
     return F.when(v.isNull() | (~F.isnan(v) & (v > 0) & (v < float("inf"))), v).otherwise(F.raise_error(kind).cast("double"))
 
 
-def with_ewma(panel: DataFrame, decay: float, first: int) -> DataFrame:
+def with_ewma(panel: DataFrame, decay: float, first: int, dealt: bool = False) -> DataFrame:
     """The panel with the exponentially weighted variance and normal quantiles, null before.
     Starts from the sample variance of the first `first` returns, then takes every later
     return of the series. A variance that is not positive ends the run."""
     if not 0 < decay < 1 or first < 2:
         raise fail("CONFIG_INVALID", "The decay must lie between 0 and 1 and the start needs two returns.")
     r = F.col("simple_return")
-    rows = affine_scan(panel, "variance", decay, (1 - decay) * (r * r), F.var_samp(r), first)
+    rows = affine_scan(panel, "variance", decay, (1 - decay) * (r * r), F.var_samp(r), first, dealt)
     return with_normal_quantiles(rows.withColumn("variance", guarded(F.col("variance"))))
 
 

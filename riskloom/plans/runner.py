@@ -110,10 +110,13 @@ def ewma(panel: DataFrame, config: Config, checksum: str = "") -> Artifacts:
     return Artifacts(_table(grid), realizations(panel, config), finished(rows, config), fits)
 
 
-def garch_candidates(panel: DataFrame, config: Config, checksum: str = "", optimiser=None) -> Artifacts:
+def garch_candidates(panel: DataFrame, config: Config, checksum: str = "", optimiser=None, keep: bool = True) -> Artifacts:
+    """keep: the fits are read for forecasts and diagnostics, so they are kept; a caller that
+    reads one of them only does without."""
     g = config.garch
     grid = windows.refit_windows(panel, g.estimation_window, g.refit_every_origins, config.periods, list(garch.MODELS))
-    fitted = garch.garch_rows(panel, g, config.periods, optimiser).cache()  # read for forecasts and diagnostics
+    fitted = garch.garch_rows(panel, g, config.periods, optimiser)
+    fitted = fitted.cache() if keep else fitted
     rows = _ids(fitted, config, checksum, F.col("fit_origin"), F.col("fit_start"), F.col("fit_origin"))
     fits = rows.where(F.col("forecast_origin") == F.col("fit_origin")).withColumn("train_start", F.col("fit_start")).withColumn("train_end", F.col("fit_origin")).withColumn("warning_codes", F.lit("[]"))
     return Artifacts(_table(grid), realizations(panel, config), finished(rows, config), fits.select(*DIAGNOSTICS))
@@ -146,7 +149,7 @@ def by_date(panel: DataFrame, config: Config) -> DataFrame:
         return F.when(F.col("pos") >= least - 1, F.struct(*told, F.when(error.isNull(), "ok").otherwise("failed").alias("status"), error.alias("error_code")))
 
     # Only variances go through the sorted windows, which come last, so nothing runs twice.
-    rows = models.with_ewma(panel.select(*PANEL), e.lambda_, e.initialization_window).withColumnRenamed("variance", "_ewma").select(*PANEL, "_ewma")
+    rows = models.with_ewma(panel.select(*PANEL), e.lambda_, e.initialization_window, dealt=True).withColumnRenamed("variance", "_ewma").select(*PANEL, "_ewma")
     rows = models.with_variance(rows, h.variance_window).withColumnRenamed("variance", "_historical").drop("volatility")
     rows = rows.withColumns({"_target": F.lead("date").over(series), "_realized": F.lead("simple_return").over(series)})
     rows = models.with_simulation(rows, h.var_window, h.quantile_method)
