@@ -419,7 +419,7 @@ def supplier_directions(spark, d):
 
 
 def supplier_stored_forecasts(spark, d):
-    rows = runner.garch_candidates(panels.supplier_panel(spark, d), PROFILE, CHECKSUM, _stored).forecasts
+    rows = runner.garch_candidates(panels.supplier_panel(spark, d), PROFILE, CHECKSUM, _stored, keep=False).forecasts
     return rounded(rows.select("series_id", "model_id", "forecast_origin", "target_date", *runner.VALUES, "status", "error_code"))
 
 

@@ -169,6 +169,27 @@ def test_a_failure_lasts_to_the_end_of_its_block():
     assert got["variance"].isna().tolist() == [False, True, True, True]
 
 
+def test_chunks_are_walked_and_judged_side_by_side(monkeypatch):
+    """Many blocks at once equal one state at a time, with a fault in one of them, and a chunk
+    makes as many passes over time as one fit does."""
+    rng = np.random.default_rng(5)
+    states = [garch.State(garch.Parameters(0.05, 0.05 + i / 100, 0.8, None), 1.0 + i) for i in range(5)] + [None]
+    states[3] = garch.State(garch.Parameters(0.05, 2.0, 1e200, None), 1e200)
+    returns, counts = rng.normal(0, 0.01, (6, 7)), np.array([7, 7, 3, 7, 7, 2])
+    returns[1, 4] = math.nan
+    path, good, fault = garch.walked_all(states, returns, counts, 100.0)
+    for i, state in enumerate(states[:5]):
+        want, code = garch.walked(state, returns[i, : counts[i]], 100.0)
+        assert good[i] == len(want) and fault[i] == code and np.allclose(path[i, : good[i]], want, rtol=1e-14)
+    assert good[5] == 0 and fault[5] is None
+    calls, plain = [], garch.recursion
+    monkeypatch.setattr(garch, "recursion", lambda r, p: calls.append(len(r)) or plain(r, p))
+    one = garch.run_chunk(chunk(20), CONFIG, fixed)
+    few = len(calls)
+    many = garch.run_chunk(chunk(400), CONFIG, fixed)
+    assert len(calls) == 2 * few and len(many) > 10 * len(one) / 2 and (many["status"] == "ok").all()
+
+
 def by_blocks(panel: pd.DataFrame, config: Garch, eligible: set[int], model: str) -> dict:
     """Variances by origin, one fit at a time."""
     out, origins = {}, sorted(eligible)
@@ -259,6 +280,15 @@ def test_a_series_in_blocks_equals_the_recursion(spark):
     assert 1 <= recursions.block_length(1e-300) < recursions.block_length(0.94) <= recursions.block_length(0.9999) == recursions.BLOCK
 
 
+def test_a_dealt_panel_gives_the_same_scan(spark, monkeypatch):
+    monkeypatch.setattr(recursions, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    df = panel_of(spark, {"A": rng.normal(0, 0.01, 100).tolist(), "B": rng.normal(0, 0.02, 30).tolist(), "C": [0.01] * 12})
+    want, got = (path(models.with_ewma(df, 0.94, 20, dealt)) for dealt in (False, True))
+    assert got.keys() == want.keys() and all(got[k] == want[k] or math.isclose(got[k], want[k], rel_tol=1e-14) for k in want)
+    assert sum(v is not None for v in got.values()) == 81 + 11
+
+
 def test_blocks_of_one_series_are_many_tasks(spark):
     df = panel_of(spark, {"A": [0.01, -0.01] * 20_000})
     plan = models.with_ewma(df, 0.94, 60)._jdf.queryExecution().executedPlan().toString()
