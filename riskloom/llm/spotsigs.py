@@ -139,21 +139,27 @@ def similar_classes(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
     shorter set first. Empty sets link with nothing. Every pair is found, through the first of
     its signatures in the order of their document counts."""
     sets = classes.where("n > 0")
-    counts = sets.select(F.explode("s").alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("df"))
+    counts = written(sets.select(F.explode("s").alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
     keep = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
     part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold)).cast("int")
+    # A signature of one set only meets nothing and comes first in its set's order: such are not
+    # moved again, but counted off the prefix.
     ranked = sets.select("class", "n", F.explode("s").alias("head")).join(counts, "head").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "head"))).alias("heads"))
-    keyed = ranked.select("class", "n", part.alias("part"), F.explode(F.slice("heads", F.lit(1), keep)).alias("x")).select("class", "n", "part", "x.head", "x.df").where("df > 1")
+    left_over = keep - (F.col("n") - F.size("heads"))
+    keyed = ranked.where(left_over > 0).select("class", "n", part.alias("part"), (F.col("n") - F.size("heads")).alias("ahead"), F.posexplode(F.slice("heads", F.lit(1), left_over)).alias("at", "x"))
+    keyed = keyed.select("class", "n", "part", "x.head", "x.df", (F.col("n") - F.col("ahead") - F.col("at")).alias("rest"))
     blocks = F.expr(f"(df + {BLOCK - 1}) div {BLOCK}").cast("int")
     keyed = written(keyed.withColumn("blocks", blocks), "keyed")
     # Both sides of a signature are cut: a set lies in one block of its side and goes to each
     # block of the other side, so a task's key holds about BLOCK sets of either side.
     own, other = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    right = keyed.select(F.col("class").alias("class_b"), F.col("n").alias("nb"), "head", "part", own.alias("block"), other.alias("side"))
-    left = keyed.select(F.col("class").alias("class_a"), F.col("n").alias("na"), "head", F.explode(F.array("part", F.col("part") + 1)).alias("part"), own.alias("side"), "blocks")
-    left = left.select("class_a", "na", "head", "part", "side", other.alias("block"))
+    right = keyed.select(F.col("class").alias("class_b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), "head", "part", own.alias("block"), other.alias("side"))
+    left = keyed.select(F.col("class").alias("class_a"), F.col("n").alias("na"), F.col("rest").alias("ra"), "head", F.explode(F.array("part", F.col("part") + 1)).alias("part"), own.alias("side"), "blocks")
+    left = left.select("class_a", "na", "ra", "head", "part", "side", other.alias("block"))
     met = left.join(right, ["part", "head", "block", "side"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("class_a") < F.col("class_b"))))
-    met = met.where(F.col("na") >= F.col("nb") * threshold - 1e-9).select("class_a", "class_b").distinct()
+    # At the first signature that two sets share, no more than the rest of either can be common.
+    enough = F.least("ra", "rb") >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
+    met = met.where((F.col("na") >= F.col("nb") * threshold - 1e-9) & enough).select("class_a", "class_b").distinct()
     whole = sets.select("class", "s")
     both = met.join(whole.select(F.col("class").alias("class_a"), F.col("s").alias("sa")), "class_a").join(whole.select(F.col("class").alias("class_b"), F.col("s").alias("sb")), "class_b")
     return both.select("class_a", "class_b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold)

@@ -205,3 +205,27 @@ def test_a_chain_of_revisions_is_one_component(spark):
     texts = [(ids[i], " ".join(f"w{j}" for j in range(i, i + width))) for i in range(n)]
     got = jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), k=3, percent=80).collect()
     assert len(got) == n and {r.component_id for r in got} == {0}
+
+
+def test_spotsigs_pairs_equal_brute_force_and_few_signatures_move(spark):
+    """Pairs by unique signatures, by frequent ones and at the threshold itself; signatures of
+    one set are in no table that is written."""
+    from riskloom.llm import spotsigs
+
+    rng = random.Random(3)
+    sets = {i: set(rng.sample(range(40), 12)) | {1000 + i} for i in range(60)}
+    for i in range(60, 90):
+        base = sets[i - 60]
+        sets[i] = (base - set(rng.sample(sorted(base), rng.randrange(3)))) | {2000 + i} if i % 3 else set(base) | {3000 + j for j in range(i % 4)}
+    rows = [(bytes([i]), i, sorted(s), len(s), 1) for i, s in sets.items()]
+    classes = spark.createDataFrame(rows, "class binary, id bigint, s array<bigint>, n int, rows bigint")
+    kept, plain = [], spotsigs.written
+    spotsigs.written = lambda df, name, *a: kept.append((name, plain(df, name, *a))) or kept[-1][1]
+    try:
+        for threshold in (0.6, 0.8, 0.9):
+            got = {(min(a, b), max(a, b)) for a, b in ((r.class_a[0], r.class_b[0]) for r in spotsigs.similar_classes(classes, threshold).collect())}
+            want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
+            assert got == want and want
+    finally:
+        spotsigs.written = plain
+    assert all(df.where("df = 1").count() == 0 for name, df in kept if name == "counts") and "counts" in [name for name, _ in kept]
